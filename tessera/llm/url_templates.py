@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower
+from tessera.llm.common import ascii_lower, materialise
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,8 @@ def _level(paths: DataFrame, depth: int) -> DataFrame:
     varies = (F.col("pages") >= MIN_PAGES) & (F.col("kids") >= VARIETY * F.col("pages"))
     paths = paths.join(nodes.select("host", "prefix", varies.alias("varies")), ["host", "prefix"])
     step = F.when(F.col("seg") == "", "").when(F.col("varies"), "/*").otherwise(F.concat(F.lit("/"), F.col("seg")))
-    return paths.withColumn("up", F.col("prefix")).withColumn("prefix", F.concat("prefix", step)).drop("seg", "varies")
+    up = F.when(F.col("seg") == "", F.col("up")).otherwise(F.col("prefix"))
+    return paths.withColumn("up", up).withColumn("prefix", F.concat("prefix", step)).drop("seg", "varies")
 
 
 def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -97,9 +98,10 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     )
     segs = F.expr("filter(split(path, '/'), x -> x <> '')")
     folded = F.when(F.size("s") > DEPTH, F.concat(F.slice("s", 1, DEPTH - 1), F.array(F.array_join(F.expr(f"slice(s, {DEPTH}, size(s))"), "/")))).otherwise(F.col("s"))
-    paths = counted.withColumn("s", segs).withColumn("segs", folded).withColumn("prefix", F.lit("")).drop("s")
-    for d in range(DEPTH):
-        paths = _level(paths.drop("up"), d)
+    paths = counted.withColumn("s", segs).withColumn("segs", folded).withColumn("prefix", F.lit("")).withColumn("up", F.lit("")).drop("s")
+    paths = materialise(paths, "paths")  # each level reads the last one twice: unwritten, the plan would double
+    for d in range(paths.agg(F.max(F.size("segs"))).first()[0] or 0):
+        paths = materialise(_level(paths, d), "paths")
     leaves = paths.groupBy("host", "up", "prefix").agg(*(F.sum(c).alias(c) for c in ("n", "seen", "good")))
     ups = leaves.groupBy("host", "up").agg(F.sum("seen").alias("up_seen"), F.sum("good").alias("up_good"))
     mean = F.when(F.col("up_seen") > 0, F.col("up_good") / F.col("up_seen"))
@@ -144,7 +146,7 @@ l0 as (select host, path, n, seen, good, case when len(s) > {DEPTH} then list_ap
         sql += f""",
 x{d} as (select *, coalesce(segs[{d + 1}], '') as seg from l{d}),
 v{d} as (select host, prefix, sum(n) >= {MIN_PAGES} and count(distinct seg) >= {VARIETY} * sum(n) as varies from x{d} group by 1, 2),
-l{d + 1} as (select host, path, n, seen, good, segs, prefix || case when seg = '' then '' when varies then '/*' else '/' || seg end as prefix, prefix as up from x{d} join v{d} using (host, prefix))"""
+l{d + 1} as (select host, path, n, seen, good, segs, prefix || case when seg = '' then '' when varies then '/*' else '/' || seg end as prefix, case when seg = '' then up else prefix end as up from x{d} join v{d} using (host, prefix))"""
     return sql + f""",
 leaves as (select host, up, prefix, sum(seen) as seen, sum(good) as good from l{DEPTH} group by 1, 2, 3),
 ups as (select host, up, sum(good) / nullif(sum(seen), 0) as mean from leaves group by 1, 2),
