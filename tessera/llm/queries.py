@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, topk, url_templates
+from tessera.llm import decontaminate, packing, simhash, topk, url_templates
 from tessera.llm.common import table
 
 
@@ -22,6 +22,14 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group(table(spark, sf_dir, "documents"))
+
+
 def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1.0).when(F.col("quality").isNotNull() & F.col("toxic").isNotNull(), 0.0)
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), good.alias("good"))
@@ -31,10 +39,13 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_topk": op2_topk,
+    "op5_decontaminate": op5_decontaminate,
+    "op7_simhash": op7_simhash,
     "op10_url_templates": op10_url_templates,
 }
 
 ORACLES: dict[str, str] = {
     "op2_topk": topk.ORACLE,
+    "op5_decontaminate": decontaminate.ORACLE,
     "op10_url_templates": url_templates.oracle(),
 }
