@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, packing, simhash, topk, url_templates
+from tessera.llm import decontaminate, packing, quality, simhash, topk, url_templates
 from tessera.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1.0).when(F.col("quality").isNotNull() & F.col("toxic").isNotNull(), 0.0)
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), good.alias("good"))
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
     "op5_decontaminate": op5_decontaminate,
     "op7_simhash": op7_simhash,
+    "op9_quality": op9_quality,
     "op10_url_templates": op10_url_templates,
 }
 
