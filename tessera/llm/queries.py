@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, packing, quality, secrets, simhash, topk, toxicity, url_templates
+from tessera.llm import brown, decontaminate, packing, quality, secrets, simhash, topk, toxicity, url_templates
 from tessera.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op3_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.evaluate(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
 
@@ -51,6 +55,7 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_topk": op2_topk,
+    "op3_brown": op3_brown,
     "op4_secrets": op4_secrets,
     "op5_decontaminate": op5_decontaminate,
     "op7_simhash": op7_simhash,
