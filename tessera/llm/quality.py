@@ -84,8 +84,8 @@ class Model:
 
 
 def co_train(views, y: np.ndarray, pool, rounds: int = ROUNDS, share: float = SHARE) -> Model:
-    """Fit on labelled ``views`` (text, metadata) with ``y`` and the pool's; every fourth labelled row is held out to calibrate."""
-    apart = np.arange(len(y)) % 4 == 3
+    """Fit on labelled ``views`` (text, metadata) with ``y`` and the pool's; every fourth labelled row of either class is held out to calibrate."""
+    apart = np.where(y, np.cumsum(y), np.cumsum(~y)) % 4 == 0
     scales = [linear.Scale(np.vstack([v, p])) for v, p in zip(views, pool, strict=True)]
     x, u = [s(v) for s, v in zip(scales, views, strict=True)], [s(p) for s, p in zip(scales, pool, strict=True)]
     sets = [(x[v][~apart], y[~apart].astype(float)) for v in (0, 1)]
