@@ -249,3 +249,12 @@ def group(docs: DataFrame, shingle: int = 4, radius: int = 4, longs: int = 1, si
     known = named.join(least, "root").select(*names, "component_id")
     text = F.concat(*(F.lower(F.lpad(F.hex(c), 16, "0")) for c in reversed(names)))
     return prints.join(known, names).select("doc_id", text.alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int, radius: int, longs: int, similarity: float | None) -> DataFrame:
+    """``docs`` with one document of each group: the one with the smallest doc_id.
+
+    An id stands for one document: rows that share the id that stays all stay. Rows without an id stay.
+    """
+    going = group(docs, shingle, radius, longs, similarity).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(going, "doc_id", "left_anti").select(docs.columns)
