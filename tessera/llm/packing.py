@@ -15,11 +15,13 @@ each; a null doc_id stays null; an empty table gives no rows; extra columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise, tokenizer
@@ -27,10 +29,12 @@ from tessera.llm.common import materialise, tokenizer
 CAPACITY, END = 2048, 1
 #: Share of a piece that may be left empty rather than cut off; pieces shorter than SHORT are never cut.
 SLACK, SHORT = 0.01, 48
-#: Words whose ids a worker keeps; then it starts anew.
-CACHE = 400_000
-#: Control characters on which Python's and the tokenizer's ideas of white space differ.
-ODD = frozenset("\x1c\x1d\x1e\x1f\x85᠎​⁠﻿")
+#: Chunks whose ids a worker keeps; then it starts anew.
+CACHE = 1_500_000
+#: ASCII marks that the tokenizer keeps together and apart from letters (not the apostrophe, which may begin an ending).
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Latin-1 in lower case, with its two other white-space characters as blanks.
+_FOLD = bytes(ord(c) if len(c := chr(i).lower()) == 1 and ord(c) < 256 else i for i in range(256)).replace(b"\x85", b" ").replace(b"\xa0", b" ")
 
 
 def cuts(length: int, capacity: int = CAPACITY, slack: float = SLACK, short: int = SHORT) -> list[tuple[int, int]]:
@@ -49,40 +53,109 @@ def cuts(length: int, capacity: int = CAPACITY, slack: float = SLACK, short: int
 
 
 class Words:
-    """Ids of texts, by white-space separated chunks: no token of this vocabulary spans two."""
+    """Ids of texts, by white-space separated chunks: no token of this vocabulary spans two.
+
+    Latin-1 texts are lower-cased and split as bytes, by tables that agree with the tokenizer's
+    normaliser. Plain words are encoded many at once: each ends with the one token that bears the
+    mark of a word's end. Marks after a word are one token run of their own. Other chunks are encoded alone.
+    """
 
     def __init__(self, path: str):
         self.encoder, self.ids = tokenizer(path), {}
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.ids) + len(words) > CACHE:
+        vocabulary = self.encoder.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.tails: dict[bytes, bytes] = {}
+
+    def _alone(self, chunks: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.encoder.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _plain(self, words: str) -> list[bytes]:
+        ids = np.asarray(self.encoder.encode(words, add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != words.count(" ") + 1:
+            return self._alone(words.split(" "))
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def learn(self, chunks: set[bytes]) -> None:
+        if len(self.ids) + len(chunks) > CACHE:
             self.ids.clear()
-        new = [w for w in words if w not in self.ids]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, self.encoder.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.ids[w] = np.asarray(e.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if not ODD.isdisjoint(text):
-            return np.asarray(self.encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.split()
-        try:
-            return b"".join(map(self.ids.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.ids.__getitem__, words))
+            self.tails.clear()
+        known, odd = self.ids, []
+        chunks = chunks.difference(known)
+        plain: dict[bytes, list[bytes]] = {c: [] for c in chunks if c.isalpha()}
+        for chunk in chunks.difference(plain):
+            word = chunk.rstrip(_MARKS)
+            if word.decode("latin-1").isalpha():
+                plain.setdefault(word, []).append(chunk)
+            else:
+                odd.append(chunk)
+        new = [w for w in plain if w not in known]
+        for at in range(0, len(new), 2048):
+            some = new[at : at + 2048]
+            known.update(zip(some, self._plain(b" ".join(some).decode("latin-1")), strict=True))
+        for word, uses in plain.items():
+            for chunk in uses:
+                if chunk not in known:
+                    tail = chunk[len(word) :]
+                    if tail not in self.tails:
+                        self.tails[tail] = self._alone([tail.decode()])[0]
+                    known[chunk] = known[word] + self.tails[tail]
+        for at in range(0, len(odd), 2048):
+            some = odd[at : at + 2048]
+            known.update(zip(some, self._alone([c.decode("latin-1") for c in some]), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = []
+        for t in texts:
+            try:
+                line = t.encode("latin-1")
+            except UnicodeEncodeError:
+                line = b"<|"
+            # outside Latin-1, and where a special token may stand, the tokenizer takes the whole text
+            split.append(None if b"<|" in line else line.translate(_FOLD).split())
+        found = [words and list(map(self.ids.get, words)) for words in split]
+        gaps = [words and [i for i, ids in enumerate(f) if ids is None] for words, f in zip(split, found, strict=True)]
+        self.learn({words[i] for words, gap in zip(split, gaps, strict=True) if gap for i in gap})
+        out = []
+        for t, words, f, gap in zip(texts, split, found, gaps, strict=True):
+            if words is None:
+                out += self._alone([t])
+                continue
+            for i in gap:
+                f[i] = self.ids[words[i]]
+            out.append(b"".join(f))
+        return out
+
+
+def in_blocks(texts: Iterable[str], chars: int = 2_000_000) -> Iterator[list[str]]:
+    block, size = [], 0
+    for t in texts:
+        block.append(t)
+        size += len(t)
+        if size >= chars:
+            yield block
+            block, size = [], 0
+    yield block
+
+
+@functools.cache
+def worker_words(path: str) -> Words:
+    """One cache a Python worker, over all of its tasks."""
+    return Words(path)
 
 
 def _pieces(path: str, capacity: int, slack: float, short: int):
     shapes: dict[int, list[tuple[int, int]]] = {}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, end = Words(path), np.asarray([END], "<u4").tobytes()
+        words, end = worker_words(path), np.asarray([END], "<u4").tobytes()
         for df in frames:
             docs, starts, classes, lengths, ids, totals = [], [], [], [], [], []
-            for doc, text in zip(df.doc_id, df.text, strict=True):
-                data = (words.encode(text) if text else b"") + end
+            coded = chain.from_iterable(map(words.encode, in_blocks(t or "" for t in df.text)))
+            for doc, data in zip(df.doc_id, coded, strict=True):
+                data += end
                 n, at = len(data) // 4, 0
                 shape = shapes.get(n) or shapes.setdefault(n, cuts(n, capacity, slack, short))
                 for k, length in shape:
@@ -112,10 +185,11 @@ def _first_fit(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, slack: float = SLACK, short: int = SHORT) -> DataFrame:
-    """Pieces of all documents with their place: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, slack: float = SLACK, short: int = SHORT, of_ids: Column | None = None) -> DataFrame:
+    """Pieces of all documents with their place: doc_id, start, length, ids, doc_tokens, sequence_id, offset, class.
 
-    ``ids``: the piece's token ids, unsigned 32-bit little-endian, as binary.
+    ``ids``: the piece's token ids, unsigned 32-bit little-endian, as binary; or, in their stead,
+    ``of_ids``, an expression over them, which keeps the ids themselves out of the last join.
     """
     # tokenised once: the places below are counted from the written table
     schema = "doc_id long, start long, length long, klass int, doc_tokens long, ids binary"
@@ -144,4 +218,6 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, slack:
     fitted = left.select("klass", "nth", "length").groupBy().applyInPandas(_first_fit(capacity), "klass int, nth long, bin long, offset long")
     left = left.join(fitted, ["klass", "nth"]).select("part", "local", (F.col("all_bins") + F.col("bin")).alias("sequence_id"), "offset")
     placed = full.unionByName(left)
-    return pieces.join(placed, ["part", "local"]).select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", F.col("klass").alias("class"))
+    ids = F.col("ids") if of_ids is None else of_ids
+    known = pieces.select("part", "local", "doc_id", "start", "length", ids, "doc_tokens", F.col("klass").alias("class"))
+    return known.join(placed, ["part", "local"]).drop("part", "local")

@@ -18,16 +18,16 @@ def test_cuts_cover_the_length(n):
     assert all(k * x <= packing.CAPACITY for k, x in parts)
 
 
-@given(st.text())
+@given(st.one_of(st.text(), st.text(st.characters(max_codepoint=255)), st.lists(st.sampled_from(["Word", "word.", "word,", "É", "..", "<|", "endoftext", "|>", " ", "\x1c", "\x85", "\xa0", "\t", "x2", "'s", "ab%%%", "c.,", "#", "_"])).map("".join)))
 def test_chunks_encode_like_whole_text(text):
     whole = packing.tokenizer(PATH).encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(packing.Words(PATH).encode(text), "<u4").tolist() == whole
+    assert np.frombuffer(packing.worker_words(PATH).encode([text])[0], "<u4").tolist() == whole
 
 
-@pytest.mark.parametrize("text", ["a b\x1cc", "it's <|endoftext|>x  y", "É é\nß 12", "a\x85b c\u3000d"])
+@pytest.mark.parametrize("text", ["a b\x1cc", "it's <|endoftext|>x  y", "É é\nß 12", "a\x85b c\u3000d", "<|endoftext|>", "<|ENDOFTEXT|> a", "ÀÞ×÷ßÿ ªº µ", "a\xa0b\x1cc\x1fd", "Σας œuf"])
 def test_chunks_encode_like_whole_text_cases(text):
     whole = packing.tokenizer(PATH).encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(packing.Words(PATH).encode(text), "<u4").tolist() == whole
+    assert np.frombuffer(packing.worker_words(PATH).encode([text])[0], "<u4").tolist() == whole
 
 
 def test_round_trip(spark):
