@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -14,3 +15,21 @@ def import_path(spark: SparkSession) -> SparkSession:
     if here not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), here) if x)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Only where that is unset and the master is local, a temporary folder takes its place.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if kept.isDefined():
+            return kept.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="tessera-")
+        spark.sparkContext.setCheckpointDir(where)
+        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return where
