@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import brown, decontaminate, packing, quality, secrets, simhash, topk, toxicity, url_templates
+from tessera.llm import brown, decontaminate, packing, quality, secrets, simhash, suffixes, topk, toxicity, url_templates
 from tessera.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_brown": op3_brown,
     "op4_secrets": op4_secrets,
     "op5_decontaminate": op5_decontaminate,
+    "op6_suffixes": op6_suffixes,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
