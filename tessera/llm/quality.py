@@ -127,15 +127,18 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
         for df in frames:
             if len(df):
                 a, b = _views(df)
-                yield pd.DataFrame({"doc_id": df.doc_id, "y": df.y.astype("float64"), "v": list(np.hstack([a, b]))})
+                yield pd.DataFrame({"doc_id": df.doc_id, "y": df.y.astype("float64"), "v": [x.tobytes() for x in np.hstack([a, b]).astype("<f4")]})
 
-    got = rows.mapInPandas(run, "doc_id long, y double, v array<double>").toPandas()
-    got = got.assign(key=got.v.map(lambda v: v.tobytes() if isinstance(v, np.ndarray) else bytes(str(v), "ascii"))).drop_duplicates(["doc_id", "key"]).sort_values(["doc_id", "key"])
+    got = rows.mapInPandas(run, "doc_id long, y double, v binary").toArrow().to_pandas().drop_duplicates(["doc_id", "v"]).sort_values(["doc_id", "v"])
     known_rows, free_rows = got[got.y.notna()], got[got.y.isna()]
     y = (known_rows.y >= 0.5).to_numpy()
     if min(y.sum(), (~y).sum()) < LEAST:
         return float(known_rows.y.mean()) if len(known_rows) else 1.0
-    both = lambda f: [np.array(f.v.tolist()).reshape(len(f), sum(width))[:, : width[0]], np.array(f.v.tolist()).reshape(len(f), sum(width))[:, width[0] :]]
+
+    def both(f: pd.DataFrame) -> list[np.ndarray]:
+        x = np.frombuffer(b"".join(f.v), "<f4").reshape(len(f), sum(width)).astype(np.float64)
+        return [x[:, : width[0]], x[:, width[0] :]]
+
     return co_train(both(known_rows), y, both(free_rows))
 
 

@@ -214,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column) -> Model | float
             marked = np.array([style(t) for t in df.text], bool).reshape(-1, 3)
             yield pd.DataFrame({"doc_id": df.doc_id, "y": df.y.astype("float64"), "found": short, "size": [len(t or "") for t in df.text], "s0": marked[:, 0], "s1": marked[:, 1], "s2": marked[:, 2]})
 
-    sample = rows.mapInPandas(keep, "doc_id long, y double, found string, size long, s0 boolean, s1 boolean, s2 boolean").toPandas().sort_values(["doc_id", "found", "size"])
+    sample = rows.mapInPandas(keep, "doc_id long, y double, found string, size long, s0 boolean, s1 boolean, s2 boolean").toArrow().to_pandas().sort_values(["doc_id", "found", "size"])
     y = np.where(sample.y.isna(), np.nan, (sample.y >= 0.5).astype(float))
     sure = y[~np.isnan(y)]
     if min((sure == 1).sum(), (sure == 0).sum()) < LEAST:
