@@ -23,7 +23,7 @@ def main(argv: list[str] | None = None) -> None:
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     if args.action == "build":
-        Index.build(corpus.directory(spark, args.docs), args.analyzer, args.compat).save(args.index)
+        Index.write(corpus.directory(spark, args.docs), args.index, args.analyzer, args.compat)
         return
     idx = Index.load(spark, args.index, args.analyzer)
     batches = [corpus.queries(spark, args.queries)] if args.queries else (corpus.inline(spark, [line.rstrip("\n")]) for line in sys.stdin)

@@ -32,8 +32,21 @@ class Index:
             rows = rows.where("not is_stop").unionByName(index.last_document_only(rows))
         return cls(found, rows, vocab, index.lines(docs, found), index.stats(vocab), analyzer)
 
-    def save(self, path: str) -> None:
-        corpus.write_tables(path, positions=self.positions, postings=self.postings, vocabulary=self.vocabulary, lines=self.lines, stats=self.stats.select("sumf", F.lit(0).cast("long").alias("docs")))
+    @classmethod
+    def write(cls, docs: DataFrame, path: str, analyzer: str = "exact", compat: bool = False) -> Index:
+        """Builds the tables in a folder, each from those written before it, and returns them as read again."""
+        found = corpus.write_table(index.positions(docs, analyzer), path, "positions")
+        rows = index.postings(found)
+        if compat:
+            full = corpus.write_table(rows, path, "full_postings")
+            vocab = corpus.write_table(index.vocabulary(full), path, "vocabulary")
+            rows = full.where("not is_stop").unionByName(index.last_document_only(full))
+            corpus.write_table(rows, path, "postings")
+        else:
+            vocab = corpus.write_table(index.vocabulary(corpus.write_table(rows, path, "postings")), path, "vocabulary")
+        corpus.write_table(index.lines(docs, found), path, "lines")
+        corpus.write_table(index.stats(vocab), path, "stats")
+        return cls.load(docs.sparkSession, path, analyzer)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, analyzer: str = "exact") -> Index:

@@ -65,9 +65,7 @@ def vocab(spark: SparkSession, d: str) -> DataFrame:
 
 def written(spark: SparkSession, d: str) -> Index:
     """The index as tables in the shared folder: built once, read by every part of a search."""
-    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-    Index.build(docs(spark, d)).save(path)
-    return Index.load(spark, path)
+    return Index.write(docs(spark, d), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
 
 
 def asked(spark: SparkSession, lines: list[tuple[int, str]] = LINES) -> DataFrame:

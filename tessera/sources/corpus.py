@@ -40,13 +40,18 @@ def csv_rows(df: DataFrame, key: str, values: str) -> DataFrame:
     return df.select(F.concat_ws(",", F.col(key), F.array_join(F.col(values).cast("array<string>"), ",")).alias("value"))
 
 
-def write_tables(path: str, **tables: DataFrame) -> None:
-    """Parquet tables in one folder; tables with a bucket are partitioned by it and sorted by term within."""
-    for name, df in tables.items():
-        if "bucket" in df.columns:
-            df.repartition("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
-        else:
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
+def write_table(df: DataFrame, path: str, name: str) -> DataFrame:
+    """A Parquet table of the index, and the table read again.
+
+    Tables with a bucket are partitioned by it. Rows are dealt by ranges of (bucket, term, doc_id), so a task
+    writes few buckets, files hold ranges of terms, and a very frequent term still goes to several tasks.
+    """
+    if "bucket" in df.columns:
+        keys = [c for c in ("bucket", "term", "doc_id") if c in df.columns]
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+    else:
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    return read_table(df.sparkSession, path, name)
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:

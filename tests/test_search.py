@@ -60,9 +60,8 @@ def test_lines_of_hits(spark, idx):
     assert a == sorted(tuple(r) for r in retrieval.snippets_by_range(found, idx.lines).collect())
 
 
-def test_save_load_and_stream(spark, idx, tmp_path):
-    idx.save(str(tmp_path / "index"))
-    again = Index.load(spark, str(tmp_path / "index"), "rules")
+def test_written_index_and_stream(spark, docs, idx, tmp_path):
+    again = Index.write(docs, str(tmp_path / "index"), "rules")
     queries = corpus.inline(spark, ["dog lazy", "the the", "foxx"])
     want = sorted(map(tuple, search(idx, queries).collect()))
     assert sorted(map(tuple, search(again, queries).collect())) == want
@@ -72,6 +71,13 @@ def test_save_load_and_stream(spark, idx, tmp_path):
     assert sorted(out) == want
 
 
+def test_written_compat_index_keeps_the_vocabulary(spark, docs, idx, tmp_path):
+    old = Index.write(docs, str(tmp_path / "index"), "rules", compat=True)
+    assert sorted(map(tuple, old.vocabulary.collect())) == sorted(map(tuple, idx.vocabulary.collect()))
+    assert [(r.term, r.doc_id) for r in old.postings.where("term = 'the'").collect()] == [("the", 3)]
+    assert old.stats.first().sumf == 18
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "docs").mkdir()
     for i, text in DOCS:
