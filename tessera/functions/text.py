@@ -92,6 +92,30 @@ def lemma(term: Column) -> Column:
     return F.when(is_stop(term) | term.rlike("^[0-9]"), term).otherwise(F.coalesce(irregular(term), without_s(term), term))
 
 
+def tag(token: Column, before: Column) -> Column:
+    """A part-of-speech tag by form alone: numbers, marks, possessives, listed verbs, -ing, -ed, plurals; the rest is a noun."""
+    verbs, plurals = ([w for w in table if w not in L.STOPWORDS] for table in (L.IRREGULAR_VERBS, L.IRREGULAR_PLURALS))
+    return (
+        F.when(token.isin(*L.MARKS), ".")
+        .when(token.rlike(r"^\d[\d.,]*$"), "CD")
+        .when(token == "'s", F.when(before.isin(*L.PRONOUNS), "VBZ").otherwise("POS"))
+        .when(token.isin(*verbs), "VBD")
+        .when(token.isin(*plurals), "NNS")
+        .when(token.rlike("^.{3,}ing$"), "VBG")
+        .when(token.rlike("^.{3,}ed$"), "VBD")
+        .when(without_s(token).isNotNull(), "NNS")
+        .otherwise("NN")
+    )
+
+
+def lemma_by_tag(term: Column, tag: Column) -> Column:
+    """The lemma of a term for its tag's class: nouns by list and final s, verbs by list; other tags leave it as it is."""
+    kind = F.create_map(*(F.lit(x) for pair in L.TAG_CLASSES.items() for x in pair))[tag]
+    listed = lambda forms: F.create_map(*(F.lit(x) for pair in forms.items() for x in pair))[term]
+    noun, verb = F.coalesce(listed(L.IRREGULAR_PLURALS), without_s(term), term), F.coalesce(listed(L.IRREGULAR_VERBS), term)
+    return F.when(is_stop(term), term).when(kind == "n", noun).when(kind == "v", verb).otherwise(term)
+
+
 def trims(word: Column) -> Column:
     """All results of the suffix trims that fit."""
     each = [F.when(word.endswith(a), F.concat(word.substr(F.lit(1), F.length(word) - len(a)), F.lit(b))) for a, b in L.TRIMS]

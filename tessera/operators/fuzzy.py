@@ -23,7 +23,7 @@ def letters(vocab: DataFrame) -> DataFrame:
 
 
 def scan_join(words: DataFrame, targets: DataFrame, max_edit: int = MAX_EDIT) -> DataFrame:
-    """(q, cand, ..., edit) within ``max_edit``: the query side, a bounded number of words, is broadcast against the scan."""
+    """(q, cand, ..., edit) within ``max_edit``: the query side, at most SCAN_WORDS words (see ``edit_join``), is broadcast against the scan."""
     distance = F.levenshtein("q", "cand", max_edit)
     close = F.abs(F.length("q") - F.length("cand")) <= max_edit
     return targets.join(F.broadcast(words), close & (F.col("q") != F.col("cand")) & (distance >= 0)).withColumn("edit", F.levenshtein("q", "cand"))
@@ -46,6 +46,12 @@ def deletion_join(words: DataFrame, targets: DataFrame, max_edit: int = MAX_EDIT
     return pairs.withColumn("edit", F.levenshtein("q", "cand")).where(F.col("edit") <= max_edit)
 
 
+def edit_join(words: DataFrame, targets: DataFrame, max_edit: int = MAX_EDIT) -> DataFrame:
+    """The scan while the query words are few enough to broadcast, else the equi-join over deletions."""
+    few = words.limit(SCAN_WORDS + 1).count() <= SCAN_WORDS
+    return (scan_join if few else deletion_join)(words, targets, max_edit)
+
+
 def surfaces(vocab: DataFrame) -> DataFrame:
     """(surface, cand, cf): inflected forms of main terms that are no terms themselves."""
     t = F.col("cand")
@@ -65,10 +71,10 @@ def surfaces(vocab: DataFrame) -> DataFrame:
 
 def candidates(words: DataFrame, vocab: DataFrame, inflected: bool, max_edit: int = MAX_EDIT) -> DataFrame:
     """(q, cand, cf, edit), the least edit of each pair; with ``inflected`` also by way of inflected forms."""
-    near = scan_join(words, letters(vocab), max_edit).select("q", "cand", "cf", "edit")
+    near = edit_join(words, letters(vocab), max_edit).select("q", "cand", "cf", "edit")
     if inflected:
         forms = surfaces(vocab).select(F.col("cand").alias("lemma"), "cf", F.col("surface").alias("cand"))
-        by_form = scan_join(words, forms, max_edit).select("q", F.col("lemma").alias("cand"), "cf", "edit")
+        by_form = edit_join(words, forms, max_edit).select("q", F.col("lemma").alias("cand"), "cf", "edit")
         near = near.unionByName(by_form.where(F.col("q") != F.col("cand")))
     return near.groupBy("q", "cand", "cf").agg(F.min("edit").alias("edit"))
 

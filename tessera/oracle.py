@@ -77,6 +77,20 @@ def lemma(t: str) -> str:
     return f"case when {stop(t)} or regexp_matches({t}, '^[0-9]') then {t} else coalesce({irregular(t)}, {without_s(t)}, {t}) end"
 
 
+def tag(tok: str, before: str) -> str:
+    verbs, plurals = (quoted(*(w for w in table if w not in L.STOPWORDS)) for table in (L.IRREGULAR_VERBS, L.IRREGULAR_PLURALS))
+    return f"""case when {tok} in ({quoted(*L.MARKS)}) then '.' when regexp_matches({tok}, '^\\d[\\d.,]*$') then 'CD'
+  when {tok} = '''s' then case when {before} in ({quoted(*L.PRONOUNS)}) then 'VBZ' else 'POS' end
+  when {tok} in ({verbs}) then 'VBD' when {tok} in ({plurals}) then 'NNS' when regexp_matches({tok}, '^.{{3,}}ing$') then 'VBG'
+  when regexp_matches({tok}, '^.{{3,}}ed$') then 'VBD' when {without_s(tok)} is not null then 'NNS' else 'NN' end"""
+
+
+def lemma_by_tag(t: str, tag: str) -> str:
+    kinds = {k: quoted(*(x for x, c in L.TAG_CLASSES.items() if c == k)) for k in "nv"}
+    listed = lambda forms: f"case {t} " + " ".join(f"when '{a}' then '{b}'" for a, b in forms.items()) + " end"
+    return f"case when {stop(t)} then {t} when {tag} in ({kinds['n']}) then coalesce({listed(L.IRREGULAR_PLURALS)}, {without_s(t)}, {t}) when {tag} in ({kinds['v']}) then coalesce({listed(L.IRREGULAR_VERBS)}, {t}) else {t} end"
+
+
 def trims(w: str) -> str:
     each = ", ".join(f"case when ends_with({w}, '{a}') then left({w}, length({w}) - {len(a)}) || '{b}' end" for a, b in L.TRIMS)
     return f"case when length({w}) >= 4 then list_distinct(list_filter([{each}], lambda x: x is not null)) else [] end"

@@ -268,10 +268,34 @@ def tag_class_map(spark, d):
 
 
 @query(f"select distinct term, {O.lemma('term')} as lemma from positions")
-def lemma_tagged(spark, d):
+def lemma_rules(spark, d):
     return found(spark, d).select("term").distinct().select("term", T.lemma(F.col("term")).alias("lemma"))
 
 
+TAGGED = f"select tok, {O.tag('tok', 'prev')} as tag, {O.term('tok', 'prev')} as term from before"
+
+
+def token_rows(spark, d):
+    return index.split_lines(docs(spark, d)).select(T.tokens(T.normalised(F.col("line"))).alias("t"))
+
+
+def token_before(i: Column) -> Column:
+    return F.when(i > 0, F.get("t", i - 1))
+
+
+@query("select tag, count(*) as n from tagged group by tag", tagged=TAGGED)
+def pos_tags(spark, d):
+    tags = F.transform("t", lambda x, i: T.tag(x, token_before(i)))
+    return token_rows(spark, d).select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"select term, tag, lemma, count(*) as n from (select term, tag, {O.lemma_by_tag('term', 'tag')} as lemma from tagged where term is not null) group by term, tag, lemma", tagged=TAGGED)
+def lemma_tagged(spark, d):
+    both = F.transform("t", lambda x, i: F.struct(T.term(x, token_before(i)).alias("term"), T.tag(x, token_before(i)).alias("tag")))
+    counted = token_rows(spark, d).select(F.explode(both).alias("b")).where("b.term is not null").groupBy("b.term", "b.tag").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("term", "tag", T.lemma_by_tag(F.col("term"), F.col("tag")).alias("lemma"), "n")
+
+
 WORDS = ["dogs", "went", "children", "1,234", "buses", "bodies", "class", "is", "the", "gas", "matches", "2nd", "thes"]
 
 

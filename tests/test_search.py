@@ -122,6 +122,14 @@ def test_fuzzy_joins_agree(spark):
     assert a == b and len(a) > 100
 
 
+def test_many_query_words_take_the_equi_join(spark, monkeypatch):
+    vocab = spark.createDataFrame([("cat", 1, 1, False, "c"), ("car", 90, 1, False, "c")], "term string, cf long, df long, is_stop boolean, bucket string")
+    words = spark.createDataFrame([("cat", 1), ("car", 90)], "q string, cf long")
+    few = sorted(map(tuple, fuzzy.non_obvious(words, vocab).collect()))
+    monkeypatch.setattr(fuzzy, "SCAN_WORDS", 1)
+    assert sorted(map(tuple, fuzzy.non_obvious(words, vocab).collect())) == few and few
+
+
 VOCAB = "term string, cf long, df long, is_stop boolean, bucket string"
 
 
