@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import fuzzy
+from tessera.session import materialise
 
 
 def parse(queries: DataFrame, analyzer: str = "exact") -> DataFrame:
@@ -87,12 +88,31 @@ def proximity(found: DataFrame, most_slots: int) -> DataFrame:
     return best.select(*keys, F.col("b.distance").cast("long").alias("distance"), (-F.col("b.minus_ordered")).cast("long").alias("ordered_pairs"), "b.positions")
 
 
+#: Documents of one query, distance and order that are numbered in one task.
+RANK_BLOCK = 1 << 16
+
+
 def rank(found: DataFrame, k: int | None = None) -> DataFrame:
-    """The best combination of each document, ranked within its query; ``k``: only the first so many."""
+    """The best combination of each document, ranked within its query; ``k``: only the first so many.
+
+    With ``k`` each task drops all but its own first k. Without, a query may match a large part of all documents, so no
+    task numbers them all: blocks of documents with one distance and order are counted, and a block's rows start after
+    all earlier blocks.
+    """
     best = Window.partitionBy("query_id", "doc_id").orderBy("distance", F.desc("ordered_pairs"), "combo_id")
-    order = Window.partitionBy("query_id").orderBy("distance", F.desc("ordered_pairs"), "doc_id")
-    ranked = found.withColumn("n", F.row_number().over(best)).where("n = 1").withColumn("rank", F.row_number().over(order))
-    return (ranked.where(F.col("rank") <= k) if k else ranked).select("query_id", "rank", "doc_id", "distance", "ordered_pairs", "positions")
+    kept = found.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
+    if k:
+        order = Window.partitionBy("query_id").orderBy("distance", F.desc("ordered_pairs"), "doc_id")
+        ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    else:
+        block = ["query_id", "distance", "ordered_pairs", "block"]
+        kept = materialise(kept.withColumn("block", F.floor(F.col("doc_id") / RANK_BLOCK)), "ranked")  # read twice below
+        counts = kept.groupBy(*block).agg(F.count(F.lit(1)).alias("many"))
+        earlier = Window.partitionBy("query_id").orderBy("distance", F.desc("ordered_pairs"), "block").rowsBetween(Window.unboundedPreceding, -1)
+        starts = counts.withColumn("start", F.coalesce(F.sum("many").over(earlier), F.lit(0))).drop("many")
+        inside = F.row_number().over(Window.partitionBy(*block).orderBy("doc_id"))
+        ranked = kept.withColumn("nth", inside).join(starts, block).withColumn("rank", (F.col("start") + F.col("nth")).cast("int"))
+    return ranked.select("query_id", "rank", "doc_id", "distance", "ordered_pairs", "positions")
 
 
 def snippets(results: DataFrame, positions: DataFrame, lines: DataFrame) -> DataFrame:
