@@ -4,23 +4,13 @@ from __future__ import annotations
 
 import functools
 import os
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import shared_dir
+from tessera.session import materialise
 
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it again.
-
-    Cuts the lineage: a lost executor costs the tasks that ran on it, not the stages before.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["ascii_lower", "crc_mod", "materialise", "shuffle_parts", "table", "tokenizer"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
