@@ -34,8 +34,9 @@ from tessera.llm.common import shuffle_parts
 LENGTH = 100
 #: Bytes that are hashed at once, suffixes in a batch, and bytes of text or rows gathered before they are sent.
 BLOCK, BATCH, SEND = 1 << 20, 1 << 18, 12_000_000
-#: Document buckets for each shuffle partition, so that buckets of either kind fall evenly.
-SPREAD = 4
+#: Shards, and document buckets: one for two shuffle partitions, but at least so many. Each shard sends one packed row to each
+#: bucket, so with half as many of both there are at most a quarter of the partitions' square of these rows.
+LEAST = 12
 LAST = 2**63 - 1
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(29)
 _BYTES = (np.arange(1, 257, dtype=np.uint64) * _A) ^ (np.arange(1, 257, dtype=np.uint64) * _B >> np.uint64(31))
@@ -359,7 +360,7 @@ def _results(rows: list[tuple]) -> pd.DataFrame:
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that are left) of every row of ``docs`` (doc_id, text)."""
     parts = shuffle_parts(docs.sparkSession)
-    shards, buckets = parts, SPREAD * parts
+    shards = buckets = max(LEAST, parts // 2)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = rows.groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("many"))
     shared_ids = bool(ids.agg(F.max("many")).first()[0])
