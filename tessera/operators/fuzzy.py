@@ -46,9 +46,14 @@ def deletion_join(words: DataFrame, targets: DataFrame, max_edit: int = MAX_EDIT
     return pairs.withColumn("edit", F.levenshtein("q", "cand")).where(F.col("edit") <= max_edit)
 
 
-def edit_join(words: DataFrame, targets: DataFrame, max_edit: int = MAX_EDIT) -> DataFrame:
+def are_few(words: DataFrame) -> bool:
+    """Whether these query words, and so any subset of them, may be broadcast."""
+    return words.limit(SCAN_WORDS + 1).count() <= SCAN_WORDS
+
+
+def edit_join(words: DataFrame, targets: DataFrame, max_edit: int = MAX_EDIT, few: bool | None = None) -> DataFrame:
     """The scan while the query words are few enough to broadcast, else the equi-join over deletions."""
-    few = words.limit(SCAN_WORDS + 1).count() <= SCAN_WORDS
+    few = are_few(words) if few is None else few
     return (scan_join if few else deletion_join)(words, targets, max_edit)
 
 
@@ -69,12 +74,13 @@ def surfaces(vocab: DataFrame) -> DataFrame:
     return made.unionByName(irregular).distinct().join(terms.select(F.col("cand").alias("surface")), "surface", "left_anti")
 
 
-def candidates(words: DataFrame, vocab: DataFrame, inflected: bool, max_edit: int = MAX_EDIT) -> DataFrame:
+def candidates(words: DataFrame, vocab: DataFrame, inflected: bool, max_edit: int = MAX_EDIT, few: bool | None = None) -> DataFrame:
     """(q, cand, cf, edit), the least edit of each pair; with ``inflected`` also by way of inflected forms."""
-    near = edit_join(words, letters(vocab), max_edit).select("q", "cand", "cf", "edit")
+    few = are_few(words) if few is None else few
+    near = edit_join(words, letters(vocab), max_edit, few).select("q", "cand", "cf", "edit")
     if inflected:
         forms = surfaces(vocab).select(F.col("cand").alias("lemma"), "cf", F.col("surface").alias("cand"))
-        by_form = edit_join(words, forms, max_edit).select("q", F.col("lemma").alias("cand"), "cf", "edit")
+        by_form = edit_join(words, forms, max_edit, few).select("q", F.col("lemma").alias("cand"), "cf", "edit")
         near = near.unionByName(by_form.where(F.col("q") != F.col("cand")))
     return near.groupBy("q", "cand", "cf").agg(F.min("edit").alias("edit"))
 
@@ -97,9 +103,9 @@ def ranked(found: DataFrame) -> DataFrame:
     return found.withColumn("turn", F.row_number().over(order))
 
 
-def obvious(words: DataFrame, vocab: DataFrame, stats: DataFrame, max_edit: int = MAX_EDIT, most: int | None = None) -> DataFrame:
+def obvious(words: DataFrame, vocab: DataFrame, stats: DataFrame, max_edit: int = MAX_EDIT, most: int | None = None, few: bool | None = None) -> DataFrame:
     """Corrections of words outside the vocabulary: all over the threshold, or else the best one."""
-    found = ranked(candidates(words, vocab, True, max_edit)).crossJoin(F.broadcast(stats.select("sumf")))  # one row
+    found = ranked(candidates(words, vocab, True, max_edit, few)).crossJoin(F.broadcast(stats.select("sumf")))  # one row
     found = found.withColumn("passes", F.expr(OBVIOUS_RULE))
     any_pass = F.max("passes").over(Window.partitionBy("q"))
     kept = found.withColumn("any", any_pass).where(F.col("passes") | (~F.col("any") & (F.col("turn") == 1)))
@@ -107,8 +113,8 @@ def obvious(words: DataFrame, vocab: DataFrame, stats: DataFrame, max_edit: int
     return (kept.where(F.col("turn") <= most) if most else kept).select("q", "cand", "edit", "cf", "turn", "score")
 
 
-def non_obvious(words: DataFrame, vocab: DataFrame, max_edit: int = MAX_EDIT, most: int | None = None) -> DataFrame:
+def non_obvious(words: DataFrame, vocab: DataFrame, max_edit: int = MAX_EDIT, most: int | None = None, few: bool | None = None) -> DataFrame:
     """Alternatives of words in the vocabulary that are likelier than no error; ``words`` has q and its own frequency."""
-    found = candidates(words.select("q"), vocab, False, max_edit).join(words.select("q", F.col("cf").alias("own")), "q")
+    found = candidates(words.select("q"), vocab, False, max_edit, few).join(words.select("q", F.col("cf").alias("own")), "q")
     kept = ranked(found.where(F.expr(NON_OBVIOUS_RULE)))
     return (kept.where(F.col("turn") <= most) if most else kept).select("q", "cand", "edit", "cf", "turn")

@@ -29,8 +29,9 @@ def correct(words: DataFrame, vocab: DataFrame, stats: DataFrame, max_edit: int
     kinds = spelt.select(F.col("word").alias("q")).distinct()
     known = kinds.join(own, "q")
     unknown = kinds.join(own.select("q"), "q", "left_anti")
-    better = fuzzy.obvious(unknown, vocab, stats, max_edit, most).select("q", "turn", F.col("cand").alias("term"))
-    likelier = fuzzy.non_obvious(known, vocab, max_edit, most).select("q", "turn", F.col("cand").alias("term"))
+    few = fuzzy.are_few(kinds)  # over the query lines alone; it holds for both parts
+    better = fuzzy.obvious(unknown, vocab, stats, max_edit, most, few).select("q", "turn", F.col("cand").alias("term"))
+    likelier = fuzzy.non_obvious(known, vocab, max_edit, most, few).select("q", "turn", F.col("cand").alias("term"))
     last = known.select("q", F.lit(2**31 - 1).alias("turn"), F.col("q").alias("term"))  # the word itself comes last
     # a word without any candidate stays, and finds nothing
     alternatives = better.unionByName(likelier).unionByName(last)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import index, retrieval
+from tessera.session import materialise
 from tessera.sources import corpus
 
 
@@ -64,15 +65,16 @@ def search(idx: Index, queries: DataFrame, k: int | None = None, spell: bool = T
     ``most``: at most so many spelling alternatives a word (off by default).
     """
     words = retrieval.parse(queries, idx.analyzer)
-    longest = words.agg(F.max("slot")).first()[0]  # over the query lines alone
     if spell:
         slots = retrieval.correct(words, idx.vocabulary, idx.stats, most=most)
     else:
         slots = words.select("query_id", "slot", F.lit(0).alias("alt_no"), F.col("word").alias("term"))
-    combos = retrieval.combine(slots)
+    # a few rows a query, read by each step below: written once, the speller runs once
+    combos = materialise(retrieval.combine(slots), "combos")
+    longest = combos.agg(F.max("slots")).first()[0]
     matched = retrieval.matches(combos, idx.postings)
     found = retrieval.slot_positions(combos, matched, idx.positions)
-    return retrieval.rank(retrieval.proximity(found, 1 + (longest or 0)), k)
+    return retrieval.rank(retrieval.proximity(found, longest or 1), k)
 
 
 def formatted(results: DataFrame, queries: DataFrame, idx: Index) -> DataFrame:
