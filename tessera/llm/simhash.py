@@ -15,7 +15,7 @@ Two ways to deal them:
 
 Inside a shard the full metric and the full radius hold. Shards give star
 edges of their local groups, never all pairs; groups are joined by distributed
-minimum propagation with pointer jumping.
+minimum propagation with pointer jumping, and a joined group counts as one node from then on.
 
 Defined results: a null text is empty; fewer words than a shingle make one shingle;
 no words give fingerprint zero, linked like any other; repeated rows share a
@@ -39,6 +39,8 @@ from tessera.llm.common import materialise, shuffle_parts
 
 #: Groups up to SMALL rows are compared by shifting the sorted rows; trees stop splitting at LEAF.
 SMALL, LEAF = 32, 512
+#: Projections that are searched first where there are many.
+WAVE = 8
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -173,14 +175,15 @@ def _shard_edges(radius: int, longs: int, keys: int):
                 break
             hit = at[within(prints[at], prints[at + lag], radius)]
             a.append(hit), b.append(hit + lag)
-        first = np.concatenate([[0], np.cumsum(sizes)])
+        first, roots = np.concatenate([[0], np.cumsum(sizes)]), part.root.to_numpy()
         for g in np.flatnonzero(sizes > SMALL):
+            if (roots[first[g] : first[g + 1]] == roots[first[g]]).all():
+                continue  # known to be one group
             label = tree_groups(prints[first[g] : first[g + 1]], radius)
             linked = np.flatnonzero(label != np.arange(len(label)))
             a.append(first[g] + label[linked]), b.append(first[g] + linked)
-        nodes = part.node.to_numpy()
-        a, b = (np.concatenate([*x, np.zeros(0, int)]).astype(int) for x in (a, b))
-        return pd.DataFrame({"u": nodes[a], "v": nodes[b]}).drop_duplicates()
+        a, b = (roots[np.concatenate([*x, np.zeros(0, int)]).astype(int)] for x in (a, b))
+        return pd.DataFrame({"u": a[a != b], "v": b[a != b]}).drop_duplicates()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []  # the sorted rows of shards that may go on in the next batch
@@ -202,7 +205,10 @@ def _shard_edges(radius: int, longs: int, keys: int):
 
 
 def links(nodes: DataFrame, masks: list[list[int]], radius: int, longs: int = 1) -> DataFrame:
-    """Star edges (u, v) over ``nodes`` (node, f0, ...) that connect all fingerprints within ``radius`` that share a mask's bits."""
+    """Edges (u, v) that connect the roots of all fingerprints within ``radius`` that share a mask's bits.
+
+    ``nodes``: root, f0, ...; fingerprints with one root are known to be connected and give no edge.
+    """
     signed = lambda x: x - 2**64 if x >= 2**63 else x
     table = F.array(*(F.array(*(F.lit(signed(x)) for x in mask)) for mask in masks))
     rows = nodes.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("t"))
@@ -210,7 +216,7 @@ def links(nodes: DataFrame, masks: list[list[int]], radius: int, longs: int = 1)
     parts = [F.col(f"f{i}").bitwiseAND(F.get(mask, F.lit(i))) for i in range(longs)]
     if longs > 1:  # one key a shard; the kernel's full distance leaves no room for chance collisions
         parts = [F.xxhash64(*parts)]
-    rows = rows.select("node", *(f"f{i}" for i in range(longs)), "t", *(p.alias(f"k{i}") for i, p in enumerate(parts)))
+    rows = rows.select("root", *(f"f{i}" for i in range(longs)), "t", *(p.alias(f"k{i}") for i, p in enumerate(parts)))
     keys = ["t", *(f"k{i}" for i in range(len(parts)))]
     dealt = rows.repartition(shuffle_parts(nodes.sparkSession), *keys).sortWithinPartitions(*keys)
     return dealt.mapInPandas(_shard_edges(radius, longs, len(parts)), "u long, v long").distinct()
@@ -241,10 +247,13 @@ def group(docs: DataFrame, shingle: int = 4, radius: int = 4, longs: int = 1, si
     names = [f"f{i}" for i in range(longs)]
     prints = materialise(fingerprints(docs, shingle, longs), "prints")
     classes = prints.groupBy(*names).agg(F.min("doc_id").alias("least"))
-    nodes = materialise(classes.select("*", (F.col("f0") if longs == 1 else F.xxhash64(*names)).alias("node")), "nodes")
-    masks = [[m] for m in exact_masks(radius)] if similarity is None else sampled_masks(nodes.count(), similarity, longs)
-    roots = components(links(nodes, masks, radius, longs))
-    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = materialise(classes.select("*", (F.col("f0") if longs == 1 else F.xxhash64(*names)).alias("root")), "nodes")
+    masks = [[m] for m in exact_masks(radius)] if similarity is None else sampled_masks(named.count(), similarity, longs)
+    # a few projections first: a group that they connect gives no more edges in the others
+    cut = WAVE if len(masks) > 2 * WAVE else len(masks)
+    for some in filter(None, (masks[:cut], masks[cut:])):
+        roots = components(links(named, some, radius, longs)).select(F.col("node").alias("root"), F.col("root").alias("joined"))
+        named = materialise(named.join(roots, "root", "left").withColumn("root", F.coalesce("joined", "root")).drop("joined"), "nodes")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     known = named.join(least, "root").select(*names, "component_id")
     text = F.concat(*(F.lower(F.lpad(F.hex(c), 16, "0")) for c in reversed(names)))

@@ -95,7 +95,7 @@ def test_tree_groups_like_brute_force():
 
 def test_chain_over_many_links(spark):
     chain = [(i, (1 << (3 * i)) - 1) for i in range(21)]
-    nodes = spark.createDataFrame([(p - 2**64 if p >= 2**63 else p,) * 2 for _, p in chain], "node long, f0 long")
+    nodes = spark.createDataFrame([(p - 2**64 if p >= 2**63 else p,) * 2 for _, p in chain], "root long, f0 long")
     roots = {r.root for r in s.components(s.links(nodes, [[m] for m in s.exact_masks(4)], 4)).collect()}
     assert len(roots) == 1
 
