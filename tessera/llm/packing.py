@@ -30,7 +30,7 @@ CAPACITY, END = 2048, 1
 #: Share of a piece that may be left empty rather than cut off; pieces shorter than SHORT are never cut.
 SLACK, SHORT = 0.01, 48
 #: Chunks whose ids a worker keeps; then it starts anew.
-CACHE = 1_500_000
+CACHE = 1_000_000
 #: ASCII marks that the tokenizer keeps together and apart from letters (not the apostrophe, which may begin an ending).
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Latin-1 in lower case, with its two other white-space characters as blanks.
