@@ -189,11 +189,13 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, slack:
     """Pieces of all documents with their place: doc_id, start, length, ids, doc_tokens, sequence_id, offset, class.
 
     ``ids``: the piece's token ids, unsigned 32-bit little-endian, as binary; or, in their stead,
-    ``of_ids``, an expression over them, which keeps the ids themselves out of the last join.
+    ``of_ids``, an expression over them, which is evaluated where they are made, so that they are not written.
     """
     # tokenised once: the places below are counted from the written table
     schema = "doc_id long, start long, length long, klass int, doc_tokens long, ids binary"
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_pieces(tokenizer_path, capacity, slack, short), schema)
+    ids = F.col("ids") if of_ids is None else of_ids
+    made = made.select("doc_id", "start", "length", "klass", "doc_tokens", ids)
     pieces = materialise(made.withColumn("part", F.spark_partition_id()).withColumn("local", F.monotonically_increasing_id()), "pieces")
     # a piece's rank in its class: those of earlier parts, then its rank within the part's own class
     keys = pieces.select("klass", "part", "local", "length", "doc_id", "start")
@@ -218,6 +220,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, slack:
     fitted = left.select("klass", "nth", "length").groupBy().applyInPandas(_first_fit(capacity), "klass int, nth long, bin long, offset long")
     left = left.join(fitted, ["klass", "nth"]).select("part", "local", (F.col("all_bins") + F.col("bin")).alias("sequence_id"), "offset")
     placed = full.unionByName(left)
-    ids = F.col("ids") if of_ids is None else of_ids
-    known = pieces.select("part", "local", "doc_id", "start", "length", ids, "doc_tokens", F.col("klass").alias("class"))
-    return known.join(placed, ["part", "local"]).drop("part", "local")
+    return pieces.withColumnRenamed("klass", "class").join(placed, ["part", "local"]).drop("part", "local")
