@@ -12,6 +12,10 @@ from tessera.session import materialise
 from tessera.sources import corpus
 
 
+#: The tables of an index, in the order of ``Index``'s fields.
+TABLES = ("positions", "postings", "vocabulary", "lines", "stats")
+
+
 @dataclass
 class Index:
     """``positions``, ``postings``, ``vocabulary``, ``lines``, ``stats``: see ``schemas``."""
@@ -34,24 +38,25 @@ class Index:
         return cls(found, rows, vocab, index.lines(docs, found), index.stats(vocab), analyzer)
 
     @classmethod
-    def write(cls, docs: DataFrame, path: str, analyzer: str = "exact", compat: bool = False) -> Index:
-        """Builds the tables in a folder, each from those written before it, and returns them as read again."""
+    def write(cls, docs: DataFrame, path: str, analyzer: str = "exact", compat: bool = False, tables: tuple[str, ...] = TABLES) -> Index:
+        """Builds tables in a folder, each from those written before it, and returns them as read again. ``tables``: which are wanted."""
         found = corpus.write_table(index.positions(docs, analyzer), path, "positions")
         rows = index.postings(found)
         if compat:
             full = corpus.write_table(rows, path, "full_postings")
-            vocab = corpus.write_table(index.vocabulary(full), path, "vocabulary")
-            rows = full.where("not is_stop").unionByName(index.last_document_only(full))
-            corpus.write_table(rows, path, "postings")
+            corpus.write_table(full.where("not is_stop").unionByName(index.last_document_only(full)), path, "postings")
         else:
-            vocab = corpus.write_table(index.vocabulary(corpus.write_table(rows, path, "postings")), path, "vocabulary")
-        corpus.write_table(index.lines(docs, found), path, "lines")
-        corpus.write_table(index.stats(vocab), path, "stats")
-        return cls.load(docs.sparkSession, path, analyzer)
+            full = corpus.write_table(rows, path, "postings")
+        if {"vocabulary", "stats"} & {*tables}:
+            vocab = corpus.write_table(index.vocabulary(full), path, "vocabulary")
+            corpus.write_table(index.stats(vocab), path, "stats")
+        if "lines" in tables:
+            corpus.write_table(index.lines(docs, found), path, "lines")
+        return cls.load(docs.sparkSession, path, analyzer, tables)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, analyzer: str = "exact") -> Index:
-        return cls(*(corpus.read_table(spark, path, name) for name in ("positions", "postings", "vocabulary", "lines", "stats")), analyzer)
+    def load(cls, spark: SparkSession, path: str, analyzer: str = "exact", tables: tuple[str, ...] = TABLES) -> Index:
+        return cls(*(corpus.read_table(spark, path, name) if name in tables else None for name in TABLES), analyzer)
 
     def cache(self) -> Index:
         for name in ("positions", "postings", "vocabulary", "stats"):

@@ -63,9 +63,12 @@ def vocab(spark: SparkSession, d: str) -> DataFrame:
     return index.vocabulary(rows(spark, d))
 
 
-def written(spark: SparkSession, d: str) -> Index:
-    """The index as tables in the shared folder: built once, read by every part of a search."""
-    return Index.write(docs(spark, d), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+def written(spark: SparkSession, d: str, *tables: str) -> Index:
+    """The index as tables in the shared folder: built once, read by every part of a search. ``tables``: which are wanted."""
+    return Index.write(docs(spark, d), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", tables=tables or ("positions", "postings"))
+
+
+SPELLER = ("positions", "postings", "vocabulary", "stats")
 
 
 def asked(spark: SparkSession, lines: list[tuple[int, str]] = LINES) -> DataFrame:
@@ -218,12 +221,12 @@ def corpus_sumf(spark, d):
 
 @query("select term, cf from vocab where bucket between 'a' and 'z'")
 def vocab_scan_alpha(spark, d):
-    return written(spark, d).vocabulary.where(F.col("bucket").between("a", "z")).select("term", "cf")  # prunes partitions
+    return written(spark, d, "vocabulary").vocabulary.where(F.col("bucket").between("a", "z")).select("term", "cf")  # prunes partitions
 
 
 @query("select term, cf from vocab where bucket between '0' and '9'")
 def vocab_scan_digits(spark, d):
-    return written(spark, d).vocabulary.where(F.col("bucket").between("0", "9")).select("term", "cf")
+    return written(spark, d, "vocabulary").vocabulary.where(F.col("bucket").between("0", "9")).select("term", "cf")
 
 
 @query("select term, is_stop, string_agg(cast(doc_id as varchar), ',' order by doc_id) as doc_ids from postings group by term, is_stop")
@@ -521,13 +524,13 @@ def pairs_near(spark, idx: Index) -> DataFrame:
 
 @query("select distinct c.query_id, c.doc_id, l.line_no, l.line from chosen c join positions p on p.doc_id = c.doc_id and p.pos = c.pos join stored_lines l on l.doc_id = p.doc_id and l.line_no = p.line_no", **PAIRS_ONLY)
 def snippets(spark, d):
-    idx = written(spark, d)
+    idx = written(spark, d, "positions", "postings", "lines")
     return retrieval.snippets(pairs_near(spark, idx), idx.positions, idx.lines)
 
 
 @query("select distinct query_id, c.doc_id, line_no, line from chosen c asof join stored_lines l on l.doc_id = c.doc_id and c.pos <= l.end_pos", **PAIRS_ONLY)
 def snippets_range(spark, d):
-    idx = written(spark, d)
+    idx = written(spark, d, "positions", "postings", "lines")
     return retrieval.snippets_by_range(pairs_near(spark, idx), idx.lines)
 
 
@@ -536,7 +539,7 @@ END_TO_END = "select query_id, rank, doc_id, distance, ordered_pairs from ranked
 
 @query(END_TO_END, query_lines=QUERY_LINES)
 def search_end_to_end(spark, d):
-    return search(written(spark, d), asked(spark)).drop("positions")
+    return search(written(spark, d, *SPELLER), asked(spark)).drop("positions")
 
 
 @query(END_TO_END, query_lines=QUERY_LINES)
@@ -548,5 +551,5 @@ def stream_search(spark, d):
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    service.serve(service.query_stream(spark, f"{base}/in"), written(spark, d), sink, f"{base}/state").awaitTermination()
+    service.serve(service.query_stream(spark, f"{base}/in"), written(spark, d, *SPELLER), sink, f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/out").drop("positions", "batch")

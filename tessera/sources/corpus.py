@@ -8,9 +8,20 @@ from pyspark.sql import functions as F
 from tessera import schemas
 
 
+#: A table up to this size in fewer files than there are cores is dealt over all cores; larger ones are read as they lie.
+SMALL_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Small tables over all cores: one file may be one row group, which only one task can read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= SMALL_BYTES and len(df.inputFiles()) < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     """(doc_id, text) of a Parquet table."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
 
 def directory(spark: SparkSession, path: str) -> DataFrame:
