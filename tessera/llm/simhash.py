@@ -32,7 +32,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise, shuffle_parts
@@ -56,18 +56,25 @@ def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprint(text: str | None, shingle: int = 4, longs: int = 1) -> list[int]:
-    """``longs`` unsigned 64-bit parts; bit i of part 0 is set if over half of the shingles' XXH64 (seed 42) have it."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of every word shingle in the order of the text."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
-        return [0] * longs
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) for w in words]) + np.arange(len(words))
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, len(words))
-    h = np.fromiter((xxh64_intdigest(line[a:b], 42) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64)
+    return np.fromiter((xxh64_intdigest(line[a:b], 42) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 4, longs: int = 1) -> list[int]:
+    """``longs`` unsigned 64-bit parts; bit i of part 0 is set if over half of the shingles' XXH64 (seed 42) have it."""
+    h = shingle_hashes(text, shingle)
+    if not len(h):
+        return [0] * longs
     out = []
     for salt in range(longs):
         own, n = _mixed(h, salt), len(h)
@@ -158,6 +165,28 @@ def tree_groups(prints: np.ndarray, radius: int) -> np.ndarray:
             return label
 
 
+def _whole_groups(columns: list[str], work):
+    """A mapInPandas function over rows sorted by ``columns``: ``work`` gets frames that cut no group."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # the sorted rows of groups that may go on in the next batch
+        for df in frames:
+            if not len(df):
+                continue
+            last = (df[columns] == df[columns].iloc[-1]).all(axis=1).to_numpy()
+            cut = len(df) if not last.any() else int(np.argmax(last))
+            if cut == 0 and held and (held[-1][columns].iloc[-1] == df[columns].iloc[-1]).all():
+                held.append(df)
+                continue
+            if held or cut:
+                yield work(pd.concat([*held, df[:cut]]))
+            held = [df[cut:]]
+        if held:
+            yield work(pd.concat(held))
+
+    return run
+
+
 def _shard_edges(radius: int, longs: int, keys: int):
     names = [f"f{i}" for i in range(longs)]
 
@@ -185,23 +214,7 @@ def _shard_edges(radius: int, longs: int, keys: int):
         a, b = (roots[np.concatenate([*x, np.zeros(0, int)]).astype(int)] for x in (a, b))
         return pd.DataFrame({"u": a[a != b], "v": b[a != b]}).drop_duplicates()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []  # the sorted rows of shards that may go on in the next batch
-        columns = ["t", *(f"k{i}" for i in range(keys))]
-        for df in frames:
-            if not len(df):
-                continue
-            last = (df[columns] == df[columns].iloc[-1]).all(axis=1).to_numpy()
-            cut = len(df) if not last.any() else int(np.argmax(last))
-            if cut == 0 and held and (held[-1][columns].iloc[-1] == df[columns].iloc[-1]).all():
-                held.append(df)
-                continue
-            yield edges(pd.concat([*held, df[:cut]])) if held or cut else pd.DataFrame({"u": [], "v": []}, dtype="int64")
-            held = [df[cut:]]
-        if held:
-            yield edges(pd.concat(held))
-
-    return run
+    return _whole_groups(["t", *(f"k{i}" for i in range(keys))], edges)
 
 
 def links(nodes: DataFrame, masks: list[list[int]], radius: int, longs: int = 1) -> DataFrame:
@@ -260,10 +273,147 @@ def group(docs: DataFrame, shingle: int = 4, radius: int = 4, longs: int = 1, si
     return prints.join(known, names).select("doc_id", text.alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int, radius: int, longs: int, similarity: float | None) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest doc_id.
+def common_shingles(docs: DataFrame, shingle: int, sample: int = 4_000, least: int = 4) -> np.ndarray:
+    """Sorted hashes of shingles that many documents hold, from a sample: they only order the prefixes, no result depends on them."""
+    many = max(1, docs.count() // sample)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            yield pd.DataFrame({"h": np.concatenate([np.zeros(0, np.uint64), *(np.unique(shingle_hashes(x, shingle)) for x in df.text)]).view(np.int64)})
+
+    some = docs.select(F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(many)) == 0).distinct()
+    got = some.mapInPandas(run, "h long").groupBy("h").count().where(F.col("count") >= least).select("h").toPandas()
+    return np.sort(got.h.to_numpy(np.int64).view(np.uint64))
+
+
+def shingle_sets(docs: DataFrame, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """doc_id, node (the set's hash), n, hist (the set's sizes in 64 hash buckets), prefix and whole set of every row.
+
+    In any one order of all shingles, sets of this Jaccard similarity share a shingle of their prefixes.
+    """
+
+    def one(text: str | None) -> tuple:
+        from xxhash import xxh64_intdigest
+
+        h = np.unique(shingle_hashes(text, shingle))
+        n = len(h)
+        rare = np.ones(n, bool)
+        if len(common):
+            rare = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h
+        first = np.concatenate([h[rare], h[~rare]])[: n - math.ceil(similarity * n - 1e-9) + 1]
+        hist = np.minimum(np.bincount((h & np.uint64(63)).astype(np.int64), minlength=64), 255).astype(np.uint8)
+        return int(np.uint64(xxh64_intdigest(h.tobytes())).astype(np.int64)), n, hist.tobytes(), first.view(np.int64), h.tobytes()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            for at in range(0, len(df), 1_000):
+                some = df[at : at + 1_000]
+                got = pd.DataFrame([one(x) for x in some.text], columns=["node", "n", "hist", "prefix", "whole"])
+                got.insert(0, "doc_id", some.doc_id.astype("Int64").to_numpy())
+                yield got
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInPandas(run, "doc_id long, node long, n long, hist binary, prefix array<long>, whole binary")
+
+
+def _candidates(similarity: float):
+    """All pairs of one key with different roots whose sizes and bucket sizes allow the similarity."""
+    apart = (1 - similarity) / (1 + similarity)  # the most that similar sets differ by, as a share of their sizes
+
+    def pairs(part: pd.DataFrame) -> pd.DataFrame:
+        node, root, n, k = (part[c].to_numpy() for c in ("node", "root", "n", "k"))
+        hist = np.frombuffer(b"".join(part["hist"]), np.uint8).reshape(-1, 64).astype(np.int16)
+        group = np.cumsum(np.concatenate([[True], k[1:] != k[:-1]])) - 1
+        sizes = np.bincount(group)
+        first = np.concatenate([[0], np.cumsum(sizes)])
+
+        def may(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            ok = (root[i] != root[j]) & (n[i] >= similarity * n[j] - 1e-6)  # sorted by n
+            i, j = i[ok], j[ok]
+            ok = np.abs(hist[i] - hist[j]).sum(1) <= apart * (n[i] + n[j]) + 1e-6
+            return i[ok], j[ok]
+
+        found = []
+        small = sizes[group] <= SMALL
+        for lag in range(1, min(SMALL, int(sizes.max()))):
+            at = np.flatnonzero(small[lag:] & (group[lag:] == group[:-lag]))
+            if not len(at):
+                break
+            found.append(may(at, at + lag))
+        for g in np.flatnonzero(sizes > SMALL):
+            for i in range(first[g], first[g + 1] - 1):
+                j = np.arange(i + 1, first[g] + np.searchsorted(n[first[g] : first[g + 1]], n[i] / similarity + 1e-6, "right"))
+                found.append(may(np.full(len(j), i), j))
+        i, j = (np.concatenate([np.zeros(0, int), *x]) for x in zip(*found)) if found else (np.zeros(0, int),) * 2
+        swap = node[i] > node[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        return pd.DataFrame({"a": node[i], "b": node[j], "u": root[i], "v": root[j]}).drop_duplicates()
+
+    return _whole_groups(["k"], pairs)
+
+
+def _may(similarity: float):
+    """A mapInPandas function: the pairs whose sizes and bucket sizes allow the similarity."""
+    apart = (1 - similarity) / (1 + similarity)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            x, y = (np.frombuffer(b"".join(df[c]), np.uint8).reshape(-1, 64).astype(np.int16) for c in ("x", "y"))
+            yield df.loc[np.abs(x - y).sum(1) <= apart * (df.nx + df.ny).to_numpy() + 1e-6, ["a", "b", "u", "v"]]
+
+    return run
+
+
+def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """The edges (u, v) of ``pairs`` (a, b, u, v) whose sets a and b have the Jaccard similarity."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            ok = []
+            for x, y in zip(df.x, df.y, strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                ok.append(both * (1 + similarity) >= similarity * (len(x) + len(y)) - 1e-6)
+            yield df.loc[ok, ["u", "v"]].drop_duplicates()
+
+    asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    wholes = rows.join(asked, "node", "left_semi").select("node", "whole").dropDuplicates(["node"])
+    sets = wholes.select(F.col("node").alias("a"), F.col("whole").alias("x")), wholes.select(F.col("node").alias("b"), F.col("whole").alias("y"))
+    return pairs.join(sets[0], "a").join(sets[1], "b").select("u", "v", "x", "y").mapInPandas(run, "u long, v long").distinct()
+
+
+def similar(docs: DataFrame, shingle: int, similarity: float, stars: int = 2) -> DataFrame:
+    """doc_id and component_id of every row: groups joined by all pairs of at least this Jaccard similarity of word shingles.
+
+    Pairs are looked for under the shingles of their prefixes, so none is lost, and each link is verified on the whole sets.
+    First each key's members are held against one of them, then all pairs that are not yet in one group.
+    """
+    rows = materialise(shingle_sets(docs, shingle, similarity, common_shingles(docs, shingle)), "sets")
+    every = rows.select("node", "prefix").dropDuplicates(["node"]).select("node", F.explode("prefix").alias("k"))
+    shared = every.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("k"))).where("many > 1")
+    keys = materialise(shared.select("k", "node", F.col("node").alias("root")), "keys")
+    hists = materialise(rows.select("node", "n", "hist").dropDuplicates(["node"]), "hists")
+    for turn in range(stars + 1):
+        apart = keys.groupBy("k").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("one"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        if turn < stars:
+            pairs = keys.join(apart, "k").where("root <> one.root").select(F.col("one.node").alias("a"), F.col("node").alias("b"), F.col("one.root").alias("u"), F.col("root").alias("v")).distinct()
+            pairs = pairs.join(hists.select(F.col("node").alias("a"), F.col("n").alias("nx"), F.col("hist").alias("x")), "a").join(hists.select(F.col("node").alias("b"), F.col("n").alias("ny"), F.col("hist").alias("y")), "b")
+            pairs = pairs.mapInPandas(_may(similarity), "a long, b long, u long, v long")
+        else:
+            dealt = keys.join(apart.select("k"), "k").join(hists, "node").select("k", "n", "node", "root", "hist")
+            dealt = dealt.repartition(shuffle_parts(docs.sparkSession), "k").sortWithinPartitions("k", "n")
+            pairs = dealt.mapInPandas(_candidates(similarity), "a long, b long, u long, v long").distinct()
+        roots = components(verified(materialise(pairs, "pairs"), rows, similarity)).select(F.col("node").alias("root"), F.col("root").alias("joined"))
+        keys = materialise(keys.join(roots, "root", "left").select("k", "node", F.coalesce("joined", "root").alias("root")), "keys")
+    known = rows.select("doc_id", "node").join(keys.select("node", "root").distinct(), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return known.join(least, "root").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``docs`` with one document of each group of similar ones: the one with the smallest doc_id.
 
     An id stands for one document: rows that share the id that stays all stay. Rows without an id stay.
     """
-    going = group(docs, shingle, radius, longs, similarity).where("doc_id <> component_id").select("doc_id").distinct()
+    going = similar(docs, shingle, similarity).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(going, "doc_id", "left_anti").select(docs.columns)

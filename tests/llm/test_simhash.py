@@ -117,3 +117,39 @@ def test_empty_and_null_ids(spark):
     assert s.group(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = s.group(spark.createDataFrame([(None, "a b"), (3, "a b"), (None, "q r s t u")], "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("3", "3"), ("None", "3"), ("None", "None")]
+
+
+def test_similar_groups_are_all_pairs_at_the_true_jaccard(spark):
+    rnd = random.Random(3)
+    texts = {}
+    for i in range(80):
+        words = [f"w{rnd.randrange(2000)}" for _ in range(rnd.choice([5, 9, 30, 120, 300]))] + "one passage that nearly every text of them all ends with".split()
+        for j in range(4):
+            other = list(words)
+            for _ in range(round(len(words) * rnd.uniform(0, 0.05))):
+                other[rnd.randrange(len(words))] = f"n{rnd.randrange(10**6)}"
+            texts[10 * i + j] = " ".join(other)
+    # the weights of repeated shingles drive the fingerprints apart, but not the sets
+    rest = " ".join(f"r{i}" for i in range(200))
+    texts |= {2000: rest + " a" * 3000, 2001: rest + " b" * 3000, 3000: None, 3001: "", 3002: "x", 3003: "X "}
+    sets = {i: frozenset(s.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    near = 0
+    for a in texts:
+        for b in texts:
+            x, y = sets[a], sets[b]
+            if a < b and (x == y or 5 * len(x & y) >= 4 * len(x | y)):
+                near += 5 * len(x & y) < 4.4 * len(x | y)
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    assert near > 15
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in s.similar(docs, 5, 0.8).collect()}
+    assert got == {i: find(i) for i in texts}
+    assert s.similar(docs.where("false"), 5, 0.8).count() == 0
