@@ -33,11 +33,11 @@ BEFORE = 48
 MASK = "[SECRET]"
 
 #: A candidate: a private key block; a value of at least eight characters assigned to a telling name; or a run of at least
-#: fourteen token characters with a digit in it.
+#: fourteen token characters with a digit in it. They may be of any length: the runs are possessive, so they don't backtrack.
 PATTERN = (
-    r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8192}-----END [A-Z ]{0,24}PRIVATE KEY-----"
-    r"|(?<=(?i:password|passwd|secret|api_key|apikey|token)[=:])[^\s\"'<>,;]{8,200}"
-    r"|(?<![A-Za-z0-9+/_.%-])(?=[A-Za-z+/_.%-]{0,120}[0-9])[A-Za-z0-9+/_.%-]{14,400}={0,2}"
+    r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,24}PRIVATE KEY-----"
+    r"|(?<=(?i:password|passwd|secret|api_key|apikey|token)[=:])[^\s\"'<>,;]{8,}+"
+    r"|(?<![A-Za-z0-9+/_.%-])(?=[A-Za-z+/_.%-]*+[0-9])[A-Za-z0-9+/_.%-]{14,}+={0,2}"
 )
 
 #: Every candidate has a digit or follows this.
@@ -144,6 +144,10 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         ("repeat('x', 16)", f"concat({plain}, 'password=')", 0),
         (f"concat('changeme', {_letters(6, 54, '1234')})", f"concat({plain}, 'password=')", 0),
         (f"concat({word(55)}, {word(56)}, {word(57)})", f"concat({plain}, 'token: ')", 0),
+        (f"concat('eyJ', {_letters(200, 66, mixed)}, '.', {_letters(1500, 67, mixed)}, '.', {_letters(340, 68, mixed + '_-')})", f"concat({plain}, 'Bearer ')", 1),
+        (_letters(900, 69, mixed + "+/"), f"concat({plain}, 'token=')", 1),
+        (f"concat('-----BEGIN PRIVATE KEY-----', {_letters(1600, 70, mixed + '+/')}, '-----END PRIVATE KEY-----')", plain, 1),
+        (f"repeat({_letters(2, 76, mixed)}, 200 + cast(pmod(xxhash64(id, 77), 9000) as int))", plain, 0),
     ]
     pick = lambda k: "case " + " ".join(f"when kind = {i} then {f[k]}" for i, f in enumerate(forms)) + " end"
     base = spark.range(0, rows, 1, 1).selectExpr("id", f"cast(id % {len(forms)} as int) as kind")
