@@ -2,7 +2,7 @@
 
 Candidates are found by one pattern. Each gets features: length, shares of
 character classes, transitions between classes and common letter pairs, the share that
-dictionary words cover, whether it is part of a path or address, and the words before it. A
+dictionary words cover, whether it is part of a path or address, and the words before and after it. A
 random forest is trained from labelled findings, and a candidate that most trees take
 for something else is dropped. The trained trees become one SQL expression, so a text's findings are
 scored in its own row: nothing is exploded, joined or shuffled.
@@ -10,7 +10,7 @@ scored in its own row: nothing is exploded, joined or shuffled.
 The labelled findings are ``labelled_findings``: formats of credentials and of what
 resembles them (digests, identifiers, numbers, paths, placeholders), filled from hashes of a
 counter; their number is bounded by ``FINDINGS``. A table of one's own with the same columns
-(secret, before, is_secret) can be given instead.
+(secret, before, is_secret, and after if known) can be given instead.
 
 Defined results: a null or empty text has no findings; texts are scanned whole;
 repeated rows each have theirs; a null doc_id is kept; an empty table gives no rows;
@@ -27,48 +27,57 @@ from pyspark.sql import functions as F
 
 #: Labelled findings to train on, trees, their depth, and the share of trees that makes a secret.
 FINDINGS, TREES, DEPTH, THRESHOLD = 6_000, 24, 8, 0.5
-#: Characters before a candidate that are looked at.
-BEFORE = 48
+#: Characters before and after a candidate that are looked at.
+BEFORE = AFTER = 48
 #: What is put in a secret's place.
 MASK = "[SECRET]"
 
-#: A candidate: a private key block; a value of at least eight characters assigned to a telling name; or a run of at least
-#: fourteen token characters with a digit in it. They may be of any length: the runs are possessive, so they don't backtrack.
+# Fixed word lists of the features.
+COMMON_PAIRS = ("th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "ed", "is", "it", "al", "ar", "st", "to", "nt", "ng", "se", "ha", "as", "ou", "io", "le", "ve", "co", "me", "de", "hi", "ri", "ro", "ic", "ne", "ea", "ra", "ce", "li", "ch", "ll", "be", "ma", "si", "om", "ur")
+DICTIONARY = ("example", "sample", "dummy", "changeme", "placeholder", "password", "secret", "token", "default", "admin", "user", "test", "demo", "your", "here", "name", "file", "path", "image", "data", "http", "https", "www", "html", "index", "home", "page", "config", "version", "release", "build", "library", "local", "share", "module", "python", "java", "node", "docs", "api", "key", "null", "none", "true", "false", "value", "string", "number", "item", "list", "report", "summary", "draft", "final", "news", "article", "post", "photo", "video")
+TELLING = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api key", "access_key", "auth", "bearer", "credential", "private", "client_secret", "login")
+HARMLESS = ("commit", "sha1", "sha256", "md5", "checksum", "digest", "hash", "uuid", "guid", "isbn", "phone", "tel", "order", "invoice", "version", "example", "sample", "id", "ref", "revision", "etag")
+
+#: Candidates may be of any length: the runs are possessive, so they don't backtrack. A candidate is a private key block; a value of at
+#: least eight characters assigned to a telling name, with blanks and a quote allowed between; or a run of at least fourteen token
+#: characters with a digit in it. Blanks between are as many as the features look back (lookbehinds need a bound).
+_NAMES = "|".join(sorted((name.replace(" ", "[ _-]") for name in TELLING), key=len, reverse=True))
 PATTERN = (
     r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,24}PRIVATE KEY-----"
-    r"|(?<=(?i:password|passwd|secret|api_key|apikey|token)[=:])[^\s\"'<>,;]{8,}+"
+    r"|(?<=[=:\s\"'`])(?=[^\s\"'`<>,;=:])(?<=[=:]\s{0,48}[\"'`]?)"
+    r"(?<=(?i:" + _NAMES + r")[\"'`]?\s{0,48}[=:]\s{0,48}[\"'`]?)[^\s\"'`<>,;]{8,}+"
     r"|(?<![A-Za-z0-9+/_.%-])(?=[A-Za-z+/_.%-]*+[0-9])[A-Za-z0-9+/_.%-]{14,}+={0,2}"
 )
 
 #: Every candidate has a digit or follows this.
-ASSIGNED = r"(?i)(password|passwd|secret|api_key|apikey|token)[=:]|PRIVATE KEY"
-
-# Fixed word lists of the features.
-COMMON_PAIRS = ("th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "ed", "is", "it", "al", "ar", "st", "to", "nt", "ng", "se", "ha", "as", "ou", "io", "le", "ve", "co", "me", "de", "hi", "ri", "ro", "ic", "ne", "ea", "ra", "ce", "li", "ch", "ll", "be", "ma", "si", "om", "ur")
-DICTIONARY = ("example", "sample", "dummy", "changeme", "placeholder", "password", "secret", "token", "default", "admin", "user", "test", "demo", "your", "here", "name", "file", "path", "image", "data", "http", "https", "www", "html", "index", "home", "page", "config", "version", "release", "build", "library", "local", "share", "module", "python", "java", "node", "docs", "api", "key", "null", "none", "true", "false", "value", "string", "number", "item", "list", "report", "summary", "draft", "final", "news", "article", "post", "photo", "video")
-TELLING = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api key", "access_key", "auth", "bearer", "credential", "private", "client_secret", "login")
-HARMLESS = ("commit", "sha1", "sha256", "md5", "checksum", "digest", "hash", "uuid", "guid", "isbn", "phone", "tel", "order", "invoice", "version", "example", "sample", "id", "ref", "revision", "etag")
+ASSIGNED = r"(?i)(" + _NAMES + r")[\"'`]?\s*[=:]|PRIVATE KEY"
 
 
 def find(text: Column) -> Column:
     """The findings of a text: an array of (start, value, before)."""
+    return F.transform(_found(text), lambda f: F.struct(f["start"].alias("start"), f["value"].alias("value"), f["before"].alias("before")))
+
+
+def _found(text: Column) -> Column:
+    """The findings of a text with what follows them: an array of (start, value, before, after)."""
     hits, gaps = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.split(text, PATTERN, -1)
     size = lambda x: F.char_length(x)
     # what lies between the hits gives their offsets
     pairs = F.arrays_zip(F.transform(hits, lambda h: h).alias("h"), F.slice(gaps, F.lit(1), F.size(hits)).alias("g"))
-    empty = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,value:string,before:string>>))")
+    empty = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,value:string,before:string,after:string>>))")
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + size(pair["g"])
         low = F.greatest(F.lit(0), start - BEFORE)
-        one = F.struct(start.alias("start"), pair["h"].alias("value"), F.substring(text, low + 1, start - low).alias("before"))
+        one = F.struct(start.alias("start"), pair["h"].alias("value"), F.substring(text, low + 1, start - low).alias("before"), F.substring(text, start + size(pair["h"]) + 1, F.lit(AFTER)).alias("after"))
         return F.struct((start + size(pair["h"])).alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
     likely = text.rlike("[0-9]") | text.rlike(ASSIGNED)
     return F.when(likely & (F.size(hits) > 0), F.aggregate(pairs, empty, step, lambda s: s["out"]))
 
 
-def features(value: Column, before: Column) -> list[tuple[str, Column]]:
+def features(value: Column, before: Column, after: Column | None = None) -> list[tuple[str, Column]]:
+    after = F.lit("") if after is None else after
     n = F.greatest(F.char_length(value), F.lit(1)).cast("double")
     without = lambda pattern: (n - F.char_length(F.regexp_replace(value, pattern, ""))) / n
     runs = F.char_length(F.regexp_replace(value, "[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+", "x")) - 1
@@ -93,9 +102,15 @@ def features(value: Column, before: Column) -> list[tuple[str, Column]]:
         ("quoted", flag(before.rlike(r"[\"'`]$"))),
         ("telling", has(before, TELLING)),
         ("harmless", has(before, HARMLESS)),
+        ("telling_after", has(after, TELLING)),
+        ("harmless_after", has(after, HARMLESS)),
     ]
 
 
+#: The number of features.
+WIDTH = 20
+
+
 def _hex(n: int, salt: int) -> str:
     return f"substring(concat({', '.join(f'''sha2(concat(id, '/{salt}/{i}'), 256)''' for i in range(-(-n // 64)))}), 1, {n})"
 
@@ -109,12 +124,13 @@ UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 
 
 def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
-    """(secret, before, is_secret): the formats below, filled from hashes of a counter."""
+    """(secret, before, is_secret, after): the formats below, filled from hashes of a counter."""
     mixed = UPPER + LOWER + DIGITS
     words = "array('time', 'nation', 'ender', 'hertion', 'sting', 'report', 'image', 'lateron', 'theread', 'notes')"
     word = lambda i: f"element_at({words}, 1 + cast(pmod(xxhash64(id, {i}), 10) as int))"
     plain = f"concat({word(91)}, ' ', {word(92)}, ' ', {word(93)}, ' ')"
-    # Fixed formats: what a finding looks like, what stands before it, and whether it is a secret.
+    follows = f"concat(' ', {word(94)}, ' ', {word(95)})"
+    # Fixed formats: what a finding looks like, what stands before it, whether it is a secret, and what follows it if that tells.
     forms = [
         (f"concat('AKIA', {_letters(16, 1, UPPER + DIGITS)})", plain, 1),
         (f"concat('AKIA', {_letters(16, 2, UPPER + '234567')})", f"concat({plain}, 'aws_access_key_id = ')", 1),
@@ -144,14 +160,24 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         ("repeat('x', 16)", f"concat({plain}, 'password=')", 0),
         (f"concat('changeme', {_letters(6, 54, '1234')})", f"concat({plain}, 'password=')", 0),
         (f"concat({word(55)}, {word(56)}, {word(57)})", f"concat({plain}, 'token: ')", 0),
+        (_letters(10, 58, mixed + "!@#$"), f"concat({plain}, 'password = \"')", 1),
+        (_letters(12, 59, mixed), f"concat({plain}, 'access_key: ')", 1),
+        (f"concat({word(60)}, {_letters(1, 61, DIGITS)}, {_letters(3, 62, LOWER)})", f"concat({plain}, 'pwd=\"')", 1),
+        (f"concat({_letters(4, 63, LOWER)}, {_letters(4, 64, DIGITS)})", f"concat({plain}, 'api_key = \"')", 1),
+        (_letters(11, 65, "bcdfghjkmnpqrstvwxzQWXZ"), f"concat({plain}, 'secret: ')", 1),
         (f"concat('eyJ', {_letters(200, 66, mixed)}, '.', {_letters(1500, 67, mixed)}, '.', {_letters(340, 68, mixed + '_-')})", f"concat({plain}, 'Bearer ')", 1),
         (_letters(900, 69, mixed + "+/"), f"concat({plain}, 'token=')", 1),
         (f"concat('-----BEGIN PRIVATE KEY-----', {_letters(1600, 70, mixed + '+/')}, '-----END PRIVATE KEY-----')", plain, 1),
+        (_letters(24, 71, mixed), plain, 1, "' is the api key'"),
+        (_hex(40, 72), plain, 0, "' is the commit'"),
+        (f"concat({word(73)}, {word(74)})", f"concat({plain}, 'password: ')", 0),
+        (f"element_at(array('required', 'undefined', 'username', 'optional', 'whatever'), 1 + cast(pmod(xxhash64(id, 75), 5) as int))", f"concat({plain}, 'auth: ')", 0),
         (f"repeat({_letters(2, 76, mixed)}, 200 + cast(pmod(xxhash64(id, 77), 9000) as int))", plain, 0),
     ]
     pick = lambda k: "case " + " ".join(f"when kind = {i} then {f[k]}" for i, f in enumerate(forms)) + " end"
+    after = "case " + " ".join(f"when kind = {i} then {f[3]}" for i, f in enumerate(forms) if len(f) > 3) + f" else {follows} end"
     base = spark.range(0, rows, 1, 1).selectExpr("id", f"cast(id % {len(forms)} as int) as kind")
-    return base.selectExpr(f"{pick(0)} as secret", f"{pick(1)} as before", f"{pick(2)} as is_secret")
+    return base.selectExpr(f"{pick(0)} as secret", f"{pick(1)} as before", f"{pick(2)} as is_secret", f"{after} as after")
 
 
 class Forest:
@@ -196,12 +222,13 @@ def _parsed(printed: str) -> list:
 
 
 def train(findings: DataFrame) -> Forest:
-    """A forest from labelled findings (secret, before, is_secret)."""
+    """A forest from labelled findings (secret, before, is_secret, and after if it is there)."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    values = features(F.col("secret"), F.col("before"))
-    rows = findings.where("secret is not null and is_secret is not null").withColumn("before", F.coalesce("before", F.lit("")))
+    values = features(F.col("secret"), F.col("before"), F.col("after"))
+    rows = findings if "after" in findings.columns else findings.withColumn("after", F.lit(""))
+    rows = rows.where("secret is not null and is_secret is not null").withColumns({c: F.coalesce(c, F.lit("")) for c in ("before", "after")})
     rows = rows.select(F.col("is_secret").cast("double").alias("label"), *(c.cast("double").alias(name) for name, c in values))
     rows = VectorAssembler(inputCols=[name for name, _ in values], outputCol="features").transform(rows).select("label", "features")
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=42, featureSubsetStrategy="sqrt").fit(rows)
@@ -212,11 +239,11 @@ def scored(text: Column, forest: Forest) -> Column:
     """All candidates of a text, with score: an array of (start, value, before, score)."""
 
     def one(f: Column) -> Column:
-        known = F.transform(F.array(f), lambda x: F.array(*(c.cast("double") for _, c in features(x["value"], x["before"]))))
-        vote = F.transform(known, lambda v: forest.score([F.get(v, F.lit(i)) for i in range(18)]))
+        known = F.transform(F.array(f), lambda x: F.array(*(c.cast("double") for _, c in features(x["value"], x["before"], x["after"]))))
+        vote = F.transform(known, lambda v: forest.score([F.get(v, F.lit(i)) for i in range(WIDTH)]))
         return F.struct(f["start"].alias("start"), f["value"].alias("value"), f["before"].alias("before"), F.get(vote, F.lit(0)).alias("score"))
 
-    return F.transform(find(text), one)
+    return F.transform(_found(text), one)
 
 
 def scan(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataFrame:

@@ -87,3 +87,13 @@ def test_long_secrets_are_masked_to_their_end(spark):
     assert found == {i: [v] for i, v in enumerate(values)}
     clean = {r.doc_id: r.text for r in s.redact(docs, forest).collect()}
     assert all(clean[i] == f"{befores[i]}{s.MASK} and the rest" for i in range(3))
+
+
+def test_assigned_values_with_blanks_and_quotes(spark):
+    cases = ['password="hunter2xy"', "password: Tr0ub4dor9", 'api_key = "abcd1234"', "pwd='q!w@e#r$t'", '{"access_key": "GhTkWqZx"}', "passwd = xkqzvbnwtr", "api key: zQ9xW2vB"]
+    values = ["hunter2xy", "Tr0ub4dor9", "abcd1234", "q!w@e#r$t", "GhTkWqZx", "xkqzvbnwtr", "zQ9xW2vB"]
+    docs = spark.createDataFrame([(i, f"we set {c} here") for i, c in enumerate(cases)] + [(90, "the password: required for all"), (91, "token: undefined")], "doc_id long, text string")
+    found = {r.doc_id: [f.value for f in r.f or []] for r in docs.select("doc_id", s.find(F.col("text")).alias("f")).collect()}
+    assert {i: found[i] for i in range(7)} == {i: [v] for i, v in enumerate(values)}
+    got = {r.doc_id: r.value for r in s.scan(docs, s.train(s.labelled_findings(spark))).collect()}
+    assert got == dict(enumerate(values))
