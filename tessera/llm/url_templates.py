@@ -117,7 +117,8 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     """A verdict for every row of ``pages`` (page_id, url).
 
-    Labels come from the rules where one fits and from ``labels`` (page_id, good) elsewhere.
+    Verdicts come from the rules where one fits. All other pages make the templates, with their ``labels`` (page_id, good);
+    pages with a rule, and their labels, count in no template.
     """
     host, path = host_path(F.col("url"))
     text, verdict = rule_columns(rules)
