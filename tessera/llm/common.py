@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import materialise
 
-__all__ = ["ascii_lower", "crc_mod", "materialise", "shuffle_parts", "table", "tokenizer"]
+__all__ = ["ascii_lower", "crc_mod", "materialise", "real_ids", "shuffle_parts", "table", "tokenizer", "with_ids"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,3 +38,14 @@ def tokenizer(path: str):
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_ids(docs: DataFrame, *columns: str) -> DataFrame:
+    """doc_id and no_id, neither of them null, and some columns as strings: pandas makes floats of integers beside a null, which changes large ones."""
+    ids = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(ids, F.lit(0)).alias("doc_id"), ids.isNull().alias("no_id"), *(F.col(c).cast("string").alias(c) for c in columns))
+
+
+def real_ids(df: DataFrame) -> DataFrame:
+    """``df`` with its ids as they were before ``with_ids``."""
+    return df.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")

@@ -1,21 +1,17 @@
 """SimHash near-duplicates by vantage-point trees over sharded fingerprints (operator 7).
 
-Every document gets a fingerprint of its word shingles. Fingerprints are dealt over
-shards by their Hamming distances to fixed vantage points in projections of
-the bits, and each shard is searched by a vantage-point tree with the triangle bound.
-Two ways to deal them:
-
-* ``exact``: six blocks of bits; fingerprints within four bits agree on at
-  least two whole blocks, so in the projection on one of the fifteen pairs of blocks
-  their distance, and by the triangle bound the difference of their distances to any
-  vantage point, is zero. A shard is the set of fingerprints at equal
-  distances from all vantage points of a projection: no link is lost.
-* ``sampled``: for wide radii on long fingerprints, projections on random bits,
-  as many as find a pair at the radius' similarity with a set probability.
-
-Inside a shard the full metric and the full radius hold. Shards give star
-edges of their local groups, never all pairs; groups are joined by distributed
-minimum propagation with pointer jumping, and a joined group counts as one node from then on.
+Every document gets a 64-bit fingerprint of its word shingles. Fingerprints are dealt over
+shards by their Hamming distances to fixed vantage points in projections of the bits, and each
+shard is searched by a vantage-point tree with the triangle bound. There are six blocks of bits, and
+fingerprints within four bits agree on at least two whole blocks: in the projection on one of the
+fifteen pairs of blocks their distance, and by the triangle bound the difference of their distances to any
+vantage point, is zero. A shard is the set of fingerprints at equal distances from all
+vantage points of a projection, so no link is lost. Inside a shard the full metric and the full radius hold.
+
+Whatever a shard's size, its linked fingerprints are given as a star each (n - 1 edges for n of them), never as all pairs;
+groups are joined by distributed minimum propagation with pointer jumping.
+
+``similar`` and ``keep_first`` group by the Jaccard similarity of shingle sets instead, which no radius decides.
 
 Defined results: a null text is empty; fewer words than a shingle make one shingle;
 no words give fingerprint zero, linked like any other; repeated rows share a
@@ -26,7 +22,6 @@ as component (null if there is none); an empty table gives no rows; extra column
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -35,25 +30,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, shuffle_parts
+from tessera.llm.common import materialise, real_ids, shuffle_parts, with_ids
 
 #: Groups up to SMALL rows are compared by shifting the sorted rows; trees stop splitting at LEAF.
 SMALL, LEAF = 32, 512
-#: Projections that are searched first where there are many.
-WAVE = 8
+#: Hash buckets of a set whose sizes bound its similarity to others (at most 255 count in each).
+BUCKETS = 128
+#: Rows that are broadcast at most, members of a key that meet in one task, sets that a task knows again.
+BROADCAST, MEMBERS, SEEN = 1_000_000, 4_096, 1_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-
-
-def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
-    """Another 64-bit hash from a hash; salt 0 leaves it as it is."""
-    if not salt:
-        return h
-    with np.errstate(over="ignore"):
-        h = h + np.uint64(salt * _MIX[0] % 2**64)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(_MIX[1])
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(_MIX[2])
-    return h ^ (h >> np.uint64(31))
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -70,31 +55,23 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(line[a:b], 42) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int = 4, longs: int = 1) -> list[int]:
-    """``longs`` unsigned 64-bit parts; bit i of part 0 is set if over half of the shingles' XXH64 (seed 42) have it."""
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """Unsigned; bit i is set if over half of the shingles' XXH64 (seed 42) have it."""
     h = shingle_hashes(text, shingle)
-    if not len(h):
-        return [0] * longs
-    out = []
-    for salt in range(longs):
-        own, n = _mixed(h, salt), len(h)
-        set_bits = np.zeros(64, np.int64)
-        for at in range(0, n, 65_536):  # long texts in blocks
-            set_bits += np.unpackbits(own[at : at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * set_bits > n, bitorder="little").tobytes(), "little"))
-    return out
-
-
-def fingerprints(docs: DataFrame, shingle: int = 4, longs: int = 1) -> DataFrame:
-    """doc_id and ``f0`` ... as signed longs, for every row of ``docs`` (doc_id, text)."""
-    names = [f"f{i}" for i in range(longs)]
+    set_bits = np.zeros(64, np.int64)
+    for at in range(0, len(h), 65_536):  # long texts in blocks
+        set_bits += np.unpackbits(h[at : at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * set_bits > len(h), bitorder="little").tobytes(), "little")
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """doc_id, no_id and the fingerprint ``f`` as a signed long, for every row of ``docs`` (doc_id, text)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            got = np.array([fingerprint(t, shingle, longs) for t in df.text], np.uint64).reshape(-1, longs).view(np.int64)
-            yield pd.DataFrame({"doc_id": df.doc_id.astype("Int64"), **{c: got[:, i] for i, c in enumerate(names)}})
+            yield df[["doc_id", "no_id"]].assign(f=np.array([fingerprint(t, shingle) for t in df.text], np.uint64).view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, " + ", ".join(f"{c} long" for c in names))
+    return with_ids(docs, "text").mapInPandas(run, "doc_id long, no_id boolean, f long")
 
 
 def exact_masks(radius: int = 4) -> list[int]:
@@ -104,65 +81,53 @@ def exact_masks(radius: int = 4) -> list[int]:
     return [a | b for a, b in combinations(blocks, 2)]
 
 
-def sampled_masks(rows: int, similarity: float, longs: int, found: float = 0.97, least_bits: int = 18) -> list[list[int]]:
-    """Masks over ``longs`` parts: about as many values as rows, and enough masks to find a pair of this Jaccard similarity."""
-    bits = max(least_bits, math.ceil(math.log2(max(rows, 2))))
-    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
-    many = math.ceil(math.log(1 - found) / math.log(1 - agree**bits))
-    draw = random.Random(7)
-    out = []
-    for _ in range(many):
-        mask = [0] * longs
-        for b in draw.sample(range(64 * longs), bits):
-            mask[b // 64] |= 1 << (b % 64)
-        out.append(mask)
-    return out
-
-
-def within(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64) <= radius
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` rows the first row that it reaches over the links a - b."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        while (label[label] != label).any():
+            label = label[label]
+        if (label == before).all():
+            return label
 
 
 def tree_groups(prints: np.ndarray, radius: int) -> np.ndarray:
-    """For each of the shard's fingerprints (n x parts) the first row that it is linked to, over any number of links.
+    """For each of the shard's fingerprints the first row that it is linked to, over any number of links.
 
     A vantage-point tree: what lies beyond the median distance plus the radius cannot
-    link to the inner side and is searched alone; the boundary is searched with the inner side.
+    link to the inner side and is searched alone; the boundary is searched with the inner side. What lies within the
+    radius of a vantage point is linked to it, and linked rows aren't compared with one another.
     """
     n = len(prints)
-    label = np.arange(n)
-
-    def distance(rows: np.ndarray, vantage: int) -> np.ndarray:
-        return np.bitwise_count(prints[rows] ^ prints[vantage]).sum(1, dtype=np.int64)
-
-    leaves, stack = [], [np.arange(n)]
+    a, b, leaves, stack = [], [], [], [np.arange(n)]
     while stack:
         rows = stack.pop()
+        d = np.bitwise_count(prints[rows] ^ prints[rows[0]])
+        near = rows[d <= radius]
+        a.append(np.full(len(near), rows[0])), b.append(near)
         if len(rows) > LEAF:
-            d = distance(rows, rows[0])
             middle = int(np.median(d))
             inner, outer = rows[d <= middle + radius], rows[d > middle]
             if len(inner) < 0.9 * len(rows) and len(outer):
                 stack += [inner, outer]
                 continue
         leaves.append(rows)
-    while True:
-        before = label.copy()
-        for rows in leaves:
-            for at in range(0, len(rows), LEAF):
-                some = rows[at : at + LEAF]
-                for to in range(at, len(rows), LEAF):
-                    other = rows[to : to + LEAF]
-                    near = np.zeros((len(some), len(other)), np.uint8)
-                    for part in range(prints.shape[1]):
-                        near += np.bitwise_count(prints[some, part][:, None] ^ prints[other, part][None, :])
-                    i, j = np.nonzero(near <= radius)
-                    np.minimum.at(label, some[i], label[other[j]])
-                    np.minimum.at(label, other[j], label[some[i]])
-        while (label[label] != label).any():
-            label = label[label]
-        if (label == before).all():
-            return label
+    label = forest(n, np.concatenate(a), np.concatenate(b))
+    for rows in leaves:
+        rows = rows[np.argsort(label[rows], kind="stable")]
+        for at in range(0, len(rows), LEAF):
+            some = rows[at : at + LEAF]
+            for to in range(at, len(rows), LEAF):
+                other = rows[to : to + LEAF]
+                if label[some[0]] == label[other[-1]]:
+                    continue  # sorted by group: all of both are one
+                i, j = np.nonzero(np.bitwise_count(prints[some][:, None] ^ prints[other][None, :]) <= radius)
+                new = label[some[i]] != label[other[j]]
+                a.append(some[i[new]]), b.append(other[j[new]])
+    return forest(n, np.concatenate(a), np.concatenate(b))
 
 
 def _whole_groups(columns: list[str], work):
@@ -187,52 +152,42 @@ def _whole_groups(columns: list[str], work):
     return run
 
 
-def _shard_edges(radius: int, longs: int, keys: int):
-    names = [f"f{i}" for i in range(longs)]
-
+def _shard_edges(radius: int):
     def edges(part: pd.DataFrame) -> pd.DataFrame:
-        prints = part[names].to_numpy(np.int64).view(np.uint64)
-        key = part[["t", *(f"k{i}" for i in range(keys))]].to_numpy()
-        fresh = np.concatenate([[True], (key[1:] != key[:-1]).any(1)])
-        group = np.cumsum(fresh) - 1
+        prints, root = part.f.to_numpy(np.int64).view(np.uint64), part.root.to_numpy()
+        key = part[["t", "k"]].to_numpy()
+        group = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])) - 1
         sizes = np.bincount(group)
-        a, b = [], []
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        a, b = [np.zeros(0, int)], [np.zeros(0, int)]
         small = sizes[group] <= SMALL
         for lag in range(1, min(SMALL, int(sizes.max()))):
             at = np.flatnonzero(small[lag:] & (group[lag:] == group[:-lag]))
             if not len(at):
                 break
-            hit = at[within(prints[at], prints[at + lag], radius)]
+            hit = at[np.bitwise_count(prints[at] ^ prints[at + lag]) <= radius]
             a.append(hit), b.append(hit + lag)
-        first, roots = np.concatenate([[0], np.cumsum(sizes)]), part.root.to_numpy()
         for g in np.flatnonzero(sizes > SMALL):
-            if (roots[first[g] : first[g + 1]] == roots[first[g]]).all():
-                continue  # known to be one group
             label = tree_groups(prints[first[g] : first[g + 1]], radius)
-            linked = np.flatnonzero(label != np.arange(len(label)))
-            a.append(first[g] + label[linked]), b.append(first[g] + linked)
-        a, b = (roots[np.concatenate([*x, np.zeros(0, int)]).astype(int)] for x in (a, b))
-        return pd.DataFrame({"u": a[a != b], "v": b[a != b]}).drop_duplicates()
+            a.append(first[g] + label), b.append(np.arange(first[g], first[g + 1]))
+        label = forest(len(part), np.concatenate(a), np.concatenate(b))  # one star a group, however many links were found
+        linked = np.flatnonzero(root[label] != root)
+        return pd.DataFrame({"u": root[label[linked]], "v": root[linked]}).drop_duplicates()
 
-    return _whole_groups(["t", *(f"k{i}" for i in range(keys))], edges)
+    return _whole_groups(["t", "k"], edges)
 
 
-def links(nodes: DataFrame, masks: list[list[int]], radius: int, longs: int = 1) -> DataFrame:
+def links(nodes: DataFrame, masks: list[int], radius: int) -> DataFrame:
     """Edges (u, v) that connect the roots of all fingerprints within ``radius`` that share a mask's bits.
 
-    ``nodes``: root, f0, ...; fingerprints with one root are known to be connected and give no edge.
+    ``nodes``: root, f; fingerprints with one root are known to be connected.
     """
     signed = lambda x: x - 2**64 if x >= 2**63 else x
-    table = F.array(*(F.array(*(F.lit(signed(x)) for x in mask)) for mask in masks))
-    rows = nodes.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("t"))
-    mask = F.get(table, F.col("t"))
-    parts = [F.col(f"f{i}").bitwiseAND(F.get(mask, F.lit(i))) for i in range(longs)]
-    if longs > 1:  # one key a shard; the kernel's full distance leaves no room for chance collisions
-        parts = [F.xxhash64(*parts)]
-    rows = rows.select("root", *(f"f{i}" for i in range(longs)), "t", *(p.alias(f"k{i}") for i, p in enumerate(parts)))
-    keys = ["t", *(f"k{i}" for i in range(len(parts)))]
-    dealt = rows.repartition(shuffle_parts(nodes.sparkSession), *keys).sortWithinPartitions(*keys)
-    return dealt.mapInPandas(_shard_edges(radius, longs, len(parts)), "u long, v long").distinct()
+    table = F.array(*(F.lit(signed(x)) for x in masks))
+    rows = nodes.select("root", "f", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("t"))
+    rows = rows.withColumn("k", F.col("f").bitwiseAND(F.get(table, F.col("t"))))
+    dealt = rows.repartition(shuffle_parts(nodes.sparkSession), "t", "k").sortWithinPartitions("t", "k")
+    return dealt.mapInPandas(_shard_edges(radius), "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -251,26 +206,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def group(docs: DataFrame, shingle: int = 4, radius: int = 4, longs: int = 1, similarity: float | None = None) -> DataFrame:
-    """doc_id, fingerprint (lower-case hex) and component_id of every row.
-
-    Links are fingerprints at ``radius`` or fewer differing bits: all of them for one long and
-    radius 4; with ``similarity``, shards are sampled for that Jaccard similarity.
-    """
-    names = [f"f{i}" for i in range(longs)]
-    prints = materialise(fingerprints(docs, shingle, longs), "prints")
-    classes = prints.groupBy(*names).agg(F.min("doc_id").alias("least"))
-    named = materialise(classes.select("*", (F.col("f0") if longs == 1 else F.xxhash64(*names)).alias("root")), "nodes")
-    masks = [[m] for m in exact_masks(radius)] if similarity is None else sampled_masks(named.count(), similarity, longs)
-    # a few projections first: a group that they connect gives no more edges in the others
-    cut = WAVE if len(masks) > 2 * WAVE else len(masks)
-    for some in filter(None, (masks[:cut], masks[cut:])):
-        roots = components(links(named, some, radius, longs)).select(F.col("node").alias("root"), F.col("root").alias("joined"))
-        named = materialise(named.join(roots, "root", "left").withColumn("root", F.coalesce("joined", "root")).drop("joined"), "nodes")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = named.join(least, "root").select(*names, "component_id")
-    text = F.concat(*(F.lower(F.lpad(F.hex(c), 16, "0")) for c in reversed(names)))
-    return prints.join(known, names).select("doc_id", text.alias("fingerprint"), "component_id")
+def group(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+    """doc_id, fingerprint (lower-case hex) and component_id of every row; links are fingerprints at ``radius`` or fewer differing bits."""
+    prints = materialise(fingerprints(docs, shingle), "prints")
+    classes = prints.groupBy("f").agg(F.min(F.when(~F.col("no_id"), F.col("doc_id"))).alias("least"))
+    nodes = materialise(classes.withColumn("root", F.col("f")), "nodes")
+    roots = components(links(nodes, exact_masks(radius), radius)).withColumnRenamed("node", "f").withColumnRenamed("root", "joined")
+    named = nodes.join(roots, "f", "left").select("f", "least", F.coalesce("joined", "root").alias("root"))
+    named = materialise(named, "named")
+    # written apart from the join below, so that a component or a fingerprint with very many rows can be split there
+    least = materialise(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    known = materialise(named.join(least, "root").select("f", "component_id"), "known")
+    text = F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint")
+    return real_ids(prints.join(known, "f").select("doc_id", "no_id", text, "component_id"))
 
 
 def common_shingles(docs: DataFrame, shingle: int, sample: int = 4_000, least: int = 4) -> np.ndarray:
@@ -286,51 +234,70 @@ def common_shingles(docs: DataFrame, shingle: int, sample: int = 4_000, least: i
     return np.sort(got.h.to_numpy(np.int64).view(np.uint64))
 
 
+def _node(h: np.ndarray) -> int:
+    """A set's name: the hash of its sorted shingle hashes."""
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(h.tobytes())).astype(np.int64))
+
+
 def shingle_sets(docs: DataFrame, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """doc_id, node (the set's hash), n, hist (the set's sizes in 64 hash buckets), prefix and whole set of every row.
+    """doc_id, no_id, node (the set's hash), n, hist (the set's sizes in hash buckets) and prefix of every row.
 
-    In any one order of all shingles, sets of this Jaccard similarity share a shingle of their prefixes.
+    In any one order of all shingles, sets of this Jaccard similarity share a shingle of their prefixes. Of a task's rows with
+    one set only the first has a prefix.
     """
 
-    def one(text: str | None) -> tuple:
-        from xxhash import xxh64_intdigest
-
-        h = np.unique(shingle_hashes(text, shingle))
-        n = len(h)
-        rare = np.ones(n, bool)
+    def prefix(h: np.ndarray) -> np.ndarray:
+        n, rare = len(h), np.ones(len(h), bool)
         if len(common):
             rare = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h
-        first = np.concatenate([h[rare], h[~rare]])[: n - math.ceil(similarity * n - 1e-9) + 1]
-        hist = np.minimum(np.bincount((h & np.uint64(63)).astype(np.int64), minlength=64), 255).astype(np.uint8)
-        return int(np.uint64(xxh64_intdigest(h.tobytes())).astype(np.int64)), n, hist.tobytes(), first.view(np.int64), h.tobytes()
+        return np.concatenate([h[rare], h[~rare]])[: n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for df in frames:
             for at in range(0, len(df), 1_000):
                 some = df[at : at + 1_000]
-                got = pd.DataFrame([one(x) for x in some.text], columns=["node", "n", "hist", "prefix", "whole"])
-                got.insert(0, "doc_id", some.doc_id.astype("Int64").to_numpy())
-                yield got
+                rows = []
+                for text in some.text:
+                    h = np.unique(shingle_hashes(text, shingle))
+                    node = _node(h)
+                    hist = np.minimum(np.bincount((h % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8)
+                    rows.append((node, len(h), hist.tobytes(), prefix(h) if node not in seen else h[:0].view(np.int64)))
+                    seen.add(node)
+                got = pd.DataFrame(rows, columns=["node", "n", "hist", "prefix"])
+                yield pd.concat([some[["doc_id", "no_id"]].reset_index(drop=True), got], axis=1)
+            if len(seen) > SEEN:
+                seen.clear()
+
+    return with_ids(docs, "text").mapInPandas(run, "doc_id long, no_id boolean, node long, n long, hist binary, prefix array<long>")
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, node long, n long, hist binary, prefix array<long>, whole binary")
+
+def _alike(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets with these bucket sizes, and sizes that sum to ``sizes``, may have the similarity: similar sets differ by at most this share of their sizes."""
+    return np.abs(x - y).sum(1) <= (1 - similarity) / (1 + similarity) * sizes + 1e-6
+
+
+def _hists(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
 
 
 def _candidates(similarity: float):
-    """All pairs of one key with different roots whose sizes and bucket sizes allow the similarity."""
-    apart = (1 - similarity) / (1 + similarity)  # the most that similar sets differ by, as a share of their sizes
+    """The pairs of one unit with different roots whose sizes and bucket sizes allow the similarity."""
 
     def pairs(part: pd.DataFrame) -> pd.DataFrame:
-        node, root, n, k = (part[c].to_numpy() for c in ("node", "root", "n", "k"))
-        hist = np.frombuffer(b"".join(part["hist"]), np.uint8).reshape(-1, 64).astype(np.int16)
-        group = np.cumsum(np.concatenate([[True], k[1:] != k[:-1]])) - 1
+        node, root, n = (part[c].to_numpy() for c in ("node", "root", "n"))
+        hist = _hists(part["hist"])
+        unit = part[["k", "i", "j"]].to_numpy()
+        group = np.cumsum(np.concatenate([[True], (unit[1:] != unit[:-1]).any(1)])) - 1
         sizes = np.bincount(group)
         first = np.concatenate([[0], np.cumsum(sizes)])
 
         def may(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             ok = (root[i] != root[j]) & (n[i] >= similarity * n[j] - 1e-6)  # sorted by n
             i, j = i[ok], j[ok]
-            ok = np.abs(hist[i] - hist[j]).sum(1) <= apart * (n[i] + n[j]) + 1e-6
+            ok = _alike(hist[i], hist[j], n[i] + n[j], similarity)
             return i[ok], j[ok]
 
         found = []
@@ -349,25 +316,37 @@ def _candidates(similarity: float):
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         return pd.DataFrame({"a": node[i], "b": node[j], "u": root[i], "v": root[j]}).drop_duplicates()
 
-    return _whole_groups(["k"], pairs)
+    return _whole_groups(["k", "i", "j"], pairs)
 
 
 def _may(similarity: float):
-    """A mapInPandas function: the pairs whose sizes and bucket sizes allow the similarity."""
-    apart = (1 - similarity) / (1 + similarity)
+    """A mapInPandas function: the pairs whose bucket sizes allow the similarity."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            x, y = (np.frombuffer(b"".join(df[c]), np.uint8).reshape(-1, 64).astype(np.int16) for c in ("x", "y"))
-            yield df.loc[np.abs(x - y).sum(1) <= apart * (df.nx + df.ny).to_numpy() + 1e-6, ["a", "b", "u", "v"]]
+            yield df.loc[_alike(_hists(df.x), _hists(df.y), (df.nx + df.ny).to_numpy(), similarity), ["a", "b", "u", "v"]]
 
     return run
 
 
-def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """The edges (u, v) of ``pairs`` (a, b, u, v) whose sets a and b have the Jaccard similarity."""
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, written before, to be broadcast if its rows are at most ``BROADCAST``; else joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The edges (u, v) of ``pairs`` (a, b, u, v) whose sets a and b have the Jaccard similarity.
+
+    Sets aren't kept: those asked for are made again from one document each.
+    """
+
+    def wholes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            for at in range(0, len(df), 1_000):
+                sets = [np.unique(shingle_hashes(x, shingle)) for x in df.text[at : at + 1_000]]
+                yield pd.DataFrame({"node": [_node(h) for h in sets], "whole": [h.tobytes() for h in sets]}).drop_duplicates("node")
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             ok = []
             for x, y in zip(df.x, df.y, strict=True):
@@ -376,44 +355,56 @@ def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
                 ok.append(both * (1 + similarity) >= similarity * (len(x) + len(y)) - 1e-6)
             yield df.loc[ok, ["u", "v"]].drop_duplicates()
 
-    asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
-    wholes = rows.join(asked, "node", "left_semi").select("node", "whole").dropDuplicates(["node"])
-    sets = wholes.select(F.col("node").alias("a"), F.col("whole").alias("x")), wholes.select(F.col("node").alias("b"), F.col("whole").alias("y"))
-    return pairs.join(sets[0], "a").join(sets[1], "b").select("u", "v", "x", "y").mapInPandas(run, "u long, v long").distinct()
+    asked = _small(materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked"))
+    held = rows.where(F.size("prefix") > 0).join(asked, "node", "left_semi").groupBy("node").agg(F.min(F.struct("no_id", "doc_id")).alias("one"))
+    held = _small(materialise(held.select("one.*").distinct(), "held"))
+    sets = with_ids(docs, "text").join(held, ["doc_id", "no_id"], "left_semi").select("text").mapInPandas(wholes, "node long, whole binary")
+    sets = materialise(sets.join(asked, "node", "left_semi").dropDuplicates(["node"]), "wholes")
+    x, y = sets.select(F.col("node").alias("a"), F.col("whole").alias("x")), sets.select(F.col("node").alias("b"), F.col("whole").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("u", "v", "x", "y").mapInPandas(compare, "u long, v long").distinct()
 
 
 def similar(docs: DataFrame, shingle: int, similarity: float, stars: int = 2) -> DataFrame:
     """doc_id and component_id of every row: groups joined by all pairs of at least this Jaccard similarity of word shingles.
 
     Pairs are looked for under the shingles of their prefixes, so none is lost, and each link is verified on the whole sets.
-    First each key's members are held against one of them, then all pairs that are not yet in one group.
+    First each key's members are held against one of them, then all pairs that are not yet in one group; a key with many
+    members is dealt as pairs of blocks of at most ``MEMBERS``.
     """
     rows = materialise(shingle_sets(docs, shingle, similarity, common_shingles(docs, shingle)), "sets")
-    every = rows.select("node", "prefix").dropDuplicates(["node"]).select("node", F.explode("prefix").alias("k"))
-    shared = every.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("k"))).where("many > 1")
-    keys = materialise(shared.select("k", "node", F.col("node").alias("root")), "keys")
-    hists = materialise(rows.select("node", "n", "hist").dropDuplicates(["node"]), "hists")
+    every, own = rows.select("node", "n", F.explode("prefix").alias("k")), Window.partitionBy("k")
+    shared = every.withColumn("low", F.min("node").over(own)).withColumn("high", F.max("node").over(own)).where("low <> high")
+    keys = materialise(shared.select("k", "node", "n", F.col("node").alias("root")), "keys")
+    hists = materialise(rows.join(_small(materialise(keys.select("node").distinct(), "nodes")), "node", "left_semi").select("node", "hist").dropDuplicates(["node"]), "hists")
     for turn in range(stars + 1):
-        apart = keys.groupBy("k").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("one"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        one = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "root", "n")).alias("one")
+        apart = materialise(keys.groupBy("k").agg(one, F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("many")).where("low <> high"), "apart")
         if turn < stars:
-            pairs = keys.join(apart, "k").where("root <> one.root").select(F.col("one.node").alias("a"), F.col("node").alias("b"), F.col("one.root").alias("u"), F.col("root").alias("v")).distinct()
-            pairs = pairs.join(hists.select(F.col("node").alias("a"), F.col("n").alias("nx"), F.col("hist").alias("x")), "a").join(hists.select(F.col("node").alias("b"), F.col("n").alias("ny"), F.col("hist").alias("y")), "b")
+            met = keys.join(apart.select("k", "one"), "k").where((F.col("root") != F.col("one.root")) & (F.least("n", "one.n") >= similarity * F.greatest("n", "one.n") - 1e-6))
+            pairs = met.select(F.col("one.node").alias("a"), F.col("node").alias("b"), F.col("one.root").alias("u"), F.col("root").alias("v"), F.col("one.n").alias("nx"), F.col("n").alias("ny")).distinct()
+            pairs = pairs.join(hists.select(F.col("node").alias("a"), F.col("hist").alias("x")), "a").join(hists.select(F.col("node").alias("b"), F.col("hist").alias("y")), "b")
             pairs = pairs.mapInPandas(_may(similarity), "a long, b long, u long, v long")
         else:
-            dealt = keys.join(apart.select("k"), "k").join(hists, "node").select("k", "n", "node", "root", "hist")
-            dealt = dealt.repartition(shuffle_parts(docs.sparkSession), "k").sortWithinPartitions("k", "n")
+            blocks = F.greatest(F.lit(1), F.ceil(F.col("many") / MEMBERS)).cast("int")
+            met = keys.join(apart.select("k", blocks.alias("blocks")), "k").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(hists, "node")
+            dealt = met.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "n", "node", "root", "hist")
+            dealt = dealt.repartition(shuffle_parts(docs.sparkSession), "k", "i", "j").sortWithinPartitions("k", "i", "j", "n")
             pairs = dealt.mapInPandas(_candidates(similarity), "a long, b long, u long, v long").distinct()
-        roots = components(verified(materialise(pairs, "pairs"), rows, similarity)).select(F.col("node").alias("root"), F.col("root").alias("joined"))
-        keys = materialise(keys.join(roots, "root", "left").select("k", "node", F.coalesce("joined", "root").alias("root")), "keys")
-    known = rows.select("doc_id", "node").join(keys.select("node", "root").distinct(), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return known.join(least, "root").select("doc_id", "component_id")
+        edges = verified(materialise(pairs, "pairs"), docs, rows, shingle, similarity)
+        roots = components(edges).select(F.col("node").alias("root"), F.col("root").alias("joined"))
+        keys = materialise(keys.join(roots, "root", "left").select("k", "node", "n", F.coalesce("joined", "root").alias("root")), "keys")
+    named = materialise(keys.select("node", "root").distinct(), "named")
+    known = rows.select("doc_id", "no_id", "node").join(named, "node", "left").select("doc_id", "no_id", F.coalesce("root", "node").alias("root"))
+    least = materialise(known.where("not no_id").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    return real_ids(known.join(least, "root", "left").select("doc_id", "no_id", "component_id"))
 
 
 def keep_first(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """``docs`` with one document of each group of similar ones: the one with the smallest doc_id.
 
-    An id stands for one document: rows that share the id that stays all stay. Rows without an id stay.
+    An id stands for one document: rows that share the id that stays all stay. Rows without an id stay. A null or empty text
+    is a set without shingles, and such rows are alike; other columns, whatever their names, are passed on.
     """
-    going = similar(docs, shingle, similarity).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(going, "doc_id", "left_anti").select(docs.columns)
+    going = similar(docs, shingle, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_going")).distinct()
+    return docs.join(going, F.col("doc_id") == F.col("_going"), "left_anti")

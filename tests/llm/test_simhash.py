@@ -63,7 +63,7 @@ def test_fingerprints_and_groups(spark):
 
 def test_long_text_in_blocks():
     text = " ".join(f"w{i % 977}" for i in range(70_000))
-    assert s.fingerprint(text) == [plain(text)]
+    assert s.fingerprint(text) == plain(text)
 
 
 def test_exact_masks_lose_no_pair():
@@ -79,11 +79,11 @@ def test_exact_masks_lose_no_pair():
 
 def test_tree_groups_like_brute_force():
     rnd = np.random.default_rng(4)
-    for n, parts in ((700, 1), (3000, 1), (1500, 4)):
-        base = rnd.integers(0, 2**63, (n // 5, parts), np.uint64)
-        prints = base[rnd.integers(0, len(base), n)] ^ (np.uint64(1) << rnd.integers(0, 64, (n, 1), np.uint64))
+    for n, spread in ((700, 5), (3000, 5), (1500, 1500), (1500, 2)):
+        base = rnd.integers(0, 2**63, n // spread, np.uint64)
+        prints = base[rnd.integers(0, len(base), n)] ^ (np.uint64(1) << rnd.integers(0, 64, n, np.uint64)) ^ (np.uint64(1) << rnd.integers(0, 64, n, np.uint64))
         label = s.tree_groups(prints, 4)
-        near = np.bitwise_count(prints[:, None, :] ^ prints[None, :, :]).sum(2, dtype=int) <= 4
+        near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4
         want = np.arange(n)
         while True:
             new = np.where(near, want[None, :], n).min(1)
@@ -95,22 +95,55 @@ def test_tree_groups_like_brute_force():
 
 def test_chain_over_many_links(spark):
     chain = [(i, (1 << (3 * i)) - 1) for i in range(21)]
-    nodes = spark.createDataFrame([(p - 2**64 if p >= 2**63 else p,) * 2 for _, p in chain], "root long, f0 long")
-    roots = {r.root for r in s.components(s.links(nodes, [[m] for m in s.exact_masks(4)], 4)).collect()}
+    nodes = spark.createDataFrame([(p - 2**64 if p >= 2**63 else p,) * 2 for _, p in chain], "root long, f long")
+    roots = {r.root for r in s.components(s.links(nodes, s.exact_masks(4), 4)).collect()}
     assert len(roots) == 1
 
 
-def test_sampled_shards_find_similar_texts(spark):
-    rnd = random.Random(9)
+def test_a_shard_gives_a_star_not_all_pairs(spark):
+    for n in (2, 8, 32, 33, 300):
+        near = [(1 << 63 | 1 << i if i < 60 else 1 << 63 | 1 << (i % 60) | 1 << ((i // 60 + i) % 60)) - 2**64 for i in range(n)]
+        assert len(set(near)) == n
+        nodes = spark.createDataFrame([(f, f) for f in near], "root long, f long")
+        assert s.links(nodes, [0], 4).count() == n - 1
+
+
+def test_hot_group_of_near_copies(spark):
+    rnd = random.Random(8)
+    words = [f"w{rnd.randrange(300)}" for _ in range(150)]
     rows = []
-    for i in range(60):
-        words = [f"w{rnd.randrange(3000)}" for _ in range(400)]
-        rows.append((i, " ".join(words)))
-        words[100] = words[300] = "other"
-        rows.append((100 + i, " ".join(words)))
-    got = {r.doc_id: r.component_id for r in s.group(spark.createDataFrame(rows, "doc_id long, text string"), 5, 44, 4, 0.8).collect()}
-    assert sum(got[100 + i] == i for i in range(60)) >= 58
-    assert all(got[i] == i for i in range(60))
+    for i in range(700):
+        other = list(words)
+        other[i % 150] = f"n{i}"
+        rows.append((i, " ".join(other)))
+    rows += [(10_000 + i, " ".join(words)) for i in range(300)] + [(20_000 + i, f"alone {i} " + " ".join(f"x{rnd.randrange(10**6)}" for _ in range(40))) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    assert {r.component_id for r in s.similar(docs, 5, 0.8).where("doc_id < 20000").collect()} == {0}
+    kept = {r.doc_id for r in s.keep_first(docs, 5, 0.8).collect()}
+    assert kept == {0, *range(20_000, 20_050)}
+
+
+def test_a_key_with_many_members_is_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(s, "MEMBERS", 7)
+    rnd = random.Random(2)
+    rows, base = [], [f"b{i}" for i in range(100)]
+    for i in range(90):  # one short chain of links through a common passage
+        rows.append((i, " ".join(base[i // 3 : i // 3 + 70] + [f"t{i % 3}"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in s.similar(docs, 5, 0.8, stars=0).collect()}
+    assert set(got.values()) == {0} and len(got) == 90
+    rnd.shuffle(rows)
+
+
+def test_large_ids_beside_null_ids(spark):
+    big = 2**53
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(big + 1, text), (big + 3, text), (None, text), (big + 5, text + " else"), (big + 7, "alone"), (None, "by itself")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(r.doc_id for r in s.group(docs).collect() if r.doc_id) == [big + 1, big + 3, big + 5, big + 7]
+    got = {(r.doc_id, r.component_id) for r in s.similar(docs, 5, 0.8).collect()}
+    assert got == {(big + 1, big + 1), (big + 3, big + 1), (None, big + 1), (big + 5, big + 1), (big + 7, big + 7), (None, None)}
+    assert sorted((str(r.doc_id), r.text) for r in s.keep_first(docs, 5, 0.8).collect()) == sorted((str(i), t) for i, t in rows if i not in (big + 3, big + 5))
 
 
 def test_empty_and_null_ids(spark):
