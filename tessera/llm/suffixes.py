@@ -3,15 +3,18 @@
 A byte goes if a string of ``length`` bytes that covers it starts earlier too. The suffixes
 of all documents are dealt over shards so that equal strings meet: each string of
 ``length`` bytes has an anchor, the place inside it whose shorter string has the least hash, and
-the anchor's hash names the shard. In a shard, documents come in batches in their order. A batch's suffixes, cut to
-``length`` bytes, are sorted into a suffix array (in the order of a 64-bit fingerprint of the cut suffix, which
-is enough to tell equal ones, as matches have one length); it is merge-scanned against the levels that exist for
-suffixes that started earlier, and becomes a level; levels of equal size are merged, so there are
-logarithmically many.
+the anchor's hash names the shard. Neighbouring strings with one anchor make a segment. Of equal segments (by a 128-bit
+cryptographic digest) only the first goes on, first among those of a task's batch, then in the shard. The
+suffixes of the distinct segments that share an anchor come in batches in the order of their documents. A batch's suffixes, cut to
+``length`` bytes, are sorted by their bytes into a suffix array; it is merge-scanned against the levels that exist for
+suffixes that started earlier, and becomes a level; a level that is as large as the one below is merged with it, so there are
+logarithmically many. Suffixes are compared byte by byte.
 
 Only suffixes whose anchor occurs twice can repeat: anchors alone are counted first, and the others are not sent.
-Texts are dealt by document to fetch the suffixes and to cut the texts; a task holds one bucket of either at a time, and the
-number of buckets follows the session's shuffle partitions.
+Anchors that a sample of documents shows to be very frequent aren't counted (they occur twice), and their strings are dealt
+by their own digests instead of the anchor, so that they spread over all shards; the sample decides the way, not the result.
+Texts are dealt by document to fetch the suffixes and to cut the texts. The number of shards and of document buckets follows the bytes of
+the input, and a task holds one at a time.
 
 Defined results: a null or short text has nothing removed; matches lie inside one document and may overlap;
 strings are judged on the input; a null doc_id comes after all others; rows that share a doc_id count in the order of
@@ -23,20 +26,22 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shuffle_parts
+from tessera.llm.common import real_ids, shuffle_parts, with_ids
 
 LENGTH = 100
-#: Bytes that are hashed at once, suffixes in a batch, and bytes of text or rows gathered before they are sent.
-BLOCK, BATCH, SEND = 1 << 20, 1 << 18, 12_000_000
-#: Shards, and document buckets: one for two shuffle partitions, but at least so many. Each shard sends one packed row to each
-#: bucket, so with half as many of both there are at most a quarter of the partitions' square of these rows.
-LEAST = 12
+#: Bytes that are hashed at once, suffixes in a batch and in the families held at once (unless one anchor has more), bytes gathered before they are sent.
+BLOCK, BATCH, CHUNK, SEND = 1 << 20, 1 << 15, 1 << 18, 12_000_000
+#: Bytes of text in a shard or a bucket of documents, about; there is at least one for each shuffle partition.
+SHARD = 16_000_000
+#: Documents in the sample that shows frequent anchors, and distinct segments there that make an anchor frequent.
+SAMPLE, FREQUENT = 4_000, 8
 LAST = 2**63 - 1
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(29)
 _BYTES = (np.arange(1, 257, dtype=np.uint64) * _A) ^ (np.arange(1, 257, dtype=np.uint64) * _B >> np.uint64(31))
@@ -51,14 +56,12 @@ def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def hashes(data: np.ndarray, *lengths: int) -> list[np.ndarray]:
-    """For each length, hashes of the strings that start at every place: two that overlap make one of any length."""
-    level, size, out = _BYTES[data], 1, {}
-    for n in sorted(lengths):
-        while 2 * size <= n:
-            level, size = _join(level[:-size], level[size:]), 2 * size
-        out[n] = _join(level[: len(data) - n + 1], level[n - size : len(data) - size + 1])
-    return [out[n] for n in lengths]
+def hashes(data: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the strings of ``n`` bytes that start at every place: two that overlap make one of any length."""
+    level, size = _BYTES[data], 1
+    while 2 * size <= n:
+        level, size = _join(level[:-size], level[size:]), 2 * size
+    return _join(level[: len(data) - n + 1], level[n - size : len(data) - size + 1])
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -69,11 +72,8 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
 
 
-def anchors(data: np.ndarray, length: int, keys: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(hash, first, many, keys) of the anchors of a text: ``many`` strings from place ``first`` on have the anchor.
-
-    ``keys``: also the hashes of all strings of the block, for the places from the block's start.
-    """
+def anchors(data: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash, first, many) of the anchors of a text: ``many`` strings from place ``first`` on have the anchor."""
     inner = max(4, length * 32 // 100)
     width = length - inner + 1
     low = np.uint64(BLOCK.bit_length())
@@ -81,7 +81,7 @@ def anchors(data: np.ndarray, length: int, keys: bool = False) -> Iterator[tuple
         part = data[start : start + BLOCK]
         if len(part) < length:
             break
-        h, *whole = hashes(part, inner, length) if keys else hashes(part, inner)
+        h = hashes(part, inner)
         # the low bits give way to the place: of equal hashes the leftmost counts
         at = _least((h >> low << low) | np.arange(len(h), dtype=np.uint64), width) & np.uint64((1 << int(low)) - 1)
         at = at.astype(np.int64)
@@ -92,11 +92,11 @@ def anchors(data: np.ndarray, length: int, keys: bool = False) -> Iterator[tuple
             many = np.diff(np.concatenate([first, [limit]]))
         else:
             many = np.diff(np.concatenate([first, [len(at)]]))
-        yield h[at[first]], first + start, many, (whole[0] if keys else h[:0])
+        yield h[at[first]], first + start, many
 
 
 class Family:
-    """Suffix arrays of geometric sizes; each is a sorted array of cut suffixes' fingerprints."""
+    """Suffix arrays of geometric sizes; each is a sorted array of distinct cut suffixes."""
 
     def __init__(self):
         self.levels: list[np.ndarray] = []
@@ -105,7 +105,7 @@ class Family:
         """Whether each of a batch's suffixes, in the order of their start, started earlier; the batch becomes a level."""
         array, first, where = np.unique(suffixes, return_index=True, return_inverse=True)
         seen = np.zeros(len(array), bool)
-        for level in self.levels:  # a merge scan: both are sorted
+        for level in self.levels:  # a merge scan of two sorted arrays, leaping over what lies between
             at = np.searchsorted(level, array)
             seen |= level[np.minimum(at, len(level) - 1)] == array
         repeated = np.ones(len(suffixes), bool)
@@ -115,7 +115,7 @@ class Family:
             self.levels.append(array[~seen])
         while len(self.levels) > 1 and len(self.levels[-1]) >= len(self.levels[-2]):
             a, b = self.levels.pop(), self.levels.pop()
-            self.levels.append(np.sort(np.concatenate([a, b]), kind="stable"))
+            self.levels.append(np.sort(np.concatenate([a, b]), kind="stable"))  # two runs: one merge
         return repeated
 
 
@@ -139,28 +139,55 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Joined spans; touching ones are one."""
-    order = np.argsort(start, kind="stable")
-    start, end = start[order], np.maximum.accumulate(end[order])
-    fresh = np.concatenate([[True], start[1:] > end[:-1]]) if len(start) else np.zeros(0, bool)
-    first = np.flatnonzero(fresh)
-    return start[first], end[np.concatenate([first[1:] - 1, [len(end) - 1]])] if len(first) else end[:0]
+def _fresh(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the row before."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def _joined(did: np.ndarray, tie: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans of documents, those that touch made one."""
+    if not len(did):
+        return did, tie, start, end
+    order = np.lexsort((start, tie, did))
+    did, tie, start, end = (c[order] for c in (did, tie, start, end))
+    group = np.cumsum(_fresh(did, tie)) << 40  # a text's size is under 2**31
+    reach = np.maximum.accumulate(group + end)
+    new = np.concatenate([[True], group[1:] + start[1:] > reach[:-1]])
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:] - 1, [len(did) - 1]])
+    return did[first], tie[first], start[first], reach[last] - group[last]
+
 
+def _digests(pieces: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(b"".join(blake2b(x, digest_size=16).digest() for x in pieces), "<i8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
-def _anchor_rows(length: int, shards: int):
-    """Documents -> for each shard, (anchor hash, document, tie)."""
+
+#: Rows between the steps: for a shard or a bucket of documents (ROWS), or for documents by way of a shard's step (ON).
+ROWS, ON, TEXT = 0, 1, 2
+_COLUMNS = ["bucket", "kind", "data"]
+
+
+def _anchor_rows(length: int, shards: int, buckets: int, frequent: np.ndarray):
+    """Documents -> for each shard, (anchor hash, document, tie); frequent anchors go on to their documents."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
 
         def sent() -> pd.DataFrame:
             h, d, t = (np.concatenate(x) for x in zip(*held, strict=True))
+            known = np.isin(h, frequent)
+            on = _to_documents([(d[known], t[known], _signed(h[known]))], buckets, ON)
+            h, d, t = h[~known], d[~known], t[~known]
             shard = (h % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             ends = np.searchsorted(shard[order], np.arange(shards + 1))
-            rows = [(s, _packed(_signed(h)[p], d[p], t[p])) for s in range(shards) if len(p := order[ends[s] : ends[s + 1]])]
-            return pd.DataFrame(rows, columns=["bucket", "data"])
+            rows = [(s, ROWS, _packed(_signed(h)[p], d[p], t[p])) for s in range(shards) if len(p := order[ends[s] : ends[s + 1]])]
+            return pd.concat([on, pd.DataFrame(rows, columns=_COLUMNS)])
 
         for df in frames:
             for did, tie, text in zip(df.did, df.tie, df.text, strict=True):
@@ -180,44 +207,64 @@ def _anchor_rows(length: int, shards: int):
     return run
 
 
-def _to_documents(rows: list[tuple[np.ndarray, ...]], buckets: int) -> pd.DataFrame:
+def frequent_anchors(docs: DataFrame, length: int) -> np.ndarray:
+    """Sorted hashes of anchors that have many distinct segments in a sample of documents."""
+    many = max(1, docs.count() // SAMPLE)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            for text in df.text:
+                raw = (text or "").encode()
+                for h, first, n in anchors(np.frombuffer(raw, np.uint8), length):
+                    own = _digests(raw[a : a + k + length - 1] for a, k in zip(first.tolist(), n.tolist(), strict=True))[0]
+                    yield pd.DataFrame({"h": _signed(h), "segment": own}).drop_duplicates()
+
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(many)) == 0).select("text").distinct()
+    got = some.mapInPandas(run, "h long, segment long").distinct().groupBy("h").count().where(F.col("count") >= FREQUENT).select("h").toPandas()
+    return np.sort(got.h.to_numpy(np.int64).view(np.uint64))
+
+
+def _to_documents(rows: list[tuple[np.ndarray, ...]], buckets: int, kind: int = ROWS) -> pd.DataFrame:
     """Rows whose first column is the document, packed for each of the documents' buckets."""
     columns = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else []
     if not columns or not len(columns[0]):
-        return pd.DataFrame({"bucket": np.zeros(0, np.int64), "data": []})
+        return pd.DataFrame({"bucket": np.zeros(0, np.int64), "kind": np.zeros(0, np.int64), "data": []})
     bucket = columns[0] % buckets
     order = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    return pd.DataFrame([(b, _packed(*(c[p] for c in columns))) for b in range(buckets) if len(p := order[ends[b] : ends[b + 1]])], columns=["bucket", "data"])
+    return pd.DataFrame([(b, kind, _packed(*(c[p] for c in columns))) for b in range(buckets) if len(p := order[ends[b] : ends[b + 1]])], columns=_COLUMNS)
 
 
-def _by_bucket(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[bytes]]]:
-    """Sorted rows (bucket, data), a bucket at a time."""
-    bucket, held = None, []
-    for df in frames:
-        for b, data in zip(df.bucket, df.data, strict=True):
-            if b != bucket and held:
-                yield bucket, held
-                held = []
-            bucket = b
-            held.append(data)
-    if held:
-        yield bucket, held
+def _by_shard(work):
+    """A mapInPandas function over sorted rows: ``work`` gets the data of one shard at a time; what goes on to documents is passed."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket, held = None, []
+        for df in frames:
+            yield df[df.kind == ON]
+            for b, data in zip(*(df.loc[df.kind == ROWS, c] for c in ("bucket", "data")), strict=True):
+                if b != bucket and held:
+                    full, held = held, []
+                    yield work(full)
+                bucket = b
+                held.append(data)
+        if held:
+            yield work(held)
+
+    return run
 
 
 def _repeated_anchors(buckets: int):
     """A shard's anchors -> those that occur twice, for each bucket of documents: (document, tie, hash)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, held in _by_bucket(frames):
-            h, d, t = (np.concatenate(c) for c in zip(*(_unpacked(x)[0] for x in held), strict=True))
-            order = np.argsort(h, kind="stable")
-            h, d, t = h[order], d[order], t[order]
-            same = h[1:] == h[:-1]
-            twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            yield _to_documents([(d[twice], t[twice], h[twice])], buckets)
+    def work(held: list[bytes]) -> pd.DataFrame:
+        h, d, t = (np.concatenate(c) for c in zip(*(_unpacked(x)[0] for x in held), strict=True))
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        twice = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        return _to_documents([(d[twice], t[twice], h[twice])], buckets)
 
-    return run
+    return _by_shard(work)
 
 
 def _with_documents(frames: Iterator[pd.DataFrame], key: int) -> Iterator[tuple[pd.Series, list[np.ndarray]]]:
@@ -227,7 +274,7 @@ def _with_documents(frames: Iterator[pd.DataFrame], key: int) -> Iterator[tuple[
         for row in df.itertuples(index=False):
             if row.bucket != bucket:
                 bucket, packed, table = row.bucket, [], None
-            if row.kind == 0:
+            if row.kind != TEXT:
                 packed.append(row.data)
                 continue
             if table is None:
@@ -244,46 +291,52 @@ def _with_documents(frames: Iterator[pd.DataFrame], key: int) -> Iterator[tuple[
             yield row, [c[a:b][mine] for c in table[key:]]
 
 
-def _suffix_rows(length: int, shards: int):
-    """Documents with their repeated anchors -> for each shard, the suffixes at these anchors."""
+def _suffix_rows(length: int, shards: int, buckets: int, frequent: np.ndarray):
+    """Documents with their repeated anchors -> for each shard, distinct segments: (key, document, tie, first, many) and their bytes.
+
+    Segments that the batch has earlier go on to their documents as spans.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list] = {}
+        held: list[tuple[np.ndarray, ...]] = []
+        pieces: list[bytes] = []
         size = 0
 
         def sent() -> pd.DataFrame:
+            key, own, did, tie, first, many = (np.concatenate(c) for c in zip(*held, strict=True))
+            d0, d1 = _digests(iter(pieces))
+            key = np.where(own, d0, key)
+            order = np.lexsort((first, tie, did, d1, d0))
+            new = _fresh(d0[order], d1[order])
+            again = order[~new]
+            on = _to_documents([_joined(did[again], tie[again], first[again], first[again] + many[again] + length - 1)], buckets, ON)
+            up = np.sort(order[new])
+            shard = (key[up].view(np.uint64) % np.uint64(shards)).astype(np.int64)
             rows = []
-            for s, parts in held.items():
-                columns = [np.concatenate(c) for c in zip(*(p[:4] for p in parts), strict=True)]
-                rows.append((s, _packed(*columns, blob=b"".join(p[4] for p in parts))))
-            held.clear()
-            return pd.DataFrame(rows, columns=["bucket", "data"])
+            for s in np.unique(shard):
+                p = up[shard == s]
+                rows.append((s, ROWS, _packed(key[p], did[p], tie[p], first[p], many[p], blob=b"".join(pieces[i] for i in p.tolist()))))
+            return pd.concat([on, pd.DataFrame(rows, columns=_COLUMNS)])
 
         for row, found in _with_documents(frames, 2):
             if not found or not len(found[0]):
                 continue
-            data = np.frombuffer(row.text.encode(), np.uint8)
-            raw, wanted = data.tobytes(), np.unique(found[0])
-            base = 0
-            for h, first, many, keys in anchors(data, length, keys=True):
+            raw, wanted = row.text.encode(), np.unique(found[0])
+            for h, first, many in anchors(np.frombuffer(raw, np.uint8), length):
                 ours = np.isin(_signed(h), wanted)
                 h, first, many = h[ours], first[ours], many[ours]
-                # what repeats inside the block needs no look at other documents
-                inside = np.repeat(first - base, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                own = keys[inside]
-                again = np.ones(len(own), bool)
-                again[np.unique(own, return_index=True)[1]] = False
-                fresh = np.bincount(np.repeat(np.arange(len(h)), many), ~again, minlength=len(h)) > 0 if len(h) else np.zeros(0, bool)
-                shard = (h % np.uint64(shards)).astype(np.int64)
-                for s in np.unique(shard):
-                    p = np.flatnonzero(shard == s)
-                    blob = b"".join(raw[a : a + n + length - 1] for a, n in zip(first[p][fresh[p]].tolist(), many[p][fresh[p]].tolist(), strict=True))
-                    held.setdefault(int(s), []).append((np.full(len(p), row.did), np.full(len(p), row.tie), first[p], np.where(fresh[p], many[p], -many[p]), blob))
-                    size += len(blob) + 32 * len(p)
-                base += BLOCK - length
+                own = np.isin(h, frequent)  # their strings are dealt one by one
+                n = np.where(own, many, 1)
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                first, many, own, h = np.repeat(first, n) + step, np.repeat(np.where(own, 1, many), n), np.repeat(own, n), np.repeat(h, n)
+                if len(h):
+                    held.append((_signed(h), own, np.full(len(h), row.did), np.full(len(h), row.tie), first, many))
+                    new = [raw[a : a + k + length - 1] for a, k in zip(first.tolist(), many.tolist(), strict=True)]
+                    pieces += new
+                    size += sum(map(len, new))
                 if size >= SEND:
                     yield sent()
-                    size = 0
+                    held, pieces, size = [], [], 0
         if held:
             yield sent()
 
@@ -291,91 +344,104 @@ def _suffix_rows(length: int, shards: int):
 
 
 def _shard_spans(length: int, buckets: int):
-    """A shard's suffixes -> spans to remove, for each bucket of documents: (document, tie, start, end)."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, held in _by_bucket(frames):
-            parts = [_unpacked(x) for x in held]
-            did, tie, first, many = (np.concatenate(c) for c in zip(*(c for c, _ in parts), strict=True))
-            text = np.frombuffer(b"".join(blob for _, blob in parts), np.uint8)
-            del parts, held
-            plain = many > 0
-            sizes = np.where(plain, many + length - 1, 0)
-            place = np.cumsum(sizes) - sizes
-            out = [(did[~plain], tie[~plain], first[~plain], first[~plain] - many[~plain] + length - 1)]
-            order = np.lexsort((first, tie, did))
-            order = order[plain[order]]
-            family = Family()
-            ends = np.cumsum(many[order])
-            at = 0
-            while at < len(order):  # batches of documents in their order
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH)))
-                rows = order[at:to]
-                n = many[rows]
-                total = int(sizes[rows].sum())
-                inside = np.arange(total) - np.repeat(np.cumsum(sizes[rows]) - sizes[rows], sizes[rows])
-                data = text[np.repeat(place[rows], sizes[rows]) + inside]
-                (keys,) = hashes(data, length)
-                start = np.repeat(np.cumsum(sizes[rows]) - sizes[rows], n)
-                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                gone = family.add(keys[start + step])
-                row = np.repeat(rows, n)[gone]
-                where = first[row] + step[gone]
-                if len(row):
-                    # neighbouring suffixes of a document make one span
-                    fresh = np.concatenate([[True], (row[1:] != row[:-1]) | (where[1:] > where[:-1] + length)])
-                    a = np.flatnonzero(fresh)
-                    b = np.concatenate([a[1:] - 1, [len(row) - 1]])
-                    out.append((did[row[a]], tie[row[a]], where[a], where[b] + length))
-                at = to
-            yield _to_documents(out, buckets)
-
-    return run
+    """A shard's segments -> spans to remove, for each bucket of documents: (document, tie, start, end)."""
+
+    def work(held: list[bytes]) -> pd.DataFrame:
+        parts = [_unpacked(x) for x in held]
+        key, did, tie, first, many = (np.concatenate(c) for c in zip(*(c for c, _ in parts), strict=True))
+        raw = b"".join(blob for _, blob in parts)
+        del parts
+        sizes = many + length - 1
+        place = np.cumsum(sizes) - sizes
+        d0, d1 = _digests(raw[a : a + n] for a, n in zip(place.tolist(), sizes.tolist(), strict=True))
+        order = np.lexsort((first, tie, did, d1, d0))
+        new = _fresh(d0[order], d1[order])
+        again, ones = order[~new], order[new]
+        out = [(did[again], tie[again], first[again], first[again] + sizes[again])]
+        # distinct segments of an anchor that has more than one, in chunks of whole anchors
+        ones = ones[np.argsort(key[ones], kind="stable")]
+        group = np.cumsum(_fresh(key[ones])) - 1
+        counts = np.bincount(group, minlength=1)
+        ones = ones[counts[group] > 1]
+        starts = np.flatnonzero(_fresh(key[ones])) if len(ones) else np.zeros(0, int)
+        total = np.concatenate([[0], np.cumsum(many[ones])])
+        windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), length)
+        at = 0
+        while at < len(ones):
+            ends = np.append(starts[starts > at], len(ones))
+            to = int(ends[max(0, np.searchsorted(total[ends], total[at] + CHUNK, "right") - 1)])
+            rows, at = ones[at:to], to
+            rows = rows[np.lexsort((first[rows], tie[rows], did[rows]))]
+            out += _family_spans(rows, did, tie, first, many, place, windows, length)
+        return _to_documents([_joined(*(np.concatenate(c) for c in zip(*out, strict=True)))], buckets)
+
+    return _by_shard(work)
+
+
+def _family_spans(rows: np.ndarray, did: np.ndarray, tie: np.ndarray, first: np.ndarray, many: np.ndarray, place: np.ndarray, windows: np.ndarray, length: int) -> list[tuple[np.ndarray, ...]]:
+    """Spans of the suffixes of some segments, in their documents' order, that started earlier."""
+    family, out = Family(), []
+    row = np.repeat(rows, many[rows])
+    step = np.arange(len(row)) - np.repeat(np.cumsum(many[rows]) - many[rows], many[rows])
+    for at in range(0, len(row), BATCH):
+        r, k = row[at : at + BATCH], step[at : at + BATCH]
+        gone = family.add(np.ascontiguousarray(windows[place[r] + k]).view(f"S{length}").ravel())
+        r, k = r[gone], k[gone]
+        out.append((did[r], tie[r], first[r] + k, first[r] + k + length))
+    return out
 
 
 def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Documents with their spans -> what is left of each."""
-    rows = []
+    rows, size = [], 0
     for row, found in _with_documents(frames, 2):
         raw = (row.text or "").encode()
-        start, end = _spans(*found) if found and len(found[0]) else (np.zeros(0, int), np.zeros(0, int))
+        none = np.zeros(0, np.int64)
+        start, end = found if found else (none, none)
+        _, _, start, end = _joined(np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), start, end)
         kept, at = [], 0
         for a, b in zip(start.tolist(), end.tolist(), strict=True):
             kept.append(raw[at:a])
             at = b
         kept.append(raw[at:])
-        rows.append((row.doc_id, len(raw), int((end - start).sum()), len(start), b"".join(kept)))
-        if len(rows) >= 2_000:
+        rows.append((row.did, row.no_id, len(raw), int((end - start).sum()), len(start), b"".join(kept)))
+        size += len(raw)
+        if size >= SEND:
             yield _results(rows)
-            rows = []
+            rows, size = [], 0
     yield _results(rows)
 
 
 def _results(rows: list[tuple]) -> pd.DataFrame:
-    doc, n, removed, spans, kept = zip(*rows, strict=True) if rows else ((),) * 5
-    doc = pd.array([None if d is None or d != d else int(d) for d in doc], "Int64")
-    return pd.DataFrame({"doc_id": doc, "n_bytes": np.array(n, np.int64), "n_removed": np.array(removed, np.int64), "n_spans": np.array(spans, np.int64), "kept": list(kept)})
+    doc, no_id, n, removed, spans, kept = zip(*rows, strict=True) if rows else ((),) * 6
+    longs = {c: np.array(v, np.int64) for c, v in (("doc_id", doc), ("n_bytes", n), ("n_removed", removed), ("n_spans", spans))}
+    return pd.DataFrame(longs | {"no_id": np.array(no_id, bool), "kept": list(kept)})
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that are left) of every row of ``docs`` (doc_id, text)."""
     parts = shuffle_parts(docs.sparkSession)
-    shards = buckets = max(LEAST, parts // 2)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = rows.groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("many"))
-    shared_ids = bool(ids.agg(F.max("many")).first()[0])
+    rows = with_ids(docs, "text").withColumn("did", F.when(F.col("no_id"), F.lit(LAST)).otherwise(F.col("doc_id")))
+    by_id = rows.groupBy("did").agg((F.count(F.lit(1)) > 1).alias("many"), F.sum(F.octet_length("text")).alias("bytes"))
+    shared_ids, size = by_id.agg(F.max("many"), F.sum("bytes")).first()
+    shards = buckets = max(parts, -(-(size or 0) // SHARD))
     tie = F.coalesce(F.xxhash64("text"), F.lit(0)) if shared_ids else F.lit(0).cast("long")
-    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("did"), tie.alias("tie"), "text")
-    packed = "bucket long, data binary"
-    sharded = rows.select("did", "tie", "text").dropDuplicates(["did", "tie"]) if shared_ids else rows.select("did", "tie", "text")
-    by_shard = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    twice = by_shard(sharded.mapInPandas(_anchor_rows(length, shards), packed)).mapInPandas(_repeated_anchors(buckets), packed)
+    rows = rows.select("did", "no_id", tie.alias("tie"), "text")
+    sharded = rows.where(F.octet_length("text") >= length)
+    frequent = frequent_anchors(sharded, length)
+    if shared_ids:
+        sharded = sharded.dropDuplicates(["did", "tie"])
+    packed = "bucket long, kind int, data binary"
+    by_bucket = lambda df, *order: df.repartition(parts, "bucket").sortWithinPartitions("bucket", *order)
 
     def meet(data: DataFrame, texts: DataFrame) -> DataFrame:
-        left = data.select("bucket", F.lit(0).alias("kind"), "data", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("did"), F.lit(0).cast("long").alias("tie"), F.lit(None).cast("string").alias("text"))
-        right = texts.select(F.pmod("did", F.lit(buckets)).alias("bucket"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("data"), *(F.col(c) if c in texts.columns else F.lit(None).cast("long").alias(c) for c in ("doc_id", "did", "tie", "text")))
-        return left.unionByName(right).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
-
-    suffixes = meet(twice, sharded).mapInPandas(_suffix_rows(length, shards), packed)
-    spans = by_shard(suffixes).mapInPandas(_shard_spans(length, buckets), packed)
-    return meet(spans, rows).mapInPandas(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+        none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+        left = data.select("bucket", "kind", "data", zero.alias("did"), F.lit(False).alias("no_id"), zero.alias("tie"), none.alias("text"))
+        right = texts.select(F.pmod("did", F.lit(buckets)).alias("bucket"), F.lit(TEXT).alias("kind"), F.lit(None).cast("binary").alias("data"), "did", "no_id", "tie", "text")
+        return by_bucket(left.unionByName(right), "kind")
+
+    twice = by_bucket(sharded.select("did", "tie", "text").mapInPandas(_anchor_rows(length, shards, buckets, frequent), packed)).mapInPandas(_repeated_anchors(buckets), packed)
+    suffixes = meet(twice, sharded).mapInPandas(_suffix_rows(length, shards, buckets, frequent), packed)
+    spans = by_bucket(suffixes).mapInPandas(_shard_spans(length, buckets), packed)
+    out = meet(spans, rows).mapInPandas(_cut, "doc_id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept binary")
+    return real_ids(out).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
