@@ -10,8 +10,19 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch at most: what a Python worker, and the executor's buffers beside it, hold at once.
+BATCH_BYTES = 8 << 20
+
+
 def import_path(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it (a cluster installs it, or ships it with --py-files)."""
+    """Let Python workers import this package from where the driver has it (a cluster installs it, or ships it with --py-files).
+
+    Arrow batches are bounded by bytes too, unless the session's bound is lower: long texts make 10,000 rows large.
+    """
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    low = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(bound))
+    if low > BATCH_BYTES:
+        spark.conf.set(bound, str(BATCH_BYTES))
     here, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
     if here not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), here) if x)
