@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, tokenizer
+from tessera.llm.common import materialise, real_ids, tokenizer, with_ids
 
 CAPACITY, END = 2048, 1
 #: Share of a piece that may be left empty rather than cut off; pieces shorter than SHORT are never cut.
@@ -152,19 +152,19 @@ def _pieces(path: str, capacity: int, slack: float, short: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, end = worker_words(path), np.asarray([END], "<u4").tobytes()
         for df in frames:
-            docs, starts, classes, lengths, ids, totals = [], [], [], [], [], []
+            docs, nulls, starts, classes, lengths, ids, totals = [], [], [], [], [], [], []
             coded = chain.from_iterable(map(words.encode, in_blocks(t or "" for t in df.text)))
-            for doc, data in zip(df.doc_id, coded, strict=True):
+            for doc, null, data in zip(df.doc_id, df.no_id, coded, strict=True):
                 data += end
                 n, at = len(data) // 4, 0
                 shape = shapes.get(n) or shapes.setdefault(n, cuts(n, capacity, slack, short))
                 for k, length in shape:
-                    docs.append(doc), starts.append(at), classes.append(k), lengths.append(length), totals.append(n)
+                    docs.append(doc), nulls.append(null), starts.append(at), classes.append(k), lengths.append(length), totals.append(n)
                     ids.append(data[4 * at : 4 * (at + length)])
                     at += length
                 if len(shapes) > 100_000:
                     shapes.clear()
-            yield pd.DataFrame({"doc_id": pd.array(docs, "Int64"), "start": starts, "length": lengths, "klass": classes, "doc_tokens": totals, "ids": ids})
+            yield pd.DataFrame({"doc_id": docs, "no_id": nulls, "start": starts, "length": lengths, "klass": classes, "doc_tokens": totals, "ids": ids})
 
     return run
 
@@ -192,10 +192,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, slack:
     ``of_ids``, an expression over them, which is evaluated where they are made, so that they are not written.
     """
     # tokenised once: the places below are counted from the written table
-    schema = "doc_id long, start long, length long, klass int, doc_tokens long, ids binary"
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_pieces(tokenizer_path, capacity, slack, short), schema)
+    schema = "doc_id long, no_id boolean, start long, length long, klass int, doc_tokens long, ids binary"
+    made = with_ids(docs, "text").mapInPandas(_pieces(tokenizer_path, capacity, slack, short), schema)
     ids = F.col("ids") if of_ids is None else of_ids
-    made = made.select("doc_id", "start", "length", "klass", "doc_tokens", ids)
+    made = real_ids(made).select("doc_id", "start", "length", "klass", "doc_tokens", ids)
     pieces = materialise(made.withColumn("part", F.spark_partition_id()).withColumn("local", F.monotonically_increasing_id()), "pieces")
     # a piece's rank in its class: those of earlier parts, then its rank within the part's own class
     keys = pieces.select("klass", "part", "local", "length", "doc_id", "start")

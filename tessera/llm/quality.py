@@ -13,8 +13,9 @@ their id); all whole texts are scored.
 Defined results: a null text is empty; a null source, language or length is a value of its
 own; an empty text has the score that its (empty) features give; repeated rows score alike;
 with fewer than ``LEAST`` labelled documents of either class every document gets the labels'
-mean (1 without labels) and is kept; several labels for one document are averaged; an empty
-table gives no rows; columns other than those named are passed by.
+mean (1 without labels) and is kept; several labels for one document are averaged; of rows that
+share an id one (with the least text) is learnt from, and all are scored; an empty table gives no rows; columns other
+than those named are passed by.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import linear
+from tessera.llm.common import real_ids, with_ids
 
 #: Bounds of the samples that the classifiers are fitted on.
 LABELLED, POOL = 8_000, 8_000
@@ -37,6 +40,7 @@ LEAST, ROUNDS, SHARE = 8, 5, 0.05
 #: A document is rejected if its probability of good quality is under this.
 THRESHOLD = 0.5
 SOURCES, LANGS, LENGTHS = 64, 16, 16
+VIEWS = ("text", "source", "lang", "n_chars")
 
 
 def text_view(text: str | None) -> np.ndarray:
@@ -116,11 +120,12 @@ def co_train(views, y: np.ndarray, pool, rounds: int = ROUNDS, share: float = SH
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | float:
     """A model from (doc_id, text, source, lang, n_chars) and (doc_id, quality); the labels' mean if they are too few."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("y"))
-    ids = docs.select("doc_id", F.col("source"), F.col("lang"), F.col("n_chars")).where("doc_id is not null")
+    rows = docs.select("doc_id", *(F.col(c).cast("string").alias(c) for c in VIEWS)).where("doc_id is not null")
     order = [F.xxhash64("doc_id"), "doc_id"]
-    seen = ids.select("doc_id").distinct()
+    seen = rows.select("doc_id").distinct()
     chosen = seen.join(known, "doc_id").orderBy(*order).limit(labelled).unionByName(seen.join(known, "doc_id", "left_anti").orderBy(*order).limit(pool), allowMissingColumns=True)
-    rows = docs.select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(chosen), "doc_id")  # bounded by the two limits
+    # one row an id, so that the two limits bound what is broadcast and what comes to the driver
+    rows = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(*VIEWS)).alias("one")).select("doc_id", "y", "one.*")
     width = len(text_view("")), len(metadata_view(None, None, None))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
                 a, b = _views(df)
                 yield pd.DataFrame({"doc_id": df.doc_id, "y": df.y.astype("float64"), "v": [x.tobytes() for x in np.hstack([a, b]).astype("<f4")]})
 
-    got = rows.mapInPandas(run, "doc_id long, y double, v binary").toArrow().to_pandas().drop_duplicates(["doc_id", "v"]).sort_values(["doc_id", "v"])
+    got = rows.mapInPandas(run, "doc_id long, y double, v binary").toArrow().to_pandas().sort_values("doc_id")
     known_rows, free_rows = got[got.y.notna()], got[got.y.isna()]
     y = (known_rows.y >= 0.5).to_numpy()
     if min(y.sum(), (~y).sum()) < LEAST:
@@ -144,27 +149,29 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, quality_score, text_score, metadata_score, keep of every row of ``docs``."""
-    views = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang", "n_chars")
-    model = train(views, labels)
+    model = train(docs, labels)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             if len(df):
                 p, each = model(_views(df)) if isinstance(model, Model) else (np.full(len(df), model), [np.full(len(df), model)] * 2)
                 keep = p >= THRESHOLD if isinstance(model, Model) else np.ones(len(df), bool)
-                yield pd.DataFrame({"doc_id": df.doc_id.astype("Int64"), "quality_score": p, "text_score": each[0], "metadata_score": each[1], "keep": keep})
+                yield pd.DataFrame({"doc_id": df.doc_id, "no_id": df.no_id, "quality_score": p, "text_score": each[0], "metadata_score": each[1], "keep": keep})
 
-    return views.mapInPandas(run, "doc_id long, quality_score double, text_score double, metadata_score double, keep boolean")
+    made = with_ids(docs, *VIEWS).mapInPandas(run, "doc_id long, no_id boolean, quality_score double, text_score double, metadata_score double, keep boolean")
+    return real_ids(made).select("doc_id", "quality_score", "text_score", "metadata_score", "keep")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with their columns."""
-    views = ["doc_id", "text", "source", "lang", "n_chars"]
-    model = train(docs.select(*views), labels)
+    model = train(docs, labels)
+    if not isinstance(model, Model):
+        return docs
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            if len(df):
-                yield df[model(_views(df))[0] >= THRESHOLD] if isinstance(model, Model) else df
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # rows pass as Arrow has them: in pandas, integers beside a null would be floats
+            if batch.num_rows:
+                df = pd.DataFrame({c: batch.column(c).cast(pa.string()).to_pandas() for c in VIEWS})
+                yield batch.filter(pa.array(model(_views(df))[0] >= THRESHOLD))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

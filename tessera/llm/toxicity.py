@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import linear
-from tessera.llm.common import crc_mod, materialise
+from tessera.llm.common import crc_mod, materialise, real_ids, with_ids
 
 #: Bounds of the samples that are fitted on.
 LABELLED, FREE = 12_000, 6_000
@@ -178,7 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column) -> Model | float
     order = [F.xxhash64("doc_id"), "doc_id"]
     ids = docs.where("doc_id is not null").where(~held_out).select("doc_id").distinct()
     chosen = ids.join(known, "doc_id").orderBy(*order).limit(LABELLED).unionByName(ids.join(known, "doc_id", "left_anti").orderBy(*order).limit(FREE), allowMissingColumns=True)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by the two limits
+    # one row an id, so that the two limits bound what is broadcast and what comes to the driver
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def sketched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
@@ -231,10 +232,10 @@ def score(docs: DataFrame, model: Model | float, held_out: Column, threshold: fl
         for df in frames:
             if len(df):
                 p = model(df.text.tolist()) if isinstance(model, Model) else np.full(len(df), model)
-                yield pd.DataFrame({"doc_id": df.doc_id.astype("Int64"), "held_out": df.held_out.astype(bool), "score": p, "predicted": (p >= threshold).astype("int32")})
+                yield pd.DataFrame({"doc_id": df.doc_id, "no_id": df.no_id, "score": p, "predicted": (p >= threshold).astype("int32")})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    made = real_ids(with_ids(docs, "text").mapInPandas(run, "doc_id long, no_id boolean, score double, predicted int"))
+    return made.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
