@@ -53,27 +53,63 @@ PATTERN = (
 ASSIGNED = r"(?i)(" + _NAMES + r")[\"'`]?\s*[=:]|PRIVATE KEY"
 
 
+#: A candidate has at least eight characters, so that so many before it, and what lies between, make up the characters looked at.
+_NEAR = -(-BEFORE // 8)
+#: Candidates whose lengths are added up together.
+_RUN = 64
+
+
 def find(text: Column) -> Column:
     """The findings of a text: an array of (start, value, before)."""
-    return F.transform(_found(text), lambda f: F.struct(f["start"].alias("start"), f["value"].alias("value"), f["before"].alias("before")))
+    return F.transform(_placed(_found(text)["hits"]), lambda f: F.struct(f["start"].alias("start"), f["value"].alias("value"), f["before"].alias("before")))
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _found(text: Column) -> Column:
-    """The findings of a text with what follows them: an array of (start, value, before, after)."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.split(text, PATTERN, -1)
-    size = lambda x: F.char_length(x)
-    # what lies between the hits gives their offsets
-    pairs = F.arrays_zip(F.transform(hits, lambda h: h).alias("h"), F.slice(gaps, F.lit(1), F.size(hits)).alias("g"))
-    empty = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,value:string,before:string,after:string>>))")
-
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + size(pair["g"])
-        low = F.greatest(F.lit(0), start - BEFORE)
-        one = F.struct(start.alias("start"), pair["h"].alias("value"), F.substring(text, low + 1, start - low).alias("before"), F.substring(text, start + size(pair["h"]) + 1, F.lit(AFTER)).alias("after"))
-        return F.struct((start + size(pair["h"])).alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+    """(hits, rest): the findings of a text, each with the gap before it and the characters before and after; what follows the last.
+
+    All of it comes from the pattern's hits and the gaps between, so the time is linear in the text and in the findings.
+    """
+    split = F.struct(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("hits"), F.split(text, PATTERN, -1).alias("gaps"))
+
+    def build(s: Column) -> Column:
+        hits, gaps = s["hits"], s["gaps"]
+
+        def one(h: Column, i: Column) -> Column:
+            back = F.transform(F.sequence(F.greatest(F.lit(0), i - _NEAR), i), lambda j: F.concat(F.right(F.get(gaps, j), F.lit(BEFORE)), F.when(j < i, F.right(F.get(hits, j), F.lit(BEFORE))).otherwise("")))
+            ahead = F.transform(F.sequence(i + 1, F.least(F.size(hits), i + 1 + _NEAR)), lambda j: F.concat(F.left(F.get(gaps, j), F.lit(AFTER)), F.coalesce(F.left(F.get(hits, j), F.lit(AFTER)), F.lit(""))))
+            return F.struct(h.alias("value"), F.get(gaps, i).alias("gap"), F.right(F.array_join(back, ""), F.lit(BEFORE)).alias("before"), F.left(F.array_join(ahead, ""), F.lit(AFTER)).alias("after"))
+
+        return F.struct(F.transform(hits, one).alias("hits"), F.element_at(gaps, -1).alias("rest"))
 
     likely = text.rlike("[0-9]") | text.rlike(ASSIGNED)
-    return F.when(likely & (F.size(hits) > 0), F.aggregate(pairs, empty, step, lambda s: s["out"]))
+    return F.when(likely, _once(split, build))
+
+
+def _placed(hits: Column) -> Column:
+    """``hits`` (with value and gap) with their ``start``: sums of the lengths so far, by runs of ``_RUN``."""
+
+    def place(s: Column) -> Column:
+        add = lambda c: F.aggregate(c, F.lit(0), lambda x, y: x + y)
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(s["sizes"]) - 1) / _RUN).cast("int")), lambda r: add(F.slice(s["sizes"], r * _RUN + 1, F.lit(_RUN))))
+
+        def one(t: Column) -> Column:
+            def start(h: Column, i: Column) -> Column:
+                r = F.floor(i / _RUN).cast("int")
+                here = add(F.slice(s["sizes"], r * _RUN + 1, i - r * _RUN)) + F.get(t["before"], r) + F.char_length(h["gap"])
+                return h.withField("start", here)
+
+            return F.transform(s["hits"], start)
+
+        before = _once(runs, lambda r: F.transform(r, lambda x, i: add(F.slice(r, F.lit(1), i))))
+        return _once(F.struct(before.alias("before")), one)
+
+    sized = F.struct(hits.alias("hits"), F.transform(hits, lambda h: F.char_length(h["gap"]) + F.char_length(h["value"])).alias("sizes"))
+    return F.when(F.size(hits) > 0, _once(sized, place))
 
 
 def features(value: Column, before: Column, after: Column | None = None) -> list[tuple[str, Column]]:
@@ -236,31 +272,29 @@ def train(findings: DataFrame) -> Forest:
 
 
 def scored(text: Column, forest: Forest) -> Column:
-    """All candidates of a text, with score: an array of (start, value, before, score)."""
+    """(hits, rest): all candidates of a text with their score, and what follows the last."""
 
     def one(f: Column) -> Column:
-        known = F.transform(F.array(f), lambda x: F.array(*(c.cast("double") for _, c in features(x["value"], x["before"], x["after"]))))
-        vote = F.transform(known, lambda v: forest.score([F.get(v, F.lit(i)) for i in range(WIDTH)]))
-        return F.struct(f["start"].alias("start"), f["value"].alias("value"), f["before"].alias("before"), F.get(vote, F.lit(0)).alias("score"))
+        known = F.array(*(c.cast("double") for _, c in features(f["value"], f["before"], f["after"])))
+        vote = _once(known, lambda v: forest.score([F.get(v, F.lit(i)) for i in range(WIDTH)]))
+        return F.struct(f["value"].alias("value"), f["gap"].alias("gap"), vote.alias("score"))
 
-    return F.transform(_found(text), one)
+    return _once(_found(text), lambda s: F.struct(F.transform(s["hits"], one).alias("hits"), s["rest"].alias("rest")))
 
 
 def scan(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataFrame:
     """The secrets of all documents: doc_id, start, length, value, score."""
-    found = docs.select("doc_id", F.explode(F.filter(scored(F.col("text"), forest), lambda f: f["score"] >= threshold)).alias("f"))
+    hits = _placed(scored(F.col("text"), forest)["hits"])
+    found = docs.select("doc_id", F.explode(F.filter(hits, lambda f: f["score"] >= threshold)).alias("f"))
     return found.select("doc_id", F.col("f.start").alias("start"), F.char_length("f.value").alias("length"), F.col("f.value").alias("value"), F.col("f.score").alias("score"))
 
 
 def redact(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, mask: str = MASK) -> DataFrame:
     """``docs`` with each secret replaced by ``mask``; texts without secrets are unchanged."""
     text = F.col("text")
-    kept = F.filter(scored(text, forest), lambda f: f["score"] >= threshold)
-    empty = F.expr("named_struct('at', 0, 'out', '')")
 
-    def step(state: Column, f: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, f["start"] - state["at"])
-        return F.struct((f["start"] + F.char_length(f["value"])).alias("at"), F.concat(state["out"], gap, F.lit(mask)).alias("out"))
+    def put(s: Column) -> Column:
+        parts = F.transform(s["hits"], lambda f: F.concat(f["gap"], F.when(f["score"] >= threshold, F.lit(mask)).otherwise(f["value"])))
+        return F.when(F.exists(s["hits"], lambda f: f["score"] >= threshold), F.concat(F.array_join(parts, ""), s["rest"]))
 
-    tail = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text)))
-    return docs.withColumn("text", F.when(F.size(kept) > 0, F.aggregate(kept, empty, step, tail)).otherwise(text))
+    return docs.withColumn("text", F.coalesce(_once(scored(text, forest), put), text))

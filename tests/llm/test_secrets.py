@@ -97,3 +97,27 @@ def test_assigned_values_with_blanks_and_quotes(spark):
     assert {i: found[i] for i in range(7)} == {i: [v] for i, v in enumerate(values)}
     got = {r.doc_id: r.value for r in s.scan(docs, s.train(s.labelled_findings(spark))).collect()}
     assert got == dict(enumerate(values))
+
+
+def test_time_is_linear_in_the_candidates(spark):
+    import time
+
+    rnd = random.Random(3)
+    digest = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(40))
+    forest = s.train(s.labelled_findings(spark))
+    took = []
+    for n in (1_000, 1_000, 16_000):
+        texts = [" ".join(f"number {digest()} and password={digest()}" for _ in range(n // 2))]
+        docs = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
+        began = time.time()
+        found = s.scan(docs, forest).collect()
+        clean = s.redact(docs, forest).first().text
+        took.append(time.time() - began)
+        assert len(found) >= n // 2
+        assert all(texts[0][r.start : r.start + r.length] == r.value for r in found)
+        want, at = [], 0
+        for r in sorted(found, key=lambda r: r.start):
+            want += [texts[0][at : r.start], s.MASK]
+            at = r.start + r.length
+        assert clean == "".join([*want, texts[0][at:]])
+    assert took[2] < 16 * took[1] + 3
