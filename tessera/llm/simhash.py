@@ -241,11 +241,22 @@ def _node(h: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(h.tobytes())).astype(np.int64))
 
 
+def _sizes(h: np.ndarray, buckets: int) -> bytes:
+    """How much of a set falls in each bucket; counts are cut at 255, which only brings two sets nearer."""
+    return np.minimum(np.bincount((h % np.uint64(buckets)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def finer(n: int) -> int:
+    """Buckets for a set of ``n``: a power of two times ``BUCKETS``, so that those of two sizes fold into each other."""
+    return min(BUCKETS << 12, BUCKETS << max(0, math.ceil(math.log2(max(1, n) / (4 * BUCKETS)))))
+
+
 def shingle_sets(docs: DataFrame, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """doc_id, no_id, node (the set's hash), n, hist (the set's sizes in hash buckets) and prefix of every row.
+    """doc_id, no_id, node (the set's hash), n, hist and fine (the set's sizes in hash buckets, in ``BUCKETS`` and, for a large
+    set, in as many more as leave about four of it in each) and prefix of every row.
 
     In any one order of all shingles, sets of this Jaccard similarity share a shingle of their prefixes. Of a task's rows with
-    one set only the first has a prefix.
+    one set only the first has a prefix and a fine.
     """
 
     def prefix(h: np.ndarray) -> np.ndarray:
@@ -263,15 +274,17 @@ def shingle_sets(docs: DataFrame, shingle: int, similarity: float, common: np.nd
                 for text in some.text:
                     h = np.unique(shingle_hashes(text, shingle))
                     node = _node(h)
-                    hist = np.minimum(np.bincount((h % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8)
-                    rows.append((node, len(h), hist.tobytes(), prefix(h) if node not in seen else h[:0].view(np.int64)))
-                    seen.add(node)
-                got = pd.DataFrame(rows, columns=["node", "n", "hist", "prefix"])
+                    if node in seen:
+                        rows.append((node, len(h), _sizes(h, BUCKETS), b"", h[:0].view(np.int64)))
+                    else:
+                        rows.append((node, len(h), _sizes(h, BUCKETS), _sizes(h, finer(len(h))) if len(h) > 4 * BUCKETS else b"", prefix(h)))
+                        seen.add(node)
+                got = pd.DataFrame(rows, columns=["node", "n", "hist", "fine", "prefix"])
                 yield pd.concat([some[["doc_id", "no_id"]].reset_index(drop=True), got], axis=1)
             if len(seen) > SEEN:
                 seen.clear()
 
-    return with_ids(docs, "text").mapInPandas(run, "doc_id long, no_id boolean, node long, n long, hist binary, prefix array<long>")
+    return with_ids(docs, "text").mapInPandas(run, "doc_id long, no_id boolean, node long, n long, hist binary, fine binary, prefix array<long>")
 
 
 def _alike(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
@@ -329,12 +342,32 @@ def _may(similarity: float):
     return run
 
 
+def _may_finely(similarity: float):
+    """A mapInPandas function: the pairs whose finer bucket sizes allow the similarity; small sets have none, and their pairs pass."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            ok = []
+            for x, y, n in zip(df.x, df.y, df.n, strict=True):
+                if not x or not y:
+                    ok.append(True)
+                    continue
+                x, y = (np.frombuffer(c, np.uint8).astype(np.int32) for c in (x, y))
+                buckets = min(len(x), len(y))
+                # a bucket's count cut at 255 is no more than the sum of its parts' counts, so the folded one is cut as well
+                x, y = (np.minimum(c.reshape(-1, buckets).sum(0), 255) for c in (x, y))
+                ok.append(np.abs(x - y).sum() <= (1 - similarity) / (1 + similarity) * n + 1e-6)
+            yield df.loc[ok, ["a", "b", "u", "v"]]
+
+    return run
+
+
 def _small(df: DataFrame) -> DataFrame:
     """``df``, written before, to be broadcast if its rows are at most ``BROADCAST``; else joined by a shuffle."""
     return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int, similarity: float, shared_ids: bool) -> DataFrame:
     """The edges (u, v) of ``pairs`` (a, b, u, v) whose sets a and b have the Jaccard similarity.
 
     Sets aren't kept: those asked for are made again from one document each.
@@ -355,13 +388,27 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int, s
                 ok.append(both * (1 + similarity) >= similarity * (len(x) + len(y)) - 1e-6)
             yield df.loc[ok, ["u", "v"]].drop_duplicates()
 
-    asked = _small(materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked"))
+    def both(some: DataFrame, of: DataFrame, value: str) -> DataFrame:
+        """``some`` pairs with the values of their sets as x and y: two joins on one name, for which ``of`` is dealt once."""
+        for side, name in (("a", "x"), ("b", "y")):
+            some = some.withColumn("node", F.col(side)).join(of, "node").withColumnRenamed(value, name).drop("node")
+        return some
+
+    def asked_for(some: DataFrame) -> DataFrame:
+        return _small(materialise(some.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked"))
+
+    pairs = materialise(pairs, "pairs")
+    firsts = rows.where(F.size("prefix") > 0).join(asked_for(pairs), "node", "left_semi")
+    fines = firsts.groupBy("node").agg(F.max(F.struct("fine", "n")).alias("size"))
+    finely = both(pairs, fines, "size").select("a", "b", "u", "v", F.col("x.fine").alias("x"), F.col("y.fine").alias("y"), (F.col("x.n") + F.col("y.n")).alias("n"))
+    pairs = materialise(finely.mapInPandas(_may_finely(similarity), "a long, b long, u long, v long"), "pairs")
+    asked = asked_for(pairs)
     held = rows.where(F.size("prefix") > 0).join(asked, "node", "left_semi").groupBy("node").agg(F.min(F.struct("no_id", "doc_id")).alias("one"))
     held = _small(materialise(held.select("one.*").distinct(), "held"))
     sets = with_ids(docs, "text").join(held, ["doc_id", "no_id"], "left_semi").select("text").mapInPandas(wholes, "node long, whole binary")
-    sets = materialise(sets.join(asked, "node", "left_semi").dropDuplicates(["node"]), "wholes")
-    x, y = sets.select(F.col("node").alias("a"), F.col("whole").alias("x")), sets.select(F.col("node").alias("b"), F.col("whole").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("u", "v", "x", "y").mapInPandas(compare, "u long, v long").distinct()
+    if shared_ids:  # an id may stand for several rows, and these may be alike
+        sets = sets.join(asked, "node", "left_semi").dropDuplicates(["node"])
+    return both(pairs, sets, "whole").select("u", "v", "x", "y").mapInPandas(compare, "u long, v long").distinct()
 
 
 def similar(docs: DataFrame, shingle: int, similarity: float, stars: int = 2) -> DataFrame:
@@ -369,33 +416,35 @@ def similar(docs: DataFrame, shingle: int, similarity: float, stars: int = 2) ->
 
     Pairs are looked for under the shingles of their prefixes, so none is lost, and each link is verified on the whole sets.
     First each key's members are held against one of them, then all pairs that are not yet in one group; a key with many
-    members is dealt as pairs of blocks of at most ``MEMBERS``.
+    members is dealt as pairs of blocks of at most ``MEMBERS``. Shingles that the same sets have are one key.
     """
     rows = materialise(shingle_sets(docs, shingle, similarity, common_shingles(docs, shingle)), "sets")
-    every, own = rows.select("node", "n", F.explode("prefix").alias("k")), Window.partitionBy("k")
-    shared = every.withColumn("low", F.min("node").over(own)).withColumn("high", F.max("node").over(own)).where("low <> high")
-    keys = materialise(shared.select("k", "node", "n", F.col("node").alias("root")), "keys")
-    hists = materialise(rows.join(_small(materialise(keys.select("node").distinct(), "nodes")), "node", "left_semi").select("node", "hist").dropDuplicates(["node"]), "hists")
+    shared_ids = bool(rows.groupBy("doc_id", "no_id").count().where("count > 1").limit(1).count())
+    own = Window.partitionBy("k")
+    every = rows.select("node", "n", F.explode("prefix").alias("k")).withColumn("low", F.min("node").over(own)).withColumn("high", F.max("node").over(own)).where("low <> high")
+    keys = materialise(every.withColumn("k", F.sum(F.xxhash64("node").cast("decimal(20)")).over(own).cast("string")).select(F.xxhash64("k").alias("k"), "node", "n").distinct(), "keys")
+    nodes = materialise(keys.select("node", F.col("node").alias("root")).distinct(), "nodes")
+    hists = materialise(rows.where(F.size("prefix") > 0).join(_small(nodes), "node", "left_semi").select("node", "hist").dropDuplicates(["node"]), "hists")
     for turn in range(stars + 1):
-        one = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "root", "n")).alias("one")
-        apart = materialise(keys.groupBy("k").agg(one, F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("many")).where("low <> high"), "apart")
+        rooted = keys.join(_small(nodes), "node")
         if turn < stars:
-            met = keys.join(apart.select("k", "one"), "k").where((F.col("root") != F.col("one.root")) & (F.least("n", "one.n") >= similarity * F.greatest("n", "one.n") - 1e-6))
+            one = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "root", "n")).over(own)
+            met = rooted.withColumn("one", one).where((F.col("root") != F.col("one.root")) & (F.least("n", "one.n") >= similarity * F.greatest("n", "one.n") - 1e-6))
             pairs = met.select(F.col("one.node").alias("a"), F.col("node").alias("b"), F.col("one.root").alias("u"), F.col("root").alias("v"), F.col("one.n").alias("nx"), F.col("n").alias("ny")).distinct()
             pairs = pairs.join(hists.select(F.col("node").alias("a"), F.col("hist").alias("x")), "a").join(hists.select(F.col("node").alias("b"), F.col("hist").alias("y")), "b")
             pairs = pairs.mapInPandas(_may(similarity), "a long, b long, u long, v long")
         else:
-            blocks = F.greatest(F.lit(1), F.ceil(F.col("many") / MEMBERS)).cast("int")
-            met = keys.join(apart.select("k", blocks.alias("blocks")), "k").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            apart = rooted.withColumn("low", F.min("root").over(own)).withColumn("high", F.max("root").over(own)).withColumn("many", F.count(F.lit(1)).over(own)).where("low <> high")
+            blocks = F.ceil(F.col("many") / MEMBERS).cast("int")
+            met = apart.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
             met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(hists, "node")
             dealt = met.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "n", "node", "root", "hist")
             dealt = dealt.repartition(shuffle_parts(docs.sparkSession), "k", "i", "j").sortWithinPartitions("k", "i", "j", "n")
             pairs = dealt.mapInPandas(_candidates(similarity), "a long, b long, u long, v long").distinct()
-        edges = verified(materialise(pairs, "pairs"), docs, rows, shingle, similarity)
+        edges = verified(pairs, docs, rows, shingle, similarity, shared_ids)
         roots = components(edges).select(F.col("node").alias("root"), F.col("root").alias("joined"))
-        keys = materialise(keys.join(roots, "root", "left").select("k", "node", "n", F.coalesce("joined", "root").alias("root")), "keys")
-    named = materialise(keys.select("node", "root").distinct(), "named")
-    known = rows.select("doc_id", "no_id", "node").join(named, "node", "left").select("doc_id", "no_id", F.coalesce("root", "node").alias("root"))
+        nodes = materialise(nodes.join(roots, "root", "left").select("node", F.coalesce("joined", "root").alias("root")), "nodes")
+    known = rows.select("doc_id", "no_id", "node").join(nodes, "node", "left").select("doc_id", "no_id", F.coalesce("root", "node").alias("root"))
     least = materialise(known.where("not no_id").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     return real_ids(known.join(least, "root", "left").select("doc_id", "no_id", "component_id"))
 
