@@ -12,7 +12,7 @@ logarithmically many. Suffixes are compared byte by byte.
 
 Only suffixes whose anchor occurs twice can repeat: anchors alone are counted first, and the others are not sent.
 Anchors that a sample of documents shows to be very frequent aren't counted (they occur twice), and their strings are dealt
-by their own digests instead of the anchor, so that they spread over all shards; the sample decides the way, not the result.
+and compared by their own digests instead, so that they spread over all shards; the sample decides the way, not the result.
 Texts are dealt by document to fetch the suffixes and to cut the texts. The number of shards and of document buckets follows the bytes of
 the input, and a task holds one at a time.
 
@@ -167,8 +167,8 @@ def _digests(pieces: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-#: Rows between the steps: for a shard or a bucket of documents (ROWS), or for documents by way of a shard's step (ON).
-ROWS, ON, TEXT = 0, 1, 2
+#: Rows between the steps: for a shard or a bucket of documents (ROWS; STRINGS by digest), or for documents by way of a shard's step (ON).
+ROWS, ON, TEXT, STRINGS = 0, 1, 2, 3
 _COLUMNS = ["bucket", "kind", "data"]
 
 
@@ -236,20 +236,20 @@ def _to_documents(rows: list[tuple[np.ndarray, ...]], buckets: int, kind: int =
 
 
 def _by_shard(work):
-    """A mapInPandas function over sorted rows: ``work`` gets the data of one shard at a time; what goes on to documents is passed."""
+    """A mapInPandas function over sorted rows: ``work`` gets one shard's data of a kind at a time; what goes on to documents is passed."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket, held = None, []
+        shard, held = None, []
         for df in frames:
             yield df[df.kind == ON]
-            for b, data in zip(*(df.loc[df.kind == ROWS, c] for c in ("bucket", "data")), strict=True):
-                if b != bucket and held:
+            for row in df[df.kind != ON].itertuples(index=False):
+                if (row.bucket, row.kind) != shard and held:
                     full, held = held, []
-                    yield work(full)
-                bucket = b
-                held.append(data)
+                    yield work(full, shard[1])
+                shard = row.bucket, row.kind
+                held.append(row.data)
         if held:
-            yield work(held)
+            yield work(held, shard[1])
 
     return run
 
@@ -257,7 +257,7 @@ def _by_shard(work):
 def _repeated_anchors(buckets: int):
     """A shard's anchors -> those that occur twice, for each bucket of documents: (document, tie, hash)."""
 
-    def work(held: list[bytes]) -> pd.DataFrame:
+    def work(held: list[bytes], _: int) -> pd.DataFrame:
         h, d, t = (np.concatenate(c) for c in zip(*(_unpacked(x)[0] for x in held), strict=True))
         order = np.argsort(h, kind="stable")
         same = h[order][1:] == h[order][:-1]
@@ -294,7 +294,8 @@ def _with_documents(frames: Iterator[pd.DataFrame], key: int) -> Iterator[tuple[
 def _suffix_rows(length: int, shards: int, buckets: int, frequent: np.ndarray):
     """Documents with their repeated anchors -> for each shard, distinct segments: (key, document, tie, first, many) and their bytes.
 
-    Segments that the batch has earlier go on to their documents as spans.
+    Strings of frequent anchors go as their digests: (digest, digest, document, tie, first). Segments and strings that the
+    batch has earlier go on to their documents as spans.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -315,7 +316,11 @@ def _suffix_rows(length: int, shards: int, buckets: int, frequent: np.ndarray):
             rows = []
             for s in np.unique(shard):
                 p = up[shard == s]
-                rows.append((s, ROWS, _packed(key[p], did[p], tie[p], first[p], many[p], blob=b"".join(pieces[i] for i in p.tolist()))))
+                p, q = p[~own[p]], p[own[p]]
+                if len(p):
+                    rows.append((s, ROWS, _packed(key[p], did[p], tie[p], first[p], many[p], blob=b"".join(pieces[i] for i in p.tolist()))))
+                if len(q):
+                    rows.append((s, STRINGS, _packed(d0[q], d1[q], did[q], tie[q], first[q])))
             return pd.concat([on, pd.DataFrame(rows, columns=_COLUMNS)])
 
         for row, found in _with_documents(frames, 2):
@@ -344,9 +349,17 @@ def _suffix_rows(length: int, shards: int, buckets: int, frequent: np.ndarray):
 
 
 def _shard_spans(length: int, buckets: int):
-    """A shard's segments -> spans to remove, for each bucket of documents: (document, tie, start, end)."""
+    """A shard's segments or strings -> spans to remove, for each bucket of documents: (document, tie, start, end)."""
 
-    def work(held: list[bytes]) -> pd.DataFrame:
+    def strings(held: list[bytes]) -> pd.DataFrame:
+        d0, d1, did, tie, first = (np.concatenate(c) for c in zip(*(_unpacked(x)[0] for x in held), strict=True))
+        order = np.lexsort((first, tie, did, d1, d0))
+        again = order[~_fresh(d0[order], d1[order])]
+        return _to_documents([_joined(did[again], tie[again], first[again], first[again] + length)], buckets)
+
+    def work(held: list[bytes], kind: int) -> pd.DataFrame:
+        if kind == STRINGS:
+            return strings(held)
         parts = [_unpacked(x) for x in held]
         key, did, tie, first, many = (np.concatenate(c) for c in zip(*(c for c, _ in parts), strict=True))
         raw = b"".join(blob for _, blob in parts)
@@ -432,13 +445,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if shared_ids:
         sharded = sharded.dropDuplicates(["did", "tie"])
     packed = "bucket long, kind int, data binary"
-    by_bucket = lambda df, *order: df.repartition(parts, "bucket").sortWithinPartitions("bucket", *order)
+    by_bucket = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
 
     def meet(data: DataFrame, texts: DataFrame) -> DataFrame:
         none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
         left = data.select("bucket", "kind", "data", zero.alias("did"), F.lit(False).alias("no_id"), zero.alias("tie"), none.alias("text"))
         right = texts.select(F.pmod("did", F.lit(buckets)).alias("bucket"), F.lit(TEXT).alias("kind"), F.lit(None).cast("binary").alias("data"), "did", "no_id", "tie", "text")
-        return by_bucket(left.unionByName(right), "kind")
+        return by_bucket(left.unionByName(right))
 
     twice = by_bucket(sharded.select("did", "tie", "text").mapInPandas(_anchor_rows(length, shards, buckets, frequent), packed)).mapInPandas(_repeated_anchors(buckets), packed)
     suffixes = meet(twice, sharded).mapInPandas(_suffix_rows(length, shards, buckets, frequent), packed)
