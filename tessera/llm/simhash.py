@@ -38,6 +38,8 @@ SMALL, LEAF = 32, 512
 BUCKETS = 128
 #: Rows that are broadcast at most, members of a key that meet in one task, sets that a task knows again.
 BROADCAST, MEMBERS, SEEN = 1_000_000, 4_096, 1_000_000
+#: Edges that one task joins, and keys of a set that tell whether a pair has met before.
+FEW, LEAST = 200_000, 8
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -191,8 +193,21 @@ def links(nodes: DataFrame, masks: list[int], radius: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of all nodes with an edge; root is the smallest node reachable."""
+    """(node, root) of all nodes with an edge; root is the smallest node reachable.
+
+    Up to ``FEW`` edges are joined in one task, more by minimum propagation.
+    """
     edges = materialise(edges.where("u <> v"), "edges")
+    if edges.count() <= FEW:
+
+        def joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            both = [df[["u", "v"]].to_numpy(np.int64) for df in frames]
+            pairs = np.concatenate([np.zeros((0, 2), np.int64), *both])
+            node, where = np.unique(pairs, return_inverse=True)
+            a, b = where.reshape(-1, 2).T
+            yield pd.DataFrame({"node": node, "root": node[forest(len(node), a, b)]})
+
+        return materialise(edges.coalesce(1).mapInPandas(joined, "node long, root long"), "labels")
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     labels = materialise(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("root")), "labels")
     while True:
@@ -297,11 +312,17 @@ def _hists(column: pd.Series) -> np.ndarray:
 
 
 def _candidates(similarity: float):
-    """The pairs of one unit with different roots whose sizes and bucket sizes allow the similarity."""
+    """The pairs of one unit with different roots whose sizes and bucket sizes allow the similarity.
+
+    A pair meets under each key that both sets have. It is given once, under the least of the keys that are among the first ``LEAST``
+    of both; a pair without such a key is given each time.
+    """
 
     def pairs(part: pd.DataFrame) -> pd.DataFrame:
         node, root, n = (part[c].to_numpy() for c in ("node", "root", "n"))
-        hist = _hists(part["hist"])
+        hist, key = _hists(part["hist"]), part.k.to_numpy()
+        least = np.stack([np.pad(x, (0, LEAST - len(x)), constant_values=2**63 - 1) for x in part.least])
+        many = part.least.map(len).to_numpy()
         unit = part[["k", "i", "j"]].to_numpy()
         group = np.cumsum(np.concatenate([[True], (unit[1:] != unit[:-1]).any(1)])) - 1
         sizes = np.bincount(group)
@@ -311,6 +332,11 @@ def _candidates(similarity: float):
             ok = (root[i] != root[j]) & (n[i] >= similarity * n[j] - 1e-6)  # sorted by n
             i, j = i[ok], j[ok]
             ok = _alike(hist[i], hist[j], n[i] + n[j], similarity)
+            i, j = i[ok], j[ok]
+            ok = np.ones(len(i), bool)
+            for at in range(LEAST):  # before the pair's first common key
+                mine = least[i, at]
+                ok &= ~((at < many[i]) & (mine < key[i]) & (least[j] == mine[:, None]).any(1))
             return i[ok], j[ok]
 
         found = []
@@ -411,7 +437,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int, s
     return both(pairs, sets, "whole").select("u", "v", "x", "y").mapInPandas(compare, "u long, v long").distinct()
 
 
-def similar(docs: DataFrame, shingle: int, similarity: float, stars: int = 2) -> DataFrame:
+def similar(docs: DataFrame, shingle: int, similarity: float, stars: int = 1) -> DataFrame:
     """doc_id and component_id of every row: groups joined by all pairs of at least this Jaccard similarity of word shingles.
 
     Pairs are looked for under the shingles of their prefixes, so none is lost, and each link is verified on the whole sets.
@@ -437,8 +463,9 @@ def similar(docs: DataFrame, shingle: int, similarity: float, stars: int = 2) ->
             apart = rooted.withColumn("low", F.min("root").over(own)).withColumn("high", F.max("root").over(own)).withColumn("many", F.count(F.lit(1)).over(own)).where("low <> high")
             blocks = F.ceil(F.col("many") / MEMBERS).cast("int")
             met = apart.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-            met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(hists, "node")
-            dealt = met.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "n", "node", "root", "hist")
+            least = keys.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("k")), 1, LEAST).alias("least"))
+            met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(hists.join(least, "node"), "node")
+            dealt = met.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "n", "node", "root", "hist", "least")
             dealt = dealt.repartition(shuffle_parts(docs.sparkSession), "k", "i", "j").sortWithinPartitions("k", "i", "j", "n")
             pairs = dealt.mapInPandas(_candidates(similarity), "a long, b long, u long, v long").distinct()
         edges = verified(pairs, docs, rows, shingle, similarity, shared_ids)
