@@ -64,6 +64,13 @@ def line_terms(line: Column) -> Column:
     return F.filter(F.transform(t, lambda x, i: term(x, F.when(i > 0, F.get(t, i - 1)))), lambda x: x.isNotNull())
 
 
+def line_tagged(line: Column) -> Column:
+    """(term, tag) of a raw line's indexed tokens, in order."""
+    t = tokens(normalised(line))
+    before = lambda i: F.when(i > 0, F.get(t, i - 1))
+    return F.filter(F.transform(t, lambda x, i: F.struct(term(x, before(i)).alias("term"), tag(x, before(i)).alias("tag"))), lambda x: x["term"].isNotNull())
+
+
 def bucket(term: Column) -> Column:
     """The partition of a term: its first character, or one bucket for all other beginnings."""
     return F.when(term.rlike("^[0-9a-z]"), F.substring(term, 1, 1)).otherwise("_other")
@@ -92,8 +99,12 @@ def lemma(term: Column) -> Column:
     return F.when(is_stop(term) | term.rlike("^[0-9]"), term).otherwise(F.coalesce(irregular(term), without_s(term), term))
 
 
+# Fixed value: endings of adjectives.
+ADJECTIVE = "^.{3,}(ous|ful|ive|less|able|ible)$"
+
+
 def tag(token: Column, before: Column) -> Column:
-    """A part-of-speech tag by form alone: numbers, marks, possessives, listed verbs, -ing, -ed, plurals; the rest is a noun."""
+    """A part-of-speech tag by form alone: numbers, marks, possessives, listed verbs, -ing, -ed, -iest, adjective endings, plurals; the rest is a noun."""
     verbs, plurals = ([w for w in table if w not in L.STOPWORDS] for table in (L.IRREGULAR_VERBS, L.IRREGULAR_PLURALS))
     return (
         F.when(token.isin(*L.MARKS), ".")
@@ -103,17 +114,33 @@ def tag(token: Column, before: Column) -> Column:
         .when(token.isin(*plurals), "NNS")
         .when(token.rlike("^.{3,}ing$"), "VBG")
         .when(token.rlike("^.{3,}ed$"), "VBD")
+        .when(token.rlike("^.{3,}iest$"), "JJS")
+        .when(token.rlike(ADJECTIVE), "JJ")
         .when(without_s(token).isNotNull(), "NNS")
         .otherwise("NN")
     )
 
 
 def lemma_by_tag(term: Column, tag: Column) -> Column:
-    """The lemma of a term for its tag's class: nouns by list and final s, verbs by list; other tags leave it as it is."""
+    """The lemma of a term for its tag, as far as lists and endings give it; ``bases_by_tag`` has what a vocabulary must attest.
+
+    Nouns: by list, then the plural's ending, then (tagged as plural) any final s. Verbs, nouns in -ing and adjectives: verbs by list.
+    """
     kind = F.create_map(*(F.lit(x) for pair in L.TAG_CLASSES.items() for x in pair))[tag]
     listed = lambda forms: F.create_map(*(F.lit(x) for pair in forms.items() for x in pair))[term]
-    noun, verb = F.coalesce(listed(L.IRREGULAR_PLURALS), without_s(term), term), F.coalesce(listed(L.IRREGULAR_VERBS), term)
-    return F.when(is_stop(term), term).when(kind == "n", noun).when(kind == "v", verb).otherwise(term)
+    chopped = F.when(tag.isin("NNS", "NNPS") & term.endswith("s") & (F.length(term) > 1), F.substring(term, F.lit(1), F.length(term) - 1))
+    verb = F.coalesce(listed(L.IRREGULAR_VERBS), term)
+    as_verb = (kind == "v") | (tag == "JJ") | ((tag == "NN") & term.endswith("ing"))
+    noun = F.coalesce(listed(L.IRREGULAR_PLURALS), without_s(term), chopped, term)
+    return F.when(is_stop(term) | term.rlike("^[0-9]"), term).when(as_verb, verb).when(kind == "n", noun).otherwise(term)
+
+
+def bases_by_tag(term: Column, tag: Column) -> Column:
+    """Bases that count if the vocabulary has them: of verbs, nouns in -ing, adjectives; of comparatives."""
+    kind = F.create_map(*(F.lit(x) for pair in L.TAG_CLASSES.items() for x in pair))[tag]
+    as_verb = (kind == "v") | (tag == "JJ") | ((tag == "NN") & term.endswith("ing"))
+    none = F.array().cast("array<string>")
+    return F.when(is_stop(term), none).when(as_verb, verb_bases(term)).when(kind.isin("a", "r"), verb_bases(term, True)).otherwise(none)
 
 
 def trims(word: Column) -> Column:
@@ -122,9 +149,10 @@ def trims(word: Column) -> Column:
     return F.when(F.length(word) >= 4, F.array_distinct(F.array_compact(F.array(*each)))).otherwise(F.array().cast("array<string>"))
 
 
-def verb_bases(word: Column) -> Column:
-    """Bases of an -ed or -ing word, in the order of trial."""
-    return F.array_compact(F.array(*(F.when(word.rlike(p), F.regexp_replace(word, p, b.replace("\\", "$"))) for p, b in L.VERB_BASES)))
+def verb_bases(word: Column, comparatives: bool = False) -> Column:
+    """Bases of an -ed or -ing word (``comparatives``: also of -er and -est), in the order of trial."""
+    rules = L.VERB_BASES + (L.COMPARATIVE_BASES if comparatives else ())
+    return F.array_compact(F.array(*(F.when(word.rlike(fits) & word.rlike(p), F.regexp_replace(word, p, b.replace("\\", "$"))) for fits, p, b in rules)))
 
 
 def query_words(raw: Column) -> Column:
@@ -133,5 +161,14 @@ def query_words(raw: Column) -> Column:
 
 
 def query_term(word: Column, analyzer: str = "exact") -> Column:
+    """A query word's term. ``rules``: as noun, then as verb by list, whichever changes it first; ``query_bases`` has what the vocabulary must attest."""
     plain = F.when(word.rlike("^[0-9]"), F.replace(word, F.lit(","), F.lit(""))).otherwise(word)
-    return lemma(plain) if analyzer == "rules" else plain
+    if analyzer != "rules":
+        return plain
+    listed = lambda forms: F.create_map(*(F.lit(x) for pair in forms.items() for x in pair))[plain]
+    return F.when(is_stop(plain) | plain.rlike("^[0-9]"), plain).otherwise(F.coalesce(listed(L.IRREGULAR_PLURALS), without_s(plain), listed(L.IRREGULAR_VERBS), plain))
+
+
+def query_bases(word: Column) -> Column:
+    """Bases of a query word as verb, adjective and adverb, in that order, which count if the vocabulary has them."""
+    return F.when(is_stop(word) | word.rlike("^[0-9]"), F.array().cast("array<string>")).otherwise(verb_bases(word, True))

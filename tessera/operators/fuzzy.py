@@ -38,11 +38,14 @@ def deletions(word: Column, most: int = MAX_EDIT) -> Column:
     return out
 
 
-def deletion_join(words: DataFrame, targets: DataFrame, max_edit: int = MAX_EDIT) -> DataFrame:
-    """The same pairs as ``scan_join`` by an equi-join: words within ``max_edit`` edits share a string left by deletions."""
-    left = words.select("q", F.explode(deletions(F.col("q"), max_edit)).alias("rest"))
+def deletion_join(words: DataFrame, targets: DataFrame, max_edit: int = MAX_EDIT, only: str = "true") -> DataFrame:
+    """The same pairs as ``scan_join`` by an equi-join: words within ``max_edit`` edits share a string left by deletions.
+
+    ``only``: a condition on the columns of both, which is tried before anything else.
+    """
+    left = words.select("*", F.explode(deletions(F.col("q"), max_edit)).alias("rest"))
     right = targets.select("*", F.explode(deletions(F.col("cand"), max_edit)).alias("rest"))
-    pairs = left.join(right, "rest").drop("rest").where(F.col("q") != F.col("cand")).distinct()
+    pairs = left.join(right, "rest").where((F.col("q") != F.col("cand")) & F.expr(only)).drop("rest").distinct()
     return pairs.withColumn("edit", F.levenshtein("q", "cand")).where(F.col("edit") <= max_edit)
 
 
@@ -51,10 +54,10 @@ def are_few(words: DataFrame) -> bool:
     return words.limit(SCAN_WORDS + 1).count() <= SCAN_WORDS
 
 
-def edit_join(words: DataFrame, targets: DataFrame, max_edit: int = MAX_EDIT, few: bool | None = None) -> DataFrame:
+def edit_join(words: DataFrame, targets: DataFrame, max_edit: int = MAX_EDIT, few: bool | None = None, only: str = "true") -> DataFrame:
     """The scan while the query words are few enough to broadcast, else the equi-join over deletions."""
     few = are_few(words) if few is None else few
-    return (scan_join if few else deletion_join)(words, targets, max_edit)
+    return scan_join(words, targets, max_edit).where(only) if few else deletion_join(words, targets, max_edit, only)
 
 
 def surfaces(vocab: DataFrame) -> DataFrame:
@@ -115,6 +118,7 @@ def obvious(words: DataFrame, vocab: DataFrame, stats: DataFrame, max_edit: int
 
 def non_obvious(words: DataFrame, vocab: DataFrame, max_edit: int = MAX_EDIT, most: int | None = None, few: bool | None = None) -> DataFrame:
     """Alternatives of words in the vocabulary that are likelier than no error; ``words`` has q and its own frequency."""
-    found = candidates(words.select("q"), vocab, False, max_edit, few).join(words.select("q", F.col("cf").alias("own")), "q")
+    # whatever the edit, an alternative is this much more frequent
+    found = edit_join(words.select("q", F.col("cf").alias("own")), letters(vocab), max_edit, few, "4 * cf > 75 * own")
     kept = ranked(found.where(F.expr(NON_OBVIOUS_RULE)))
     return (kept.where(F.col("turn") <= most) if most else kept).select("q", "cand", "edit", "cf", "turn")

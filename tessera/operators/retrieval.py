@@ -18,9 +18,19 @@ def parse(queries: DataFrame, analyzer: str = "exact") -> DataFrame:
     shows = F.coalesce(F.get("w", F.lit(0)) == ">", F.lit(False))
     words = words.select("query_id", shows.alias("show_lines"), F.when(shows, F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0)))).otherwise(F.col("w")).alias("w"))
     found = words.select("query_id", "show_lines", F.posexplode("w").alias("slot", "word"))
+    if analyzer == "rules":
+        found = found.withColumn("raw_word", T.query_term(F.col("word")))
     return found.withColumn("word", T.query_term(F.col("word"), analyzer))
 
 
+def lemmatised(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Words that no list or ending changes, as the first of their bases that the vocabulary has."""
+    bases = words.select("word").distinct().select("word", F.posexplode(T.query_bases(F.col("word"))).alias("turn", "base"))
+    known = vocab.where(~F.col("is_stop")).select(F.col("term").alias("base"))
+    first = bases.join(known, "base", "left_semi").groupBy("word").agg(F.min(F.struct("turn", "base"))["base"].alias("base"))
+    return words.join(first, "word", "left").withColumn("word", F.when(F.col("word") == F.col("raw_word"), F.coalesce("base", "word")).otherwise(F.col("word"))).drop("base", "raw_word")
+
+
 def correct(words: DataFrame, vocab: DataFrame, stats: DataFrame, max_edit: int = fuzzy.MAX_EDIT, most: int | None = None) -> DataFrame:
     """(query_id, slot, alt_no, term): digits, stopwords and words with other characters stay; the rest are spelt."""
     plain = F.col("word").rlike("^[a-z]+$") & ~T.is_stop(F.col("word"))
@@ -70,35 +80,41 @@ def proximity(found: DataFrame, most_slots: int) -> DataFrame:
     """(query_id, combo_id, doc_id, distance, ordered_pairs, positions): the best choice of one position for each slot.
 
     Least sum of distances between neighbours, then most neighbours in order, then the least smallest position, then
-    the first choice. A step for each slot extends the best way to every position of the slot before, so the work is
-    the sum of neighbours' products and never the product of all slots.
+    the first choice. A step for each slot finds the best way to each of its positions from those of the slot before.
+    A way's cost is its distance and a difference, so of all ways to smaller positions one is best for
+    whatever follows, and of those to larger ones: running minima over the sorted positions, a step's work is the number of positions, not a product.
     """
     keys = ["query_id", "combo_id", "doc_id"]
-    state = lambda distance, back, least, chosen: F.struct(distance.alias("distance"), back.alias("minus_ordered"), least.alias("least"), chosen.alias("positions"))
     pos = F.col("pos")
-    now = found.where("slot = 0").select(*keys, "slots", pos.alias("last"), state(F.lit(0), F.lit(0), pos, F.array(pos)).alias("best"))
+    state = lambda distance, back, least, chosen: F.struct(distance.alias("distance"), back.alias("minus_ordered"), least.alias("least"), chosen.alias("positions"))
+    now = found.where("slot = 0").select(*keys, "slots", "pos", state(F.lit(0), F.lit(0), pos, F.array(pos)).alias("best"))
     done = [now.where("slots = 1")]
     for slot in range(1, most_slots):
-        following = found.where(F.col("slot") == slot).select(*keys, "pos")
-        ways = now.where(F.col("slots") > slot).join(following, keys)
+        following = found.where((F.col("slot") == slot) & (F.col("slots") > slot)).select(*keys, "slots", "pos")
+        both = now.where(F.col("slots") > slot).unionByName(following, allowMissingColumns=True)
         b = F.col("best")
-        longer = state(b["distance"] + F.abs(pos - F.col("last")), b["minus_ordered"] - F.when(pos > F.col("last"), 1).otherwise(0), F.least(b["least"], pos), F.concat(b["positions"], F.array(pos)))
-        now = ways.select(*keys, "slots", "pos", longer.alias("way")).groupBy(*keys, "slots", "pos").agg(F.min("way").alias("best")).withColumnRenamed("pos", "last")
+        up = Window.partitionBy(*keys).orderBy("pos", F.col("best").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # without ways to the same position
+        down = Window.partitionBy(*keys).orderBy(F.desc("pos"), F.col("best").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # with them
+        before = F.min(F.when(b.isNotNull(), state(b["distance"] - pos, b["minus_ordered"] - 1, b["least"], b["positions"]))).over(up)
+        after = F.min(F.when(b.isNotNull(), state(b["distance"] + pos, b["minus_ordered"], b["least"], b["positions"]))).over(down)
+        # where every way from there on starts later than this position, their own starts don't tell them apart
+        first = F.min(F.when(b.isNotNull(), F.struct((b["distance"] + pos).alias("distance"), b["minus_ordered"].alias("minus_ordered"), b["positions"].alias("positions")))).over(down)
+        met = both.select(*keys, "slots", "pos", "best", before.alias("before"), after.alias("after"), first.alias("first")).where("best is null")
+        more = lambda way, distance, least: F.when(way.isNotNull(), state(distance, way["minus_ordered"], least, F.concat(way["positions"], F.array(pos))))
+        x, y, z = F.col("before"), F.col("after"), F.col("first")
+        behind = F.when(y["least"] < pos, more(y, y["distance"] - pos, y["least"])).otherwise(more(z, z["distance"] - pos, pos))
+        now = met.select(*keys, "slots", "pos", F.least(more(x, x["distance"] + pos, x["least"]), behind).alias("best")).where("best is not null")
         done.append(now.where(F.col("slots") == slot + 1))
     best = reduce(DataFrame.unionByName, done).groupBy(*keys).agg(F.min("best").alias("b"))
     return best.select(*keys, F.col("b.distance").cast("long").alias("distance"), (-F.col("b.minus_ordered")).cast("long").alias("ordered_pairs"), "b.positions")
 
 
-#: Documents of one query, distance and order that are numbered in one task.
-RANK_BLOCK = 1 << 16
-
-
 def rank(found: DataFrame, k: int | None = None) -> DataFrame:
     """The best combination of each document, ranked within its query; ``k``: only the first so many.
 
     With ``k`` each task drops all but its own first k. Without, a query may match a large part of all documents, so no
-    task numbers them all: blocks of documents with one distance and order are counted, and a block's rows start after
-    all earlier blocks.
+    task numbers them all: the results are dealt by ranges of their order, and a range's rows come after
+    those of all ranges before it, whatever the documents' ids are.
     """
     best = Window.partitionBy("query_id", "doc_id").orderBy("distance", F.desc("ordered_pairs"), "combo_id")
     kept = found.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
@@ -106,13 +122,13 @@ def rank(found: DataFrame, k: int | None = None) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy("distance", F.desc("ordered_pairs"), "doc_id")
         ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     else:
-        block = ["query_id", "distance", "ordered_pairs", "block"]
-        kept = materialise(kept.withColumn("block", F.floor(F.col("doc_id") / RANK_BLOCK)), "ranked")  # read twice below
-        counts = kept.groupBy(*block).agg(F.count(F.lit(1)).alias("many"))
-        earlier = Window.partitionBy("query_id").orderBy("distance", F.desc("ordered_pairs"), "block").rowsBetween(Window.unboundedPreceding, -1)
+        order = [F.col("query_id"), F.col("distance"), F.desc("ordered_pairs"), F.col("doc_id")]
+        placed = kept.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+        placed = materialise(placed.withColumn("part", F.shiftrightunsigned("at", 33)), "ranked")  # a range is numbered once
+        counts = placed.groupBy("query_id", "part").agg(F.count(F.lit(1)).alias("many"), F.min("at").alias("first"))
+        earlier = Window.partitionBy("query_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
         starts = counts.withColumn("start", F.coalesce(F.sum("many").over(earlier), F.lit(0))).drop("many")
-        inside = F.row_number().over(Window.partitionBy(*block).orderBy("doc_id"))
-        ranked = kept.withColumn("nth", inside).join(starts, block).withColumn("rank", (F.col("start") + F.col("nth")).cast("int"))
+        ranked = placed.join(starts, ["query_id", "part"]).withColumn("rank", (F.col("start") + F.col("at") - F.col("first") + 1).cast("int"))
     return ranked.select("query_id", "rank", "doc_id", "distance", "ordered_pairs", "positions")
 
 

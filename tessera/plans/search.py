@@ -70,6 +70,8 @@ def search(idx: Index, queries: DataFrame, k: int | None = None, spell: bool = T
     ``most``: at most so many spelling alternatives a word (off by default).
     """
     words = retrieval.parse(queries, idx.analyzer)
+    if idx.analyzer == "rules":
+        words = retrieval.lemmatised(words, idx.vocabulary)
     if spell:
         slots = retrieval.correct(words, idx.vocabulary, idx.stats, most=most)
     else:

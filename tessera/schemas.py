@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-DOCUMENTS = "doc_id long, text string"
 LINES = "doc_id long, line_no int, start_pos int, end_pos int, line string"
 POSITIONS = "doc_id long, term string, pos int, line_no int, is_stop boolean, bucket string"
 POSTINGS = "term string, doc_id long, tf long, is_stop boolean, bucket string"
 VOCABULARY = "term string, cf long, df long, is_stop boolean, bucket string"
 FULL_POSTINGS = POSTINGS
 STATS = "sumf long"
-QUERIES = "query_id long, raw string"
-RESULTS = "query_id long, rank int, doc_id long, distance long, ordered_pairs long, positions array<int>"
+

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,4 +58,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if open_ := getattr(_LOCAL, "open", None):
+        open_[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_LOCAL = threading.local()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What ``materialise`` writes inside is deleted at the end: for work whose results are used up by then."""
+    stack = _LOCAL.__dict__.setdefault("open", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

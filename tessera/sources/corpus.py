@@ -15,8 +15,11 @@ SMALL_BYTES = 256 << 20
 def spread(df: DataFrame) -> DataFrame:
     """Small tables over all cores: one file may be one row group, which only one task can read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size <= SMALL_BYTES and len(df.inputFiles()) < cores else df
+    files = df.inputFiles()
+    if len(files) >= cores:
+        return df
+    size = df.sparkSession.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]
+    return df.repartition(cores) if (size or 0) <= SMALL_BYTES else df
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -26,7 +29,8 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 def directory(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text) of a folder of text files with integer names; another name fails the query."""
-    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.col("value").alias("text"))
+    files = spark.read.format("binaryFile").load(path)  # a text source gives no row for an empty file
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("content").cast("string").alias("text"))
     named = F.when(F.col("name").rlike("^[0-9]+$"), F.col("name").cast("long"))
     return files.select(F.coalesce(named, F.raise_error(F.concat(F.lit("not a document's number: "), "name")).cast("long")).alias("doc_id"), "text")
 
@@ -46,9 +50,9 @@ def inline(spark: SparkSession, lines: list[str]) -> DataFrame:
     return spark.range(1).select(F.explode(rows).alias("q")).select("q.query_id", "q.raw")
 
 
-def csv_rows(df: DataFrame, key: str, values: str) -> DataFrame:
-    """One text row each: the key and its list, joined by commas."""
-    return df.select(F.concat_ws(",", F.col(key), F.array_join(F.col(values).cast("array<string>"), ",")).alias("value"))
+def csv_rows(df: DataFrame, key: str, values: str, *first: str) -> DataFrame:
+    """One text row each: ``first``, the key and its list, joined by commas."""
+    return df.select(F.concat_ws(",", *first, F.col(key), F.array_join(F.col(values).cast("array<string>"), ",")).alias("value"))
 
 
 def write_table(df: DataFrame, path: str, name: str) -> DataFrame:
