@@ -29,8 +29,13 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 def directory(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text) of a folder of text files with integer names; another name fails the query."""
-    files = spark.read.format("binaryFile").load(path)  # a text source gives no row for an empty file
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("content").cast("string").alias("text"))
+    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.col("value").alias("text"))
+    # Spark's sources give no row for an empty file
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
+    empty = [x.getPath().getName() for x in listed if x.isFile() and not x.getLen() and x.getPath().getName()[0] not in "._"]
+    if empty:
+        files = files.unionByName(spark.createDataFrame([(name, "") for name in empty], "name string, text string"))
     named = F.when(F.col("name").rlike("^[0-9]+$"), F.col("name").cast("long"))
     return files.select(F.coalesce(named, F.raise_error(F.concat(F.lit("not a document's number: "), "name")).cast("long")).alias("doc_id"), "text")
 

@@ -88,6 +88,6 @@ def test_null_empty_and_odd_documents(spark):
 
 def test_lemmas_by_attested_bases(spark):
     df = spark.createDataFrame([(1, "jump jumping hope hoping stop stopped sing king tried try dying die bus buses")], "doc_id long, text string")
-    table = {r.term: r.lemma for r in index.lemma_table(index.raw_positions(df)).collect()}
+    table = {r.term: r.lemma for r in index.lemma_table(index.tagged_positions(df)).collect()}
     assert table["jumping"] == "jump" and table["hoping"] == "hope" and table["stopped"] == "stop" and table["dying"] == "die" and table["buses"] == "bus"
     assert "king" not in table and "sing" not in table

@@ -112,7 +112,7 @@ def test_proximity_like_the_whole_product(spark):
     assert {r.doc_id: (r.distance, -r.ordered_pairs) for r in got} == want
 
 
-def test_ranks_in_blocks(spark, monkeypatch):
+def test_ranks_in_ranges(spark):
     rnd = random.Random(3)
     rows = [(q, c, d, rnd.randrange(3), rnd.randrange(2), [1]) for q in (0, 1) for d in range(100) for c in range(rnd.randrange(1, 3))]
     df = spark.createDataFrame(rows, "query_id long, combo_id int, doc_id long, distance long, ordered_pairs long, positions array<int>")
@@ -123,7 +123,6 @@ def test_ranks_in_blocks(spark, monkeypatch):
             if r[0] == q:
                 best[r[2]] = min(best.get(r[2], (9,)), (r[3], -r[4], r[1]))
         want |= {(q, n + 1, d) for n, (_, _, d) in enumerate(sorted((b[0], b[1], d) for d, b in best.items()))}
-    monkeypatch.setattr(retrieval, "RANK_BLOCK", 16)
     assert {tuple(r)[:3] for r in retrieval.rank(df).collect()} == want
     assert {tuple(r)[:3] for r in retrieval.rank(df, 7).collect()} == {w for w in want if w[1] <= 7}
 
