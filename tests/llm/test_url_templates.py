@@ -27,5 +27,34 @@ def test_bad_template_is_rejected_as_in_sql(spark):
     assert sorted(map(repr, sql)) == sorted(repr(tuple(r)) for r in got)
 
 
+def verdicts(spark, rows, good):
+    got = u.judge(spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, template string, n int"), spark.createDataFrame(good, "page_id long, good double")).collect()
+    return {r.page_id: (r.template, r.verdict) for r in got}
+
+
+def test_more_traffic_does_not_change_a_template(spark):
+    few = [(i, f"http://h.com/{'bad' if i % 2 else 'ok'}/{i % 40 // 2}-a/page") for i in range(40)]
+    many = [(i, f"http://h.com/{'bad' if i % 2 else 'ok'}/{i % 40 // 2}-a/page") for i in range(2_000)]
+    a, b = (verdicts(spark, rows, [(i, 1.0 - i % 2) for i, _ in rows]) for rows in (few, many))
+    assert {a[0], a[1]} == {b[0], b[1]} == {("/ok", "allow"), ("/bad", "block")}
+    words = [f"{x}{y}" for x in ("ab", "cd", "ef", "gh") for y in ("ij", "kl", "mn", "op")]
+    named = verdicts(spark, [(i, f"http://h.com/u/{words[i % 16]}/{'bad' if i % 3 == 0 else 'ok'}") for i in range(1_600)], [(i, float(i % 3 > 0)) for i in range(1_600)])
+    assert {named[0], named[1]} == {("/u/*/bad", "block"), ("/u/*/ok", "allow")}
+
+
+def test_inner_branches_merge_and_frequent_paths_may_be_deep(spark):
+    deep = "/".join("abcdefghijklmn")
+    rows = [(i, f"http://h.com/{'x' if i % 2 else 'y'}/{deep}/{'p' if i % 4 < 2 else 'q'}") for i in range(400)]
+    alike = verdicts(spark, rows, [(i, float(i // 4 % 10 > 0)) for i, _ in rows])
+    assert set(alike.values()) == {("/", "allow")}
+    apart = verdicts(spark, rows, [(i, float(i % 4 < 2)) for i, _ in rows])
+    assert {apart[0], apart[1]} == {(f"/y/{deep}/p", "allow"), (f"/x/{deep}/p", "allow")} and {apart[2], apart[3]} == {(f"/y/{deep}/q", "block"), (f"/x/{deep}/q", "block")}
+
+
+def test_very_long_urls(spark):
+    rows = [(1, "http://h.com/" + "a/" * 20_000), (2, "http://h.com/" + "b" * 100_000), (3, "http://h.com/a/b"), (3, "http://h.com/a/b")]
+    assert {v for _, v in verdicts(spark, rows, []).values()} == {"allow"}
+
+
 def test_empty(spark):
     assert u.judge(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "page_id long, good double")).count() == 0
