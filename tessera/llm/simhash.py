@@ -35,7 +35,7 @@ from tessera.llm.common import materialise, real_ids, shuffle_parts, with_ids
 #: Groups up to SMALL rows are compared by shifting the sorted rows; trees stop splitting at LEAF.
 SMALL, LEAF = 32, 512
 #: Hash buckets of a set whose sizes bound its similarity to others (at most 255 count in each).
-BUCKETS = 128
+BUCKETS = 256
 #: Rows that are broadcast at most, members of a key that meet in one task, sets that a task knows again.
 BROADCAST, MEMBERS, SEEN = 1_000_000, 4_096, 1_000_000
 #: Edges that one task joins, and keys of a set that tell whether a pair has met before.
@@ -421,7 +421,8 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int, s
         return some
 
     def asked_for(some: DataFrame) -> DataFrame:
-        return _small(materialise(some.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked"))
+        ends = (some.select(F.col(c).alias("node")).distinct() for c in ("a", "b"))
+        return _small(materialise(next(ends).union(next(ends)).distinct(), "asked"))
 
     pairs = materialise(pairs, "pairs")
     firsts = rows.where(F.size("prefix") > 0).join(asked_for(pairs), "node", "left_semi")
