@@ -14,8 +14,9 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 25, weight: np.ndarray | None = None) -> np.ndarray:
-    """Newton's method; ``y`` may be soft. Returns the weights, the intercept (not penalised) last."""
+def fit(x: np.ndarray, y: np.ndarray, l2: float | np.ndarray = 1.0, rounds: int = 25, weight: np.ndarray | None = None) -> np.ndarray:
+    """Newton's method; ``y`` may be soft. ``l2``: the penalty of all columns or of each. Returns the weights, the intercept (not penalised) last."""
+    l2 = np.append(l2, 0.0) if isinstance(l2, np.ndarray) else l2
     x = np.hstack([x, np.ones((len(x), 1))])
     weight = np.ones(len(x)) if weight is None else weight
     penalty = np.full(x.shape[1], l2)

@@ -1,6 +1,6 @@
 """Quality classifier by co-training (operator 9).
 
-Two views of a document: its text's content, and its page metadata (source,
+Two views of a document: its text's content (words, symbols, shapes), and its page metadata (source,
 language, stated length). Each view has a logistic classifier. From a bounded sample of
 labelled documents both are trained, then for some rounds each gives the pool documents it
 is surest of, with the label it gives them, to the training set of the *other* view. The
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import operator
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +40,23 @@ LABELLED, POOL = 8_000, 8_000
 LEAST, ROUNDS, SHARE = 8, 5, 0.05
 #: A document is rejected if its probability of good quality is under this.
 THRESHOLD = 0.5
-SOURCES, LANGS, LENGTHS = 64, 16, 16
+SOURCES, LANGS, LENGTHS, WORDS = 256, 16, 16, 128
+#: How much each column of the views is held back, and each word bucket: a few labels tell less of single words than of a text's form.
+PENALTY, WORD_PENALTY = 3.0, 1000.0
+_MARKS = b".,;:!?\"'()"
 VIEWS = ("text", "source", "lang", "n_chars")
 
 
+def word_view(words: list[bytes]) -> np.ndarray:
+    """Which words a text uses: square roots of their counts in hashed buckets, as a direction."""
+    counts = Counter(w.strip(_MARKS).lower() for w in words)
+    buckets = np.fromiter((zlib.crc32(w) % WORDS for w in counts), np.int64, len(counts))
+    out = np.bincount(buckets, np.sqrt(np.fromiter(counts.values(), float, len(counts))), WORDS)
+    return out / max(1e-9, np.linalg.norm(out))
+
+
 def text_view(text: str | None) -> np.ndarray:
-    """Shares of byte classes and of each ASCII symbol, and the shapes of words and lines."""
+    """The words, shares of byte classes and of each ASCII symbol, and the shapes of words and lines."""
     raw = (text or "").encode()
     counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     n = max(1, len(raw))
@@ -56,7 +68,7 @@ def text_view(text: str | None) -> np.ndarray:
     shares = np.array([counts[97:123].sum(), counts[65:91].sum(), counts[48:58].sum(), counts[128:].sum(), counts[32], counts[10], counts[:32].sum()])
     tail = sum(not (w[-1:].isalnum() or w[-1] >= 128 or w[-1:] in b".,") for w in words)
     shape = [np.log1p(len(words)), lengths.mean(), lengths.std(), len(set(words)) / max(1, len(words)), tail / max(1, len(words)), np.sqrt(again / max(1, len(words))), len(set(lines)) / len(lines), np.log1p(len(words) / len(lines)), (lengths == 1).mean(), lengths.max(), not words]
-    return np.concatenate([np.sqrt(shares / n), np.log1p(1000 * symbols / n), shape]).astype(np.float64)
+    return np.concatenate([np.sqrt(shares / n), np.log1p(1000 * symbols / n), shape, word_view(words)]).astype(np.float64)
 
 
 def metadata_view(source: str | None, lang: str | None, n_chars: float | None) -> np.ndarray:
@@ -95,7 +107,9 @@ def co_train(views, y: np.ndarray, pool, rounds: int = ROUNDS, share: float = SH
     sets = [(x[v][~apart], y[~apart].astype(float)) for v in (0, 1)]
     free = [np.ones(len(u[0]), bool), np.ones(len(u[0]), bool)]  # pool rows that view v has not been given yet
     good = y[~apart].mean()
-    weights = [linear.fit(*s, l2=3.0) for s in sets]
+    penalties = [np.full(v.shape[1], PENALTY) for v in views]
+    penalties[0][-WORDS:] = WORD_PENALTY
+    weights = [linear.fit(*s, l2=p) for s, p in zip(sets, penalties, strict=True)]
     for _ in range(rounds):
         sure = [linear.predict(u[v], weights[v]) for v in (0, 1)]
         for v in (0, 1):
@@ -108,7 +122,7 @@ def co_train(views, y: np.ndarray, pool, rounds: int = ROUNDS, share: float = SH
             taken = np.concatenate([bad, fine])
             free[other][taken] = False
             sets[other] = (np.vstack([sets[other][0], u[other][taken]]), np.concatenate([sets[other][1], np.zeros(len(bad)), np.ones(len(fine))]))
-        weights = [linear.fit(*s, l2=3.0) for s in sets]
+        weights = [linear.fit(*s, l2=p) for s, p in zip(sets, penalties, strict=True)]
     calibration = []
     for v in (0, 1):
         a, b = linear.fit(linear.predict(x[v][apart], weights[v])[:, None], y[apart].astype(float), l2=0.5)

@@ -56,3 +56,39 @@ def test_without_labels_everything_stays(spark):
 def test_views_are_apart():
     assert np.isfinite(q.text_view(None)).all() and np.isfinite(q.metadata_view(None, None, float("nan"))).all()
     assert (q.metadata_view("a", "en", 10) != q.metadata_view("b", "en", 10)).any()
+
+
+def test_word_view_tells_texts_apart_and_is_a_direction():
+    a, b = (q.word_view(t.split()) for t in (b"one two three. THREE", b"four five six"))
+    assert abs(np.linalg.norm(a) - 1) < 1e-9 and a @ b < 0.9
+    assert (q.word_view(b"one two three, three".split()) == a).all()
+    assert not q.word_view([]).any()
+
+
+def test_the_fit_is_the_least_of_its_loss():
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(200, 4)), rng.random(200)
+    l2 = np.array([1.0, 5.0, 0.5, 30.0])
+
+    def loss(w):
+        p = q.linear.sigmoid(x @ w[:-1] + w[-1])
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum() + (l2 * w[:-1] ** 2).sum() / 2
+
+    w = q.linear.fit(x, y, l2)
+    assert all(loss(w) <= loss(w + step) for step in 1e-3 * np.vstack([np.eye(5), -np.eye(5)]))
+
+
+def test_rounds_and_scores_like_a_plain_version(spark):
+    """Brute force: views, rounds and calibration again, row by row, from the same functions' definitions."""
+    docs, labels = rows(400)
+    got = {r.doc_id: r for r in q.classify(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    known = dict(labels)
+    views = {d[0]: (q.text_view(d[1]).astype("<f4").astype(float), q.metadata_view(d[3], d[2], d[4]).astype("<f4").astype(float)) for d in docs}
+    mine, free = sorted(known), sorted(set(views) - set(known))
+    stack = lambda ids, v: np.array([views[i][v] for i in ids])
+    model = q.co_train([stack(mine, 0), stack(mine, 1)], np.array([known[i] == 1 for i in mine]), [stack(free, 0), stack(free, 1)])
+    for d in docs:
+        z = [a * (s((v.reshape(1, -1))) @ w[:-1] + w[-1])[0] + b for v, s, w, (a, b) in zip((q.text_view(d[1]), q.metadata_view(d[3], d[2], d[4])), model.scales, model.weights, model.calibration)]
+        c = model.combined
+        p = 1 / (1 + np.exp(-np.clip(z[0] * c[0] + z[1] * c[1] + c[2], -35, 35)))
+        assert abs(p - got[d[0]].quality_score) < 1e-6 and got[d[0]].keep == (got[d[0]].quality_score >= q.THRESHOLD)
