@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import materialise
 
-__all__ = ["ascii_lower", "crc_mod", "materialise", "real_ids", "shuffle_parts", "table", "tokenizer", "with_ids"]
+__all__ = ["ascii_lower", "crc_mod", "materialise", "real_ids", "shuffle_parts", "small", "table", "tokenizer", "with_ids"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,3 +49,12 @@ def with_ids(docs: DataFrame, *columns: str) -> DataFrame:
 def real_ids(df: DataFrame) -> DataFrame:
     """``df`` with its ids as they were before ``with_ids``."""
     return df.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
+
+
+#: Rows that are broadcast at most.
+BROADCAST = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, written before, to be broadcast if its rows are at most ``BROADCAST``; else joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df

@@ -30,14 +30,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, real_ids, shuffle_parts, with_ids
+from tessera.llm.common import materialise, real_ids, shuffle_parts, small, with_ids
 
 #: Groups up to SMALL rows are compared by shifting the sorted rows; trees stop splitting at LEAF.
 SMALL, LEAF = 32, 512
 #: Hash buckets of a set whose sizes bound its similarity to others (at most 255 count in each).
 BUCKETS = 256
-#: Rows that are broadcast at most, members of a key that meet in one task, sets that a task knows again.
-BROADCAST, MEMBERS, SEEN = 1_000_000, 4_096, 1_000_000
+#: Members of a key that meet in one task, sets that a task knows again.
+MEMBERS, SEEN = 4_096, 1_000_000
 #: Edges that one task joins, and keys of a set that tell whether a pair has met before.
 FEW, LEAST = 200_000, 8
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -388,11 +388,6 @@ def _may_finely(similarity: float):
     return run
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df``, written before, to be broadcast if its rows are at most ``BROADCAST``; else joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST else df
-
-
 def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int, similarity: float, shared_ids: bool) -> DataFrame:
     """The edges (u, v) of ``pairs`` (a, b, u, v) whose sets a and b have the Jaccard similarity.
 
@@ -422,7 +417,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int, s
 
     def asked_for(some: DataFrame) -> DataFrame:
         ends = (some.select(F.col(c).alias("node")).distinct() for c in ("a", "b"))
-        return _small(materialise(next(ends).union(next(ends)).distinct(), "asked"))
+        return small(materialise(next(ends).union(next(ends)).distinct(), "asked"))
 
     pairs = materialise(pairs, "pairs")
     firsts = rows.where(F.size("prefix") > 0).join(asked_for(pairs), "node", "left_semi")
@@ -431,7 +426,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int, s
     pairs = materialise(finely.mapInPandas(_may_finely(similarity), "a long, b long, u long, v long"), "pairs")
     asked = asked_for(pairs)
     held = rows.where(F.size("prefix") > 0).join(asked, "node", "left_semi").groupBy("node").agg(F.min(F.struct("no_id", "doc_id")).alias("one"))
-    held = _small(materialise(held.select("one.*").distinct(), "held"))
+    held = small(materialise(held.select("one.*").distinct(), "held"))
     sets = with_ids(docs, "text").join(held, ["doc_id", "no_id"], "left_semi").select("text").mapInPandas(wholes, "node long, whole binary")
     if shared_ids:  # an id may stand for several rows, and these may be alike
         sets = sets.join(asked, "node", "left_semi").dropDuplicates(["node"])
@@ -451,9 +446,9 @@ def similar(docs: DataFrame, shingle: int, similarity: float, stars: int = 1) ->
     every = rows.select("node", "n", F.explode("prefix").alias("k")).withColumn("low", F.min("node").over(own)).withColumn("high", F.max("node").over(own)).where("low <> high")
     keys = materialise(every.withColumn("k", F.sum(F.xxhash64("node").cast("decimal(20)")).over(own).cast("string")).select(F.xxhash64("k").alias("k"), "node", "n").distinct(), "keys")
     nodes = materialise(keys.select("node", F.col("node").alias("root")).distinct(), "nodes")
-    hists = materialise(rows.where(F.size("prefix") > 0).join(_small(nodes), "node", "left_semi").select("node", "hist").dropDuplicates(["node"]), "hists")
+    hists = materialise(rows.where(F.size("prefix") > 0).join(small(nodes), "node", "left_semi").select("node", "hist").dropDuplicates(["node"]), "hists")
     for turn in range(stars + 1):
-        rooted = keys.join(_small(nodes), "node")
+        rooted = keys.join(small(nodes), "node")
         if turn < stars:
             one = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "root", "n")).over(own)
             met = rooted.withColumn("one", one).where((F.col("root") != F.col("one.root")) & (F.least("n", "one.n") >= similarity * F.greatest("n", "one.n") - 1e-6))

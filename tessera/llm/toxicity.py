@@ -1,13 +1,14 @@
 """Toxicity by weak supervision (operator 8).
 
 Voters are lexicons of words, patterns of word beginnings, and patterns of writing
-style. Lexicons and patterns are drawn from documents that may be learnt from; each voter fires or not on a
-document. A generative label model with the true label hidden estimates each voter's accuracy
+style; each fires or not on a document. Lexicons and patterns are what the labelled documents' counts tell apart, over all of those that may be
+learnt from. A generative label model with the true label hidden estimates each voter's accuracy
 by expectation maximisation; its correlations are a tree that links every voter to the one that
-it depends on most given the label. The model's posteriors are the training labels of a
+it depends on most given the label. It is fitted on how often each combination of votes occurs in all documents that may be learnt
+from, labelled or not: a table of at most two to the number of voters. Its posteriors are the training labels of a
 linear classifier over the lexicons' and patterns' single entries, which scores all documents.
 
-Only the fitting is on a sample (``LABELLED`` labelled documents and ``FREE`` others, chosen by a hash of their id);
+Only the classifier is fitted on a sample (``LABELLED`` labelled documents and ``FREE`` others, chosen by a hash of their id);
 all whole texts are scored. Labels, language, source and id are never inputs of a score.
 
 Defined results: a null text is empty; an empty text has the score of no entry; repeated rows
@@ -29,17 +30,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import linear
-from tessera.llm.common import crc_mod, materialise, real_ids, with_ids
+from tessera.llm.common import crc_mod, materialise, real_ids, small, with_ids
 
-#: Bounds of the samples that are fitted on.
+#: Bounds of the sample that the classifier is fitted on.
 LABELLED, FREE = 12_000, 6_000
 LEAST = 8
-#: An entry's documents must be toxic with at least this share and more often than the others by this log-likelihood ratio; at most so many are kept.
+#: An entry's documents must be toxic with at least this share and more often than the others by this log-likelihood ratio; at most so many make the lexicons and patterns.
 SHARE, RATIO, ENTRIES = 0.6, 9.0, 1_500
 #: How far a label is trusted.
 TRUST = 0.98
+#: Entries that a worker counts before it starts anew.
+HELD = 200_000
 #: Lengths of word beginnings; voters that the entries are dealt over.
-BEGINNINGS, LEXICONS, PATTERNS = (4, 5, 6), 6, 4
+BEGINNINGS, LEXICONS, PATTERNS, STYLES = (4, 5, 6), 8, 5, 3
 THRESHOLD = 0.3
 _WORD, _SHOUT = re.compile(r"[^\W\d_]+"), re.compile(r"\b[A-Z]{4,}\b")
 
@@ -51,9 +54,12 @@ def entries(text: str | None) -> set[str]:
 
 
 def sketch(text: str | None) -> int:
-    """The least hash of a text's runs of four words: the same for most near copies."""
+    """The least of two hashes of a text's runs of four words: the same for most near copies, and seldom for texts that only share a passage."""
     words = _WORD.findall((text or "").lower())
-    return min((zlib.crc32(" ".join(w).encode()) for w in zip(words, words[1:], words[2:], words[3:])), default=zlib.crc32(" ".join(words).encode()))
+    runs = np.fromiter((zlib.crc32(" ".join(w).encode()) for w in zip(words, words[1:], words[2:], words[3:])), np.uint32)
+    if not len(runs):
+        return zlib.crc32(" ".join(words).encode())
+    return int(runs.min()) << 31 ^ int((runs * np.uint32(0x9E3779B1)).min())
 
 
 def style(text: str | None) -> tuple[bool, bool, bool]:
@@ -66,9 +72,10 @@ def style(text: str | None) -> tuple[bool, bool, bool]:
 class LabelModel:
     """P(label, votes) with each vote given the label and one other vote: a tree over the voters."""
 
-    def __init__(self, votes: np.ndarray, start: np.ndarray, given: np.ndarray, rounds: int = 100):
-        """``votes``: n x m booleans. ``start``: first guesses of P(label = 1). ``given``: log odds known from elsewhere."""
+    def __init__(self, votes: np.ndarray, start: np.ndarray, given: np.ndarray, many: np.ndarray | None = None, rounds: int = 100):
+        """``votes``: n x m booleans. ``start``: first guesses of P(label = 1). ``given``: log odds known from elsewhere. ``many``: how often each row occurs."""
         self.votes = votes.astype(int)
+        self.many = np.ones(len(votes)) if many is None else many.astype(float)
         self.labels = np.clip(start, 0.01, 0.99)
         for _ in range(rounds):
             self._learn(self.labels)
@@ -77,18 +84,18 @@ class LabelModel:
                 break
 
     def _learn(self, p: np.ndarray) -> None:
-        v, weight = self.votes, np.stack([1 - p, p])
+        v, weight = self.votes, np.stack([1 - p, p]) * self.many
         m = v.shape[1]
-        self.prior = np.clip(p.mean(), 1e-4, 1 - 1e-4)
         total = weight.sum(1)
-        one = (weight @ v + 0.5) / (total[:, None] + 1)  # P(vote j | label): the accuracies
+        self.prior = np.clip(total[1] / total.sum(), 1e-4, 1 - 1e-4)
+        ones = weight @ v
+        one = (ones + 0.5) / (total[:, None] + 1)  # P(vote j | label): the accuracies
         both = np.stack([(v * w[:, None]).T @ v for w in weight])
         information = np.zeros((m, m))  # between two votes, given the label
         for y in (0, 1):
             for a in (0, 1):
                 for b in (0, 1):
-                    ones = weight[y] @ v
-                    cell = {(1, 1): both[y], (1, 0): ones[:, None] - both[y], (0, 1): ones[None, :] - both[y], (0, 0): total[y] - ones[:, None] - ones[None, :] + both[y]}[a, b]
+                    cell = {(1, 1): both[y], (1, 0): ones[y][:, None] - both[y], (0, 1): ones[y][None, :] - both[y], (0, 0): total[y] - ones[y][:, None] - ones[y][None, :] + both[y]}[a, b]
                     pa = one[y] if a else 1 - one[y]
                     pb = one[y] if b else 1 - one[y]
                     joint = (np.maximum(cell, 0) + 0.25) / (total[y] + 1)
@@ -104,14 +111,13 @@ class LabelModel:
         # P(vote j = 1 | label, parent's vote)
         self.table = np.zeros((2, 2, m))
         for y in (0, 1):
-            ones = weight[y] @ v
             for j in range(m):
                 k = self.parent[j]
                 if k < 0:
                     self.table[y, :, j] = one[y, j]
                 else:
-                    self.table[y, 1, j] = (both[y, k, j] + 2 * one[y, j]) / (ones[k] + 2)
-                    self.table[y, 0, j] = (ones[j] - both[y, k, j] + 2 * one[y, j]) / (total[y] - ones[k] + 2)
+                    self.table[y, 1, j] = (both[y, k, j] + 2 * one[y, j]) / (ones[y, k] + 2)
+                    self.table[y, 0, j] = (ones[y, j] - both[y, k, j] + 2 * one[y, j]) / (total[y] - ones[y, k] + 2)
         self.accuracy = one
 
     def log_odds(self, votes: np.ndarray) -> np.ndarray:
@@ -137,92 +143,129 @@ def dense(found: list[list[int]], sizes: np.ndarray, width: int) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, index: dict[str, int], weights: np.ndarray):
-        self.index, self.weights = index, weights
-
-    def found(self, text: str | None) -> list[int]:
-        return sorted(self.index[e] for e in entries(text) & self.index.keys())
+    def __init__(self, voters: Voters, weights: np.ndarray):
+        self.voters, self.weights = voters, weights
 
     def __call__(self, texts) -> np.ndarray:
-        n = len(self.index)
+        n = len(self.voters.index)
         w = self.weights
         out = np.empty(len(texts))
         for i, text in enumerate(texts):
-            f = self.found(text)
+            f = self.voters.found(text)
             out[i] = w[f].sum() + w[n] * np.log1p(len(f)) + w[n + 1] * (len(f) > 1) + w[n + 2] * np.log1p(len(text or "")) / 10 + w[-1]
         return linear.sigmoid(out)
 
 
-def fit(found: list[list[int]], sizes: np.ndarray, styles: np.ndarray, y: np.ndarray, chosen: list[str]) -> np.ndarray:
-    """The classifier's weights. ``found``: the entries of each text, by their place in ``chosen``; ``y``: 1, 0 or NaN (no label)."""
-    known = ~np.isnan(y)
-    base = float(y[known].mean())
-    # the entries are dealt over voters by their rank, words and beginnings apart
-    words, starts = [i for i, e in enumerate(chosen) if e[-1] != "*"], [i for i, e in enumerate(chosen) if e[-1] == "*"]
-    voter = np.zeros(len(chosen), int)
-    voter[words] = np.arange(len(words)) % LEXICONS
-    voter[starts] = LEXICONS + np.arange(len(starts)) % PATTERNS
-    votes = np.zeros((len(found), LEXICONS + PATTERNS + styles.shape[1]), bool)
-    for i, f in enumerate(found):
-        votes[i, voter[f]] = True
-    votes[:, LEXICONS + PATTERNS :] = styles
+class Voters:
+    """Which voters fire on a text: its entries are dealt over lexicons and patterns by their rank, words and beginnings apart."""
+
+    def __init__(self, chosen: list[str]):
+        self.index = {e: i for i, e in enumerate(chosen)}
+        words, starts = [i for i, e in enumerate(chosen) if e[-1] != "*"], [i for i, e in enumerate(chosen) if e[-1] == "*"]
+        self.voter = np.zeros(len(chosen), int)
+        self.voter[words] = np.arange(len(words)) % LEXICONS
+        self.voter[starts] = LEXICONS + np.arange(len(starts)) % PATTERNS
+
+    def found(self, text: str | None) -> list[int]:
+        return sorted(self.index[e] for e in entries(text) & self.index.keys())
+
+    def votes(self, text: str | None, found: list[int]) -> int:
+        """The votes as bits."""
+        bits = 0
+        for i in found:
+            bits |= 1 << int(self.voter[i])
+        for i, fires in enumerate(style(text)):
+            bits |= int(fires) << (LEXICONS + PATTERNS + i)
+        return bits
+
+
+def as_votes(bits: np.ndarray) -> np.ndarray:
+    return (bits[:, None] >> np.arange(LEXICONS + PATTERNS + STYLES)) & 1 == 1
+
+
+def label_model(bits: np.ndarray, y: np.ndarray, many: np.ndarray) -> LabelModel:
+    """Fitted on combinations of votes, each ``many`` times with label ``y`` (1, 0 or NaN: none)."""
+    votes, known = as_votes(bits), ~np.isnan(y)
+    base = float((y[known] * many[known]).sum() / many[known].sum())
     start = np.where(known, np.where(np.nan_to_num(y) > 0.5, 0.95, 0.05), np.where(votes[:, : LEXICONS + PATTERNS].any(1), 0.8, base / 2))
-    given = np.where(known, np.where(np.nan_to_num(y) > 0.5, 1, -1) * linear.logit(np.array(TRUST)), 0.0)  # a label is one more voter
-    labels = LabelModel(votes, start, given).labels
-    return linear.fit(dense(found, sizes, len(chosen)), labels, l2=0.5, rounds=12)
+    return LabelModel(votes, start, given(y), many)
+
+
+def given(y: np.ndarray) -> np.ndarray:
+    """Log odds of a row's own label, which is one more voter."""
+    return np.where(np.isnan(y), 0.0, np.where(np.nan_to_num(y) > 0.5, 1, -1) * linear.logit(np.array(TRUST)))
+
+
+def lexicon(counted: DataFrame, base: float) -> list[str]:
+    """The entries of ``counted`` (entry, toxic, n) whose documents are toxic more often than ``base`` says, the surest first."""
+    share = F.col("toxic") / F.col("n")
+    ratio = F.col("toxic") * F.log(share / F.lit(max(base, 1e-6))) + F.when(share < 1, (F.col("n") - F.col("toxic")) * F.log((1 - share) / F.lit(max(1 - base, 1e-6)))).otherwise(0.0)
+    return [r.entry for r in counted.where(F.col("toxic") > 0).where((share >= SHARE) & (ratio >= RATIO)).select("entry", ratio.alias("ratio")).orderBy(F.desc("ratio"), "entry").limit(ENTRIES).collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: Column) -> Model | float:
     """A model from (doc_id, text) and (doc_id, toxic), learnt from rows that are not ``held_out``."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.avg("toxic").alias("y"))
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    ids = docs.where("doc_id is not null").where(~held_out).select("doc_id").distinct()
-    chosen = ids.join(known, "doc_id").orderBy(*order).limit(LABELLED).unionByName(ids.join(known, "doc_id", "left_anti").orderBy(*order).limit(FREE), allowMissingColumns=True)
-    # one row an id, so that the two limits bound what is broadcast and what comes to the driver
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    free = docs.where(~F.coalesce(held_out, F.lit(False))).select("doc_id", "text")
+    known = small(materialise(labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("double").alias("y")), "labels"))
+    labelled = free.join(known, "doc_id")
 
     def sketched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            yield df.assign(sketch=[sketch(t) for t in df.text], y=df.y.astype("float64"))
+            yield pd.DataFrame({"doc_id": df.doc_id, "y": df.y, "sketch": [sketch(t) for t in df.text]})
 
     # of copies and near copies one is learnt from: their shared words are no evidence
-    rows = materialise(rows.mapInPandas(sketched, "doc_id long, text string, y double, sketch long"), "sample")
-    rows = rows.join(rows.groupBy("sketch").agg(F.min("doc_id").alias("doc_id")), ["sketch", "doc_id"])
+    sketches = labelled.mapInPandas(sketched, "doc_id long, y double, sketch long")
+    kept = materialise(sketches.groupBy("sketch").agg(F.min(F.struct("doc_id", "y")).alias("one")).select("one.*").distinct(), "kept")
+    many, toxic = kept.agg(F.count(F.lit(1)), F.sum("y")).first()
+    if not many or min(toxic, many - toxic) < LEAST:
+        return float(toxic / many) if many else 0.0
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         toxic, n = Counter(), Counter()
+
+        def counts() -> pd.DataFrame:
+            return pd.DataFrame({"entry": pd.Series(list(n), dtype=object), "toxic": [toxic[e] for e in n], "n": list(n.values())})
+
         for df in frames:
             for text, y in zip(df.text, df.y, strict=True):
-                if y == y and y is not None:
-                    e = entries(text)
-                    n.update(e)
-                    if y >= 0.5:
-                        toxic.update(e)
-        if n:
-            yield pd.DataFrame({"entry": list(n), "toxic": [toxic[e] for e in n], "n": list(n.values())})
-
-    counted = rows.mapInPandas(count, "entry string, toxic long, n long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-    base = rows.where("not isnan(y)").agg(F.avg((F.col("y") >= 0.5).cast("double"))).first()[0] or 0.0
-    share = F.col("toxic") / F.col("n")
-    ratio = F.col("toxic") * F.log(share / F.lit(max(base, 1e-6))) + F.when(share < 1, (F.col("n") - F.col("toxic")) * F.log((1 - share) / F.lit(max(1 - base, 1e-6)))).otherwise(0.0)
-    listed = counted.where(F.col("toxic") > 0).where((share >= SHARE) & (ratio >= RATIO)).select("entry", ratio.alias("ratio")).orderBy(F.desc("ratio"), "entry").limit(ENTRIES).collect()
-    entries_found = [r.entry for r in listed]
-    marks = frozenset(entries_found)
+                e = entries(text)
+                n.update(e)
+                if y > 0.5:
+                    toxic.update(e)
+            if len(n) > HELD:
+                yield counts()
+                n.clear(), toxic.clear()
+        yield counts()
+
+    counted = labelled.join(small(kept.select("doc_id")), "doc_id", "left_semi").mapInPandas(count, "entry string, toxic long, n long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    chosen = lexicon(counted, toxic / many)
+    voters = Voters(chosen)
+
+    def combinations(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = Counter()
+        for df in frames:
+            y = np.where(df.y.isna(), -1, df.y > 0.5).astype(int).tolist()
+            n.update((voters.votes(t, voters.found(t)), k) for t, k in zip(df.text, y, strict=True))
+        yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["bits", "y", "n"])
 
-    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # at most two to the number of voters, for each kind of label
+    seen = free.join(known, "doc_id", "left").select("text", "y").mapInPandas(combinations, "bits long, y long, n long").groupBy("bits", "y").agg(F.sum("n").alias("n")).toPandas().sort_values(["bits", "y"])
+    model = label_model(seen.bits.to_numpy(), np.where(seen.y < 0, np.nan, seen.y), seen.n.to_numpy())
+
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    others = free.where("doc_id is not null").select("doc_id").distinct().join(known, "doc_id", "left_anti").orderBy(*order).limit(FREE)
+    sample = kept.orderBy(*order).limit(LABELLED).unionByName(others, allowMissingColumns=True)
+    # one row an id, so that the two limits bound what is broadcast and what comes to the driver
+    rows = free.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+    def looked_at(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:  # only what the fit looks at goes to the driver
-            short = [" ".join(sorted(entries(t) & marks)) for t in df.text]
-            marked = np.array([style(t) for t in df.text], bool).reshape(-1, 3)
-            yield pd.DataFrame({"doc_id": df.doc_id, "y": df.y.astype("float64"), "found": short, "size": [len(t or "") for t in df.text], "s0": marked[:, 0], "s1": marked[:, 1], "s2": marked[:, 2]})
-
-    sample = rows.mapInPandas(keep, "doc_id long, y double, found string, size long, s0 boolean, s1 boolean, s2 boolean").toArrow().to_pandas().sort_values(["doc_id", "found", "size"])
-    y = np.where(sample.y.isna(), np.nan, (sample.y >= 0.5).astype(float))
-    sure = y[~np.isnan(y)]
-    if min((sure == 1).sum(), (sure == 0).sum()) < LEAST:
-        return float(sure.mean()) if len(sure) else 0.0
-    index = {e: i for i, e in enumerate(entries_found)}
-    found = [sorted(index[e] for e in f.split() if e in index) for f in sample.found]
-    return Model(index, fit(found, sample["size"].to_numpy(), sample[["s0", "s1", "s2"]].to_numpy(), y, entries_found))
+            found = [voters.found(t) for t in df.text]
+            yield pd.DataFrame({"doc_id": df.doc_id, "y": df.y.astype("float64"), "found": found, "size": [len(t or "") for t in df.text], "bits": [voters.votes(t, f) for t, f in zip(df.text, found, strict=True)]})
+
+    got = rows.mapInPandas(looked_at, "doc_id long, y double, found array<int>, size long, bits long").toArrow().to_pandas().sort_values("doc_id")
+    posterior = linear.sigmoid(model.log_odds(as_votes(got.bits.to_numpy())) + given(got.y.to_numpy(float)))
+    return Model(voters, linear.fit(dense([list(f) for f in got.found], got["size"].to_numpy(), len(chosen)), posterior, l2=0.5, rounds=12))
 
 
 def score(docs: DataFrame, model: Model | float, held_out: Column, threshold: float = THRESHOLD) -> DataFrame:

@@ -72,3 +72,40 @@ def test_label_model_finds_accuracies_without_labels():
     assert ((model.labels > 0.5) == y).mean() > 0.95
     assert {model.parent[4], model.parent[0]} & {0, 4}
     assert np.abs(model.accuracy[1][:4] - hit).max() < 0.1
+
+
+def test_counted_rows_are_as_rows_repeated():
+    rng = np.random.default_rng(5)
+    votes = rng.random((300, 5)) < 0.3
+    many = rng.integers(1, 9, 300)
+    start = np.clip(votes[:, :3].mean(1), 0.05, 0.9)
+    counted = t.LabelModel(votes, start, np.zeros(300), many)
+    repeated = t.LabelModel(np.repeat(votes, many, 0), np.repeat(start, many), np.zeros(many.sum()))
+    assert np.allclose(np.repeat(counted.labels, many), repeated.labels)
+
+
+def test_lexicon_and_votes_like_a_plain_count(spark):
+    docs, labels = rows(500)
+    known = dict(labels)
+    counts = {}
+    for i, text, *_ in docs:
+        if i in known:
+            for e in t.entries(text):
+                n = counts.setdefault(e, [0, 0])
+                n[0] += known[i]
+                n[1] += 1
+    base = sum(known.values()) / len(known)
+    counted = spark.createDataFrame([(e, a, n) for e, (a, n) in counts.items()], "entry string, toxic long, n long")
+
+    def ratio(a, n):
+        return a * np.log(a / n / base) + ((n - a) * np.log((1 - a / n) / (1 - base)) if a < n else 0)
+
+    want = sorted((e for e, (a, n) in counts.items() if a and a / n >= t.SHARE and ratio(a, n) >= t.RATIO), key=lambda e: (-ratio(*counts[e]), e))
+    chosen = t.lexicon(counted, base)
+    assert sorted(chosen) == sorted(want) and {"zorgon", "quanx"} <= set(chosen)
+    voters = t.Voters(chosen)
+    for _, text, *_ in docs[:60]:
+        found = voters.found(text)
+        assert {chosen[f] for f in found} == t.entries(text) & set(chosen)
+        fires = t.as_votes(np.array([voters.votes(text, found)]))[0]
+        assert fires[: t.LEXICONS + t.PATTERNS].sum() == len({voters.voter[f] for f in found}) and fires[t.LEXICONS + t.PATTERNS :].tolist() == list(t.style(text))
