@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import materialise
 
-__all__ = ["ascii_lower", "crc_mod", "materialise", "real_ids", "shuffle_parts", "small", "table", "tokenizer", "with_ids"]
+__all__ = ["ascii_lower", "crc_mod", "materialise", "real_ids", "shuffle_parts", "small", "table", "tokenizer", "unused", "with_ids"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,14 @@ def with_ids(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.coalesce(ids, F.lit(0)).alias("doc_id"), ids.isNull().alias("no_id"), *(F.col(c).cast("string").alias(c) for c in columns))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def real_ids(df: DataFrame) -> DataFrame:
     """``df`` with its ids as they were before ``with_ids``."""
     return df.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")

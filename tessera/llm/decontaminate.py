@@ -26,6 +26,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import unused
+
 WINDOW, SUBSTITUTIONS = 15, 2
 #: Shorter items: at least this many words allow one substitution, fewer none; under SHORT words the document must be the item.
 ONE, SHORT = 13, 5
@@ -106,8 +108,9 @@ def _find_short(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated ones, whole rows."""
-    bad = find(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    name = unused(docs, "bad")
+    bad = find(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 #: All windows of all items against all documents: no seeds.

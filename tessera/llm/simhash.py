@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, real_ids, shuffle_parts, small, with_ids
+from tessera.llm.common import materialise, real_ids, shuffle_parts, small, unused, with_ids
 
 #: Groups up to SMALL rows are compared by shifting the sorted rows; trees stop splitting at LEAF.
 SMALL, LEAF = 32, 512
@@ -478,5 +478,6 @@ def keep_first(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     An id stands for one document: rows that share the id that stays all stay. Rows without an id stay. A null or empty text
     is a set without shingles, and such rows are alike; other columns, whatever their names, are passed on.
     """
-    going = similar(docs, shingle, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_going")).distinct()
-    return docs.join(going, F.col("doc_id") == F.col("_going"), "left_anti")
+    name = unused(docs, "going")
+    going = similar(docs, shingle, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(going, F.col("doc_id") == F.col(name), "left_anti")

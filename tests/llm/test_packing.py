@@ -54,7 +54,27 @@ def test_round_trip(spark):
             at += n
         assert at <= packing.CAPACITY
     assert sorted(seqs) == list(range(len(seqs)))
-    assert zlib.crc32(b"") == 0
+    # few places are left empty: what is padded is a small share
+    assert len(seqs) * packing.CAPACITY <= 1.05 * sum(map(len, whole.values())) + 3 * packing.CAPACITY
+
+
+def test_digest_and_null_ids(spark):
+    from pyspark.sql import functions as F
+
+    texts = [(None, "one two"), (2**53 + 1, "three " * 3000), (2**53 + 3, None), (None, "four")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    rows = packing.pack(docs, PATH, of_ids=F.crc32("ids").alias("ids_crc32")).collect()
+    enc = packing.tokenizer(PATH)
+    whole = [(i, np.array([*enc.encode(t or "", add_special_tokens=False).ids, 1], "<u4")) for i, t in texts]
+    want = {(i, r.start, r.length, zlib.crc32(ids[r.start : r.start + r.length].tobytes())) for i, ids in whole for r in rows if r.doc_id == i and r.doc_tokens == len(ids)}
+    assert {(r.doc_id, r.start, r.length, r.ids_crc32) for r in rows} == want
+    assert sum(r.doc_id is None for r in rows) >= 2 and all(r.ids_crc32 >= 0 for r in rows)
+
+
+@given(st.integers(1, packing.CAPACITY))
+def test_a_class_is_filled_to_its_slack_unless_the_piece_is_short(n):
+    for k, x in packing.cuts(n):
+        assert x < packing.SHORT or packing.CAPACITY // k - x <= packing.SLACK * x + 1
 
 
 def test_empty(spark):
