@@ -69,6 +69,20 @@ def matches(combos: DataFrame, postings: DataFrame) -> DataFrame:
     return whole.where(F.col("have") == F.col("slots")).select("query_id", "combo_id", "doc_id", "slots")
 
 
+def slot_matches(slots: DataFrame, postings: DataFrame) -> DataFrame:
+    """(query_id, doc_id, slots): documents with a posting of some alternative for every slot. The same documents as those of all combinations, which aren't made."""
+    many = slots.groupBy("query_id").agg((F.max("slot") + 1).alias("slots"))
+    have = postings.join(slots.select("query_id", "slot", "term"), "term").select("query_id", "slot", "doc_id").distinct().groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("have"))
+    return have.join(many, "query_id").where("have = slots").select("query_id", "doc_id", "slots")
+
+
+def alternative_positions(slots: DataFrame, matched: DataFrame, positions: DataFrame) -> DataFrame:
+    """(query_id, combo_id, doc_id, slots, slot, alt_no, pos) of the matched documents only; all alternatives of a slot together, as combination 0."""
+    wanted = matched.join(slots.select("query_id", "slot", "alt_no", "term"), "query_id")
+    found = positions.select("doc_id", "term", "pos").join(wanted, ["doc_id", "term"])
+    return found.select("query_id", F.lit(0).alias("combo_id"), "doc_id", "slots", "slot", "alt_no", "pos")
+
+
 def slot_positions(combos: DataFrame, matched: DataFrame, positions: DataFrame) -> DataFrame:
     """(query_id, combo_id, doc_id, slots, slot, pos) of the matched documents only."""
     terms = combos.select("query_id", "combo_id", "slot", "term")
@@ -79,31 +93,33 @@ def slot_positions(combos: DataFrame, matched: DataFrame, positions: DataFrame)
 def proximity(found: DataFrame, most_slots: int) -> DataFrame:
     """(query_id, combo_id, doc_id, distance, ordered_pairs, positions): the best choice of one position for each slot.
 
-    Least sum of distances between neighbours, then most neighbours in order, then the least smallest position, then
-    the first choice. A step for each slot finds the best way to each of its positions from those of the slot before.
+    Least sum of distances between neighbours, then most neighbours in order, then (where ``found`` has ``alt_no``) the first
+    alternatives, then the least smallest position, then the first choice. A step for each slot finds the best way to each of its positions from those of the slot before.
     A way's cost is its distance and a difference, so of all ways to smaller positions one is best for
     whatever follows, and of those to larger ones: running minima over the sorted positions, a step's work is the number of positions, not a product.
     """
     keys = ["query_id", "combo_id", "doc_id"]
     pos = F.col("pos")
-    state = lambda distance, back, least, chosen: F.struct(distance.alias("distance"), back.alias("minus_ordered"), least.alias("least"), chosen.alias("positions"))
-    now = found.where("slot = 0").select(*keys, "slots", "pos", state(F.lit(0), F.lit(0), pos, F.array(pos)).alias("best"))
+    found = found if "alt_no" in found.columns else found.withColumn("alt_no", F.lit(0))
+    alt = F.col("alt_no")
+    state = lambda distance, back, alts, least, chosen: F.struct(distance.alias("distance"), back.alias("minus_ordered"), alts.alias("alts"), least.alias("least"), chosen.alias("positions"))
+    now = found.where("slot = 0").select(*keys, "slots", "pos", "alt_no", state(F.lit(0), F.lit(0), F.array(alt), pos, F.array(pos)).alias("best"))
     done = [now.where("slots = 1")]
     for slot in range(1, most_slots):
-        following = found.where((F.col("slot") == slot) & (F.col("slots") > slot)).select(*keys, "slots", "pos")
+        following = found.where((F.col("slot") == slot) & (F.col("slots") > slot)).select(*keys, "slots", "pos", "alt_no")
         both = now.where(F.col("slots") > slot).unionByName(following, allowMissingColumns=True)
         b = F.col("best")
         up = Window.partitionBy(*keys).orderBy("pos", F.col("best").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # without ways to the same position
         down = Window.partitionBy(*keys).orderBy(F.desc("pos"), F.col("best").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # with them
-        before = F.min(F.when(b.isNotNull(), state(b["distance"] - pos, b["minus_ordered"] - 1, b["least"], b["positions"]))).over(up)
-        after = F.min(F.when(b.isNotNull(), state(b["distance"] + pos, b["minus_ordered"], b["least"], b["positions"]))).over(down)
+        before = F.min(F.when(b.isNotNull(), state(b["distance"] - pos, b["minus_ordered"] - 1, b["alts"], b["least"], b["positions"]))).over(up)
+        after = F.min(F.when(b.isNotNull(), state(b["distance"] + pos, b["minus_ordered"], b["alts"], b["least"], b["positions"]))).over(down)
         # where every way from there on starts later than this position, their own starts don't tell them apart
-        first = F.min(F.when(b.isNotNull(), F.struct((b["distance"] + pos).alias("distance"), b["minus_ordered"].alias("minus_ordered"), b["positions"].alias("positions")))).over(down)
-        met = both.select(*keys, "slots", "pos", "best", before.alias("before"), after.alias("after"), first.alias("first")).where("best is null")
-        more = lambda way, distance, least: F.when(way.isNotNull(), state(distance, way["minus_ordered"], least, F.concat(way["positions"], F.array(pos))))
+        first = F.min(F.when(b.isNotNull(), F.struct((b["distance"] + pos).alias("distance"), b["minus_ordered"].alias("minus_ordered"), b["alts"].alias("alts"), b["positions"].alias("positions")))).over(down)
+        met = both.select(*keys, "slots", "pos", "alt_no", "best", before.alias("before"), after.alias("after"), first.alias("first")).where("best is null")
+        more = lambda way, distance, least: F.when(way.isNotNull(), state(distance, way["minus_ordered"], F.concat(way["alts"], F.array(alt)), least, F.concat(way["positions"], F.array(pos))))
         x, y, z = F.col("before"), F.col("after"), F.col("first")
         behind = F.when(y["least"] < pos, more(y, y["distance"] - pos, y["least"])).otherwise(more(z, z["distance"] - pos, pos))
-        now = met.select(*keys, "slots", "pos", F.least(more(x, x["distance"] + pos, x["least"]), behind).alias("best")).where("best is not null")
+        now = met.select(*keys, "slots", "pos", "alt_no", F.least(more(x, x["distance"] + pos, x["least"]), behind).alias("best")).where("best is not null")
         done.append(now.where(F.col("slots") == slot + 1))
     best = reduce(DataFrame.unionByName, done).groupBy(*keys).agg(F.min("best").alias("b"))
     return best.select(*keys, F.col("b.distance").cast("long").alias("distance"), (-F.col("b.minus_ordered")).cast("long").alias("ordered_pairs"), "b.positions")

@@ -76,11 +76,12 @@ def search(idx: Index, queries: DataFrame, k: int | None = None, spell: bool = T
         slots = retrieval.correct(words, idx.vocabulary, idx.stats, most=most)
     else:
         slots = words.select("query_id", "slot", F.lit(0).alias("alt_no"), F.col("word").alias("term"))
-    # a few rows a query, read by each step below: written once, the speller runs once
-    combos = materialise(retrieval.combine(slots), "combos")
-    longest = combos.agg(F.max("slots")).first()[0]
-    matched = retrieval.matches(combos, idx.postings)
-    found = retrieval.slot_positions(combos, matched, idx.positions)
+    # a few rows a query, read by each step below: written once, the speller runs once. Alternatives stay inside their slot:
+    # their combinations are never made
+    slots = materialise(slots, "slots")
+    longest = slots.agg(F.max("slot") + 1).first()[0]
+    matched = retrieval.slot_matches(slots, idx.postings)
+    found = retrieval.alternative_positions(slots, matched, idx.positions)
     return retrieval.rank(retrieval.proximity(found, longest or 1), k)
 
 

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tessera import cli
 from tessera.operators import index, retrieval
 from tessera.plans.search import Index, search
@@ -117,3 +119,25 @@ def test_six_words(spark, tmp_path):
     idx = Index.build(corpus.directory(spark, folder(tmp_path)))
     got = search(idx, corpus.inline(spark, ["the dog sat a cat slept", "cats and dogs reading books are"]), spell=False).collect()
     assert {(r.query_id, r.doc_id, r.distance, r.ordered_pairs) for r in got} == {(0, 3, 5, 5), (1, 12, 9, 2)}
+
+
+def test_alternatives_stay_in_their_slot(spark):
+    rnd = random.Random(21)
+    slots, positions = [], []
+    for q, sizes in ((0, [3, 1, 2]), (1, [1, 1]), (2, [4, 3, 2, 3])):
+        for s, n in enumerate(sizes):
+            slots += [(q, s, a, f"t{q}{s}{a}") for a in range(n)]
+    terms = [t for *_, t in slots]
+    for doc in range(80):
+        positions += [(doc, rnd.choice(terms), p, False) for p in range(1, 40)]
+    found = spark.createDataFrame(positions, "doc_id long, term string, pos int, is_stop boolean").withColumn("bucket", F.lit("t"))
+    rows = index.postings(found)
+    wanted = spark.createDataFrame(slots, "query_id long, slot int, alt_no int, term string")
+    combos = retrieval.combine(wanted)
+    old = retrieval.rank(retrieval.proximity(retrieval.slot_positions(combos, retrieval.matches(combos, rows), found), 4))
+    new = retrieval.rank(retrieval.proximity(retrieval.alternative_positions(wanted, retrieval.slot_matches(wanted, rows), found), 4))
+    a, b = (sorted(tuple(r) for r in x.collect()) for x in (old, new))
+    assert a == b and len({r[0] for r in a}) == 3
+    # eight words of twenty alternatives
+    many = spark.range(160).selectExpr("9L as query_id", "cast(id / 20 as int) as slot", "cast(id % 20 as int) as alt_no", "concat('t', cast(id % 7 as int), '0', cast(id % 3 as int)) as term")
+    assert retrieval.slot_matches(many, rows).count() > 0
