@@ -6,7 +6,8 @@ task of bounded size. In a cell, a query's terms are ordered by the spread of
 what they can add in that shard. The terms that together cannot lift a document
 over the threshold are non-essential: the postings of the others are
 traversed for all documents, and the non-essential ones are probed only for
-documents that still compete. The shards' lists are then merged.
+documents that still compete. A few shards go first; the k-th best scores of their lists are
+the thresholds that all other shards start from. The shards' lists are then merged.
 
 Defined results: vectors that are null or hold a null, NaN or infinite component
 take no part; a missing component of a shorter vector counts as zero; a null id
@@ -23,8 +24,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import materialise
+
 #: Candidates in a shard, queries in a block: what one task holds.
 SHARD, BLOCK = 4096, 2048
+#: One shard in so many goes first.
+FIRST = 4
+NONE = -(2**62)
 
 
 def quantised(x: Column) -> Column:
@@ -40,8 +46,8 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def maxscore(ids: np.ndarray, docs: np.ndarray, query_id: int, query: np.ndarray, k: int, low: np.ndarray, high: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and scores of the ``k`` best of ``docs`` (ties: smaller id), without ``query_id``.
+def maxscore(ids: np.ndarray, docs: np.ndarray, query_id: int, query: np.ndarray, k: int, low: np.ndarray, high: np.ndarray, heads: np.ndarray, theta: int = NONE) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and scores of the ``k`` best of ``docs`` (ties: smaller id), without ``query_id``; with ``theta``, of those that score at least so much.
 
     ``low``, ``high``: the least and greatest component of each term in the shard;
     ``heads``: for each term, the rows at either end of its impact-ordered postings.
@@ -50,11 +56,11 @@ def maxscore(ids: np.ndarray, docs: np.ndarray, query_id: int, query: np.ndarray
     least, most = ends.min(0), ends.max(0)
     spread = most - least
     order = np.argsort(-spread, kind="stable")
-    # a first threshold: full scores of the rows that lead the strongest terms' postings
-    lead = np.unique(heads[:, order[:4]].ravel())
-    lead = lead[ids[lead] != query_id]
-    own = docs[lead] @ query
-    theta = np.partition(own, len(own) - k)[len(own) - k] if len(own) >= k else -(2**62)
+    if theta == NONE:  # a first threshold: full scores of the rows that lead the strongest terms' postings
+        lead = np.unique(heads[:, order[:4]].ravel())
+        lead = lead[ids[lead] != query_id]
+        own = docs[lead] @ query
+        theta = np.partition(own, len(own) - k)[len(own) - k] if len(own) >= k else NONE
     # non-essential terms: the weakest ones, whose greatest sum stays under the threshold
     rest = np.concatenate([np.cumsum(spread[order][::-1])[::-1], [0]])
     need = theta - least.sum()
@@ -85,8 +91,8 @@ def _cell(k: int):
             by_impact = np.argsort(docs, axis=0, kind="stable")
             heads = np.concatenate([by_impact[: 4 * k], by_impact[-4 * k :]])
             low, high = docs.min(0), docs.max(0)
-            for q, v in zip(queries.vec_id.to_numpy(), asked, strict=True):
-                rows, score = maxscore(ids, docs, q, v, k, low, high, heads)
+            for q, v, theta in zip(queries.vec_id.to_numpy(), asked, queries.theta.tolist(), strict=True):
+                rows, score = maxscore(ids, docs, q, v, k, low, high, heads, theta)
                 out += [(int(q), int(ids[r]), int(s)) for r, s in zip(rows, score, strict=True)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
@@ -104,8 +110,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-asked // BLOCK))
     grid = lambda c, many: F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias(c)
     left = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"), grid("block", blocks))
-    right = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), grid("shard", shards))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_cell(k), "query_id long, vec_id long, score long")
+
+    def cells(which: str, some: DataFrame) -> DataFrame:
+        right = some.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "theta", grid("shard", shards))
+        sides = (x.where(which).groupBy("shard", "block") for x in (left, right))
+        return next(sides).cogroup(next(sides)).applyInPandas(_cell(k), "query_id long, vec_id long, score long")
+
+    queries = queries.withColumn("theta", F.lit(NONE).cast("long"))
+    found = cells("true", queries)
+    if shards >= 2 * FIRST:
+        first = materialise(cells(f"shard % {FIRST} = 0", queries), "first")
+        kth = first.groupBy("query_id").agg(F.coalesce(F.get(F.sort_array(F.collect_list("score"), False), F.lit(k - 1)), F.lit(NONE)).alias("best"))
+        told = queries.drop("theta").join(kth, queries["vec_id"] == kth["query_id"], "left").select("vec_id", "v", F.coalesce("best", F.lit(NONE)).alias("theta"))
+        told = materialise(told, "queries")
+        found = first.unionByName(cells(f"shard % {FIRST} <> 0", told))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

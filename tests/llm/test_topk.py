@@ -31,3 +31,14 @@ def test_fewer_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.search(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 131072)]
     assert topk.search(df.where("false"), F.lit(True)).count() == 0
+
+
+def test_thresholds_of_the_first_shards(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 25)
+    monkeypatch.setattr(topk, "BLOCK", 7)
+    rnd = random.Random(2)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(300)] + [(i, [1.0, 0.0] * 4) for i in range(300, 330)]
+    df = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "vec_id long, embedding array<double>, shard string, theta double")
+    for k in (1, 5, 400):
+        got = {tuple(r) for r in topk.search(df, F.col("vec_id") % 10 == 0, k).collect()}
+        assert got == brute(rows, k, lambda i: i % 10 == 0)
