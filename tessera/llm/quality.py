@@ -102,32 +102,37 @@ class Model:
 def co_train(views, y: np.ndarray, pool, rounds: int = ROUNDS, share: float = SHARE) -> Model:
     """Fit on labelled ``views`` (text, metadata) with ``y`` and the pool's; every fourth labelled row of either class is held out to calibrate."""
     apart = np.where(y, np.cumsum(y), np.cumsum(~y)) % 4 == 0
-    scales = [linear.Scale(np.vstack([v, p])) for v, p in zip(views, pool, strict=True)]
-    x, u = [s(v) for s, v in zip(scales, views, strict=True)], [s(p) for s, p in zip(scales, pool, strict=True)]
-    sets = [(x[v][~apart], y[~apart].astype(float)) for v in (0, 1)]
-    free = [np.ones(len(u[0]), bool), np.ones(len(u[0]), bool)]  # pool rows that view v has not been given yet
+    scales = [linear.Scale(v, p) for v, p in zip(views, pool, strict=True)]
+    # rows of a view are told by their numbers, the labelled ones first: the samples are held once, however many sets they are in
+    rows_of = [lambda at, v=v: linear.Rows(scales[v], [views[v], pool[v]], at) for v in (0, 1)]
+    labelled, many = len(y), len(pool[0])
+    unlabelled = labelled + np.arange(many)
+    sets = [(np.flatnonzero(~apart), y[~apart].astype(float)) for v in (0, 1)]
+    free = [np.ones(many, bool), np.ones(many, bool)]  # pool rows that view v has not been given yet
     good = y[~apart].mean()
     penalties = [np.full(v.shape[1], PENALTY) for v in views]
     penalties[0][-WORDS:] = WORD_PENALTY
-    weights = [linear.fit(*s, l2=p) for s, p in zip(sets, penalties, strict=True)]
+    fitted = lambda: [linear.fit(rows_of[v](sets[v][0]), sets[v][1], l2=penalties[v]) for v in (0, 1)]
+    weights = fitted()
     for _ in range(rounds):
-        sure = [linear.predict(u[v], weights[v]) for v in (0, 1)]
+        sure = [linear.predict(rows_of[v](unlabelled), weights[v]) for v in (0, 1)]
         for v in (0, 1):
             other = 1 - v
             rows = np.flatnonzero(free[other])
             order = rows[np.argsort(sure[v][rows], kind="stable")]
-            many = int(share * len(u[0]))
-            bad, fine = order[: round(many * (1 - good))], order[len(order) - round(many * good) :]
+            given = int(share * many)
+            bad, fine = order[: round(given * (1 - good))], order[len(order) - round(given * good) :]
             bad, fine = bad[sure[v][bad] < -1], fine[sure[v][fine] > 1]  # confident ones only
             taken = np.concatenate([bad, fine])
             free[other][taken] = False
-            sets[other] = (np.vstack([sets[other][0], u[other][taken]]), np.concatenate([sets[other][1], np.zeros(len(bad)), np.ones(len(fine))]))
-        weights = [linear.fit(*s, l2=p) for s, p in zip(sets, penalties, strict=True)]
-    calibration = []
+            sets[other] = (np.concatenate([sets[other][0], labelled + taken]), np.concatenate([sets[other][1], np.zeros(len(bad)), np.ones(len(fine))]))
+        weights = fitted()
+    held = np.flatnonzero(apart)
+    calibration, odds = [], [linear.predict(rows_of[v](held), weights[v]) for v in (0, 1)]
     for v in (0, 1):
-        a, b = linear.fit(linear.predict(x[v][apart], weights[v])[:, None], y[apart].astype(float), l2=0.5)
+        a, b = linear.fit(odds[v][:, None], y[apart].astype(float), l2=0.5)
         calibration.append((a, b))
-    each = np.stack([a * linear.predict(x[v][apart], weights[v]) + b for v, (a, b) in enumerate(calibration)], 1)
+    each = np.stack([a * odds[v] + b for v, (a, b) in enumerate(calibration)], 1)
     return Model(scales, weights, calibration, linear.fit(each, y[apart].astype(float), l2=0.5))
 
 
@@ -148,17 +153,24 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
                 a, b = _views(df)
                 yield pd.DataFrame({"doc_id": df.doc_id, "y": df.y.astype("float64"), "v": [x.tobytes() for x in np.hstack([a, b]).astype("<f4")]})
 
-    got = rows.mapInPandas(run, "doc_id long, y double, v binary").toArrow().to_pandas().sort_values("doc_id")
-    known_rows, free_rows = got[got.y.notna()], got[got.y.isna()]
-    y = (known_rows.y >= 0.5).to_numpy()
-    if min(y.sum(), (~y).sum()) < LEAST:
-        return float(known_rows.y.mean()) if len(known_rows) else 1.0
-
-    def both(f: pd.DataFrame) -> list[np.ndarray]:
-        x = np.frombuffer(b"".join(f.v), "<f4").reshape(len(f), sum(width)).astype(np.float64)
-        return [x[:, : width[0]], x[:, width[0] :]]
-
-    return co_train(both(known_rows), y, both(free_rows))
+    return fitted(rows.mapInPandas(run, "doc_id long, y double, v binary").toArrow(), width)
+
+
+def fitted(got: pa.Table, width: tuple[int, int]) -> Model | float:
+    """The model from (doc_id, y, v): both views of a document, of these widths, as 4-byte floats. They are copied once."""
+    ids, y = got["doc_id"].to_numpy(), got["y"].to_numpy()
+    order = np.lexsort((ids, np.isnan(y)))  # the labelled ones first
+    place, x, at = np.argsort(order), np.empty((len(ids), sum(width)), "<f4"), 0
+    for batch in got.to_batches():
+        v = np.frombuffer(b"".join(batch.column("v").to_pylist()), "<f4")
+        x[place[at : at + len(batch)]] = v.reshape(len(batch), sum(width))
+        at += len(batch)
+    y = y[order]
+    many = int((~np.isnan(y)).sum())
+    good = y[:many] >= 0.5
+    if min(good.sum(), (~good).sum()) < LEAST:
+        return float(y[:many].mean()) if many else 1.0
+    return co_train([x[:many, : width[0]], x[:many, width[0] :]], good, [x[many:, : width[0]], x[many:, width[0] :]])
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

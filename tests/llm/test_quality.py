@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -92,3 +93,17 @@ def test_rounds_and_scores_like_a_plain_version(spark):
         c = model.combined
         p = 1 / (1 + np.exp(-np.clip(z[0] * c[0] + z[1] * c[1] + c[2], -35, 35)))
         assert abs(p - got[d[0]].quality_score) < 1e-6 and got[d[0]].keep == (got[d[0]].quality_score >= q.THRESHOLD)
+
+
+def test_the_fit_holds_its_sample_once():
+    rng = np.random.default_rng(3)
+    y = np.arange(6_000) % 5 > 0
+    views, pool = ([rng.random((6_000, k), np.float32) for k in (170, 280)] for _ in range(2))
+    for v in views:
+        v += 0.1 * y[:, None].astype("<f4")
+    held = sum(x.nbytes for x in (*views, *pool))
+    tracemalloc.start()
+    q.co_train(views, y, pool, rounds=2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < held  # beside the sample itself
