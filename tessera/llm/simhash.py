@@ -11,7 +11,9 @@ vantage points of a projection, so no link is lost. Inside a shard the full metr
 Whatever a shard's size, its linked fingerprints are given as a star each (n - 1 edges for n of them), never as all pairs;
 groups are joined by distributed minimum propagation with pointer jumping.
 
-``similar`` and ``keep_first`` group by the Jaccard similarity of shingle sets instead, which no radius decides.
+``similar`` and ``keep_first`` group by the Jaccard similarity of shingle sets. Fingerprints of the sets are searched in the same
+way first, and what they link is held against the whole sets. No radius of 64 bits tells all pairs of that similarity, so the pairs that
+are not in one group by then are found exactly, under the shingles of their prefixes.
 
 Defined results: a null text is empty; fewer words than a shingle make one shingle;
 no words give fingerprint zero, linked like any other; repeated rows share a
@@ -59,7 +61,10 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """Unsigned; bit i is set if over half of the shingles' XXH64 (seed 42) have it."""
-    h = shingle_hashes(text, shingle)
+    return _print(shingle_hashes(text, shingle))
+
+
+def _print(h: np.ndarray) -> int:
     set_bits = np.zeros(64, np.int64)
     for at in range(0, len(h), 65_536):  # long texts in blocks
         set_bits += np.unpackbits(h[at : at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -267,11 +272,11 @@ def finer(n: int) -> int:
 
 
 def shingle_sets(docs: DataFrame, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """doc_id, no_id, node (the set's hash), n, hist and fine (the set's sizes in hash buckets, in ``BUCKETS`` and, for a large
-    set, in as many more as leave about four of it in each) and prefix of every row.
+    """doc_id, no_id, node (the set's hash), n, f (the set's fingerprint), hist and fine (the set's sizes in hash buckets, in ``BUCKETS`` and,
+    for a large set, in as many more as leave about four of it in each) and prefix of every row.
 
     In any one order of all shingles, sets of this Jaccard similarity share a shingle of their prefixes. Of a task's rows with
-    one set only the first has a prefix and a fine.
+    one set only the first has a prefix, a fine and an f.
     """
 
     def prefix(h: np.ndarray) -> np.ndarray:
@@ -290,16 +295,16 @@ def shingle_sets(docs: DataFrame, shingle: int, similarity: float, common: np.nd
                     h = np.unique(shingle_hashes(text, shingle))
                     node = _node(h)
                     if node in seen:
-                        rows.append((node, len(h), _sizes(h, BUCKETS), b"", h[:0].view(np.int64)))
+                        rows.append((node, len(h), 0, _sizes(h, BUCKETS), b"", h[:0].view(np.int64)))
                     else:
-                        rows.append((node, len(h), _sizes(h, BUCKETS), _sizes(h, finer(len(h))) if len(h) > 4 * BUCKETS else b"", prefix(h)))
+                        rows.append((node, len(h), int(np.uint64(_print(h)).astype(np.int64)), _sizes(h, BUCKETS), _sizes(h, finer(len(h))) if len(h) > 4 * BUCKETS else b"", prefix(h)))
                         seen.add(node)
-                got = pd.DataFrame(rows, columns=["node", "n", "hist", "fine", "prefix"])
+                got = pd.DataFrame(rows, columns=["node", "n", "f", "hist", "fine", "prefix"])
                 yield pd.concat([some[["doc_id", "no_id"]].reset_index(drop=True), got], axis=1)
             if len(seen) > SEEN:
                 seen.clear()
 
-    return with_ids(docs, "text").mapInPandas(run, "doc_id long, no_id boolean, node long, n long, hist binary, fine binary, prefix array<long>")
+    return with_ids(docs, "text").mapInPandas(run, "doc_id long, no_id boolean, node long, n long, f long, hist binary, fine binary, prefix array<long>")
 
 
 def _alike(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
@@ -433,11 +438,21 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int, s
     return both(pairs, sets, "whole").select("u", "v", "x", "y").mapInPandas(compare, "u long, v long").distinct()
 
 
-def similar(docs: DataFrame, shingle: int, similarity: float, stars: int = 1) -> DataFrame:
+def print_pairs(sets: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b, u, v) of sets (node, f) whose fingerprints are linked at ``radius``, over any number of links: each set with the least of its group.
+
+    Sets are roots of their own here, so u and v are a and b.
+    """
+    joined = components(links(sets.select(F.col("node").alias("root"), "f"), exact_masks(radius), radius)).where("node <> root")
+    return joined.select(F.col("root").alias("a"), F.col("node").alias("b"), F.col("root").alias("u"), F.col("node").alias("v"))
+
+
+def similar(docs: DataFrame, shingle: int, similarity: float, stars: int = 1, radius: int = 4) -> DataFrame:
     """doc_id and component_id of every row: groups joined by all pairs of at least this Jaccard similarity of word shingles.
 
-    Pairs are looked for under the shingles of their prefixes, so none is lost, and each link is verified on the whole sets.
-    First each key's members are held against one of them, then all pairs that are not yet in one group; a key with many
+    Sets whose fingerprints are linked at ``radius`` are held against one of them first. Of the others pairs are
+    looked for under the shingles of their prefixes, so none is lost, and each link is verified on the whole sets.
+    There first each key's members are held against one of them, then all pairs that are not yet in one group; a key with many
     members is dealt as pairs of blocks of at most ``MEMBERS``. Shingles that the same sets have are one key.
     """
     rows = materialise(shingle_sets(docs, shingle, similarity, common_shingles(docs, shingle)), "sets")
@@ -446,21 +461,29 @@ def similar(docs: DataFrame, shingle: int, similarity: float, stars: int = 1) ->
     every = rows.select("node", "n", F.explode("prefix").alias("k")).withColumn("low", F.min("node").over(own)).withColumn("high", F.max("node").over(own)).where("low <> high")
     keys = materialise(every.withColumn("k", F.sum(F.xxhash64("node").cast("decimal(20)")).over(own).cast("string")).select(F.xxhash64("k").alias("k"), "node", "n").distinct(), "keys")
     nodes = materialise(keys.select("node", F.col("node").alias("root")).distinct(), "nodes")
-    hists = materialise(rows.where(F.size("prefix") > 0).join(small(nodes), "node", "left_semi").select("node", "hist").dropDuplicates(["node"]), "hists")
-    for turn in range(stars + 1):
+    firsts = rows.where(F.size("prefix") > 0).join(small(nodes), "node", "left_semi")
+    hists = materialise(firsts.select("node", "n", "f", "hist").dropDuplicates(["node"]), "hists")
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """The pairs whose bucket sizes allow the similarity."""
+        for side, size, name in (("a", "nx", "x"), ("b", "ny", "y")):
+            pairs = pairs.join(hists.select(F.col("node").alias(side), F.col("n").alias(size), F.col("hist").alias(name)), side)
+        return pairs.mapInPandas(_may(similarity), "a long, b long, u long, v long")
+
+    for turn in range(-1, stars + 1):
         rooted = keys.join(small(nodes), "node")
-        if turn < stars:
+        if turn < 0:
+            pairs = bounded(print_pairs(hists, radius))
+        elif turn < stars:
             one = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "root", "n")).over(own)
             met = rooted.withColumn("one", one).where((F.col("root") != F.col("one.root")) & (F.least("n", "one.n") >= similarity * F.greatest("n", "one.n") - 1e-6))
-            pairs = met.select(F.col("one.node").alias("a"), F.col("node").alias("b"), F.col("one.root").alias("u"), F.col("root").alias("v"), F.col("one.n").alias("nx"), F.col("n").alias("ny")).distinct()
-            pairs = pairs.join(hists.select(F.col("node").alias("a"), F.col("hist").alias("x")), "a").join(hists.select(F.col("node").alias("b"), F.col("hist").alias("y")), "b")
-            pairs = pairs.mapInPandas(_may(similarity), "a long, b long, u long, v long")
+            pairs = bounded(met.select(F.col("one.node").alias("a"), F.col("node").alias("b"), F.col("one.root").alias("u"), F.col("root").alias("v")).distinct())
         else:
             apart = rooted.withColumn("low", F.min("root").over(own)).withColumn("high", F.max("root").over(own)).withColumn("many", F.count(F.lit(1)).over(own)).where("low <> high")
             blocks = F.ceil(F.col("many") / MEMBERS).cast("int")
             met = apart.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
             least = keys.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("k")), 1, LEAST).alias("least"))
-            met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(hists.join(least, "node"), "node")
+            met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(hists.select("node", "hist").join(least, "node"), "node")
             dealt = met.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "n", "node", "root", "hist", "least")
             dealt = dealt.repartition(shuffle_parts(docs.sparkSession), "k", "i", "j").sortWithinPartitions("k", "i", "j", "n")
             pairs = dealt.mapInPandas(_candidates(similarity), "a long, b long, u long, v long").distinct()

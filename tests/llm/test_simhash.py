@@ -186,3 +186,30 @@ def test_similar_groups_are_all_pairs_at_the_true_jaccard(spark):
     got = {r.doc_id: r.component_id for r in s.similar(docs, 5, 0.8).collect()}
     assert got == {i: find(i) for i in texts}
     assert s.similar(docs.where("false"), 5, 0.8).count() == 0
+
+
+def test_similar_links_by_fingerprints_first(spark, monkeypatch):
+    rnd = random.Random(9)
+    texts = {}
+    for i in range(60):
+        words = [f"w{rnd.randrange(3000)}" for _ in range(400)]
+        texts[10 * i] = " ".join(words)
+        for j in (1, 2):
+            other = list(words)
+            other[rnd.randrange(400)] = f"n{i}x{j}"
+            texts[10 * i + j] = " ".join(other)
+    print_of = lambda t: s._print(np.unique(s.shingle_hashes(t, 5)))
+    want = reachable({i: print_of(t) for i, t in texts.items()}, 4)
+    assert sum(want[i] != i for i in texts) > 40
+    found, own = [], s.print_pairs
+    monkeypatch.setattr(s, "print_pairs", lambda sets, radius: found.append((sets, own(sets, radius))) or found[-1][1])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in s.similar(docs, 5, 0.8).collect()}
+    assert got == {i: i - i % 10 for i in texts}  # what the radius misses as well
+    (sets, pairs), = found
+    signed = {int(np.uint64(print_of(t)).astype(np.int64)) for t in texts.values()}
+    assert {r.f for r in sets.collect()} == signed
+    doc = {s._node(np.unique(s.shingle_hashes(t, 5))): i for i, t in texts.items()}
+    pairs = [(doc[r.a], doc[r.b]) for r in pairs.collect()]
+    assert all(want[a] == want[b] for a, b in pairs)
+    assert len(pairs) == len(set(pairs)) == sum(want[i] != i for i in texts)  # one star a group
