@@ -1,14 +1,16 @@
 """Language-model scores by Brown class-based n-grams (operator 3).
 
 Exchange clustering assigns words to classes, so that classes predict the next class
-well. The most frequent words are clustered one by one; every other word stands with the words that
-share its ending and its final mark, and such groups are clustered like words. The
-probability of a word after another is that of its class after the other's class, times that of
-the word in its class; both are smoothed, and a class keeps some mass for a word never seen.
+well. The most frequent words are clustered one by one on the driver, and the others in groups that
+share their ending and final mark. That gives each word its class as a context. From there every single word of the
+training documents, however rare, is exchanged by its own counts after each context (one-sided, as in predictive clustering), in
+sweeps over all words at once; a sweep that doesn't raise the likelihood is not kept. The probability of a word after another is that of its class
+after the other's context class, times that of the word in its class; both are smoothed, and a class keeps some mass for a word never
+seen, which stands in the class of its ending.
 
 Word counts are exact over all training documents and all of their words. What a worker or the
 driver holds is bounded: ``CLUSTERED`` words and ``ENDINGS`` endings are clustered on the driver from their
-bigram counts over all training documents, and the ``HEAD`` most frequent words'
+bigram counts over all training documents, all other words are exchanged where their counts lie, and the ``HEAD`` most frequent words'
 probabilities are broadcast. Other words' counts meet their uses in a join.
 
 Defined results: a null text is empty and has its end only; a null doc_id is trained on and not
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -31,6 +33,10 @@ from tessera.llm.common import crc_mod, materialise, real_ids, with_ids
 
 #: Words and endings that are clustered, classes, and the most sweeps of the exchange.
 CLUSTERED, ENDINGS, CLASSES, SWEEPS = 600, 400, 64, 12
+#: Sweeps over all the other words, and words that are looked at at once in one.
+WHOLE, SOME = 2, 2_000
+#: How often a word comes after a context.
+_AFTER = np.dtype([("s", "u1"), ("n", "<u4")])
 #: Words whose probabilities are broadcast.
 HEAD = 200_000
 #: Words that a worker remembers or counts before it starts anew; characters that are worked on at once.
@@ -180,22 +186,127 @@ def exchange(n: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
     return label
 
 
-def transitions(n: np.ndarray, label: np.ndarray, classes: int) -> np.ndarray:
-    """log10 P(class after class): the counts, mixed with the classes' own shares (Witten-Bell)."""
-    member = np.eye(classes)[label]
-    big = member.T @ n @ member
-    share = (big.sum(0) + 0.5) / (big.sum() + 0.5 * classes)
+def transitions(big: np.ndarray) -> np.ndarray:
+    """log10 P(class after context class): the counts, mixed with the classes' own shares (Witten-Bell)."""
+    share = (big.sum(0) + 0.5) / (big.sum() + 0.5 * len(big))
     total, kinds = big.sum(1, keepdims=True), (big > 0).sum(1, keepdims=True)
     return np.log10((big + kinds * share + 1e-3 * share) / (total + kinds + 1e-3))
 
 
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def likelihood(big: np.ndarray) -> float:
+    """Of the classes after their contexts, but for what no exchange of classes changes."""
+    return float(_xlogx(big).sum() - _xlogx(big.sum(0)).sum())
+
+
+class _Numbers(dict):
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
+
+
+def contexts(docs: DataFrame, units: Units, label: np.ndarray, classes: int) -> DataFrame:
+    """(word, kind, ctx): how often each word that is no unit of its own comes after each context class; kind is the class of its ending."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, seeds, met = _Numbers({END: 0}), [0], []
+
+        def held() -> pd.DataFrame:
+            keys, n = (np.concatenate(x) for x in zip(*met)) if met else (np.zeros(0, np.int64),) * 2
+            keys, where = np.unique(keys, return_inverse=True)
+            after = np.empty(len(keys), _AFTER)
+            after["s"], after["n"] = keys % classes, np.bincount(where, n, len(keys))
+            ids = keys // classes
+            first = np.flatnonzero(np.diff(ids, prepend=-1))
+            words, raw, edges = list(number), after.tobytes(), (np.append(first, len(ids)) * _AFTER.itemsize).astype(int).tolist()
+            return pd.DataFrame({"word": [words[i] for i in ids[first].tolist()], "ctx": [raw[a:z] for a, z in zip(edges, edges[1:])]})
+
+        for _, split in _blocks(frames):
+            ids = np.fromiter(chain.from_iterable(chain(map(number.__getitem__, w), (0,)) for w in split), np.int64)
+            # a word that is a unit is marked by the complement of its class
+            seeds += [-1 - int(label[units(w)]) if w in units.of_word else int(label[units(w)]) for w in islice(number, len(seeds), None)]
+            seed = np.array(seeds)
+            seed[0] = -1
+            apart, seed = seed >= 0, np.where(seed < 0, -1 - seed, seed)
+            before = seed[np.concatenate([[0], ids[:-1]])]  # a document's end stands before the next one's first word
+            met.append(np.unique((ids * classes + before)[apart[ids]], return_counts=True))
+            if len(number) > KEPT:
+                yield held()
+                number, seeds, met = _Numbers({END: 0}), [0], []
+        yield held()
+
+    def together(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            kind = [int(label[units(bytes(w))]) for w in df.word]
+            yield pd.DataFrame({"word": df.word, "kind": kind, "ctx": [b"".join(map(bytes, x)) for x in df.ctx]})
+
+    met = docs.mapInPandas(run, "word binary, ctx binary").groupBy("word").agg(F.collect_list("ctx").alias("ctx"))
+    return met.mapInPandas(together, "word binary, kind int, ctx binary")
+
+
+def _tables(df: pd.DataFrame, classes: int) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Some words at a time, and how often each comes after each context class."""
+    for at in range(0, len(df), SOME):
+        some = df[at : at + SOME]
+        after = np.frombuffer(b"".join(some.ctx), _AFTER)
+        row = np.repeat(np.arange(len(some)), some.ctx.map(len).to_numpy() // _AFTER.itemsize)
+        yield some, np.bincount(row * classes + after["s"], after["n"], len(some) * classes).reshape(-1, classes)
+
+
+def best(n: np.ndarray, kind: np.ndarray, big: np.ndarray) -> np.ndarray:
+    """The class that raises the likelihood most for each word, with ``n`` uses after each context, that is in class ``kind`` of ``big``, all others staying."""
+    row, s = np.nonzero(n)
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    uses, total, at = n.sum(1), big.sum(0), np.arange(len(n))
+    with_it = lambda x, more: _xlogx(x + more) - _xlogx(x)
+    gain = np.add.reduceat(_xlogx(big[s] + n[row, s][:, None]) - _xlogx(big)[s], first, axis=0) - with_it(total[None, :], uses[:, None])
+    # in its own class a word is counted already
+    own = with_it(big[s, kind[row]] - n[row, s], n[row, s])
+    gain[at, kind] = np.add.reduceat(own, first) - with_it(total[kind] - uses, uses)
+    gain[:, 0] = -np.inf  # the end's
+    new = gain.argmax(1)
+    return np.where(gain[at, new] > gain[at, kind] + 1e-9, new, kind)
+
+
+def sweep(words: DataFrame, big: np.ndarray, classes: int) -> DataFrame:
+    """``words`` (word, kind, ctx) with the best class of each; all move at once."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            for some, n in _tables(df, classes):
+                yield some.assign(kind=best(n, some.kind.to_numpy(), big), c=n.sum(1).astype(np.int64))[["word", "c", "kind", "ctx"]]
+
+    return words.mapInPandas(run, "word binary, c long, kind int, ctx binary")
+
+
+def class_bigrams(words: DataFrame, classes: int) -> np.ndarray:
+    """How often each class of ``words`` comes after each context class."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((classes, classes), np.int64)  # class, context
+        for df in frames:
+            for some, n in _tables(df, classes):
+                np.add.at(total, some.kind.to_numpy(), n.astype(np.int64))
+        k, s = np.nonzero(total)
+        yield pd.DataFrame({"s": s.astype(np.int32), "k": k.astype(np.int32), "n": total[k, s]})
+
+    got = words.mapInPandas(run, "s int, k int, n long").groupBy("s", "k").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    big = np.zeros((classes, classes))
+    big[got.s, got.k] = got.n
+    return big
+
+
 class Model:
     """Everything but the counts of words outside the head: bounded by the constants above."""
 
     def __init__(self, units: Units, label: np.ndarray, moves: np.ndarray, head: dict[bytes, int], c: np.ndarray, kind: np.ndarray, totals: np.ndarray, types: np.ndarray, discount: float, n: int, v: int):
         self.units, self.label, self.moves, self.head = units, label, moves, head
         self.totals, self.types, self.discount, self.n, self.v = totals, types, discount, n, v
-        self.kind = kind
+        self.kind = kind  # a head word's class; as a context it has that of its unit
+        self.seed = np.array([label[units(w)] for w in head])
         self.base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
         self.emit = np.log10(np.maximum(c - discount, 1e-12) / np.maximum(totals[kind], 1e-12))
 
@@ -206,15 +317,15 @@ class Model:
 
 
 def train(docs: DataFrame) -> tuple[Model | None, DataFrame]:
-    """The model and the counts of all words of ``docs`` (doc_id, text)."""
+    """The model, and the counts and classes of all words of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     counts = materialise(word_counts(docs), "counts")
     n, v, ones, twos = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))).first()
     if not n:
         return None, counts
     order = [F.desc("c"), "word"]
-    head = counts.where(F.col("word") != F.lit(END)).orderBy(*order).limit(HEAD).toArrow().to_pandas()
-    words = [bytes(w) for w in head.word[:CLUSTERED]]
+    most = counts.where(F.col("word") != F.lit(END)).orderBy(*order).limit(CLUSTERED).toArrow().to_pandas()
+    words = [bytes(w) for w in most.word]
     # endings of the words that are not clustered themselves, weighed by their uses
 
     def endings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -233,18 +344,28 @@ def train(docs: DataFrame) -> tuple[Model | None, DataFrame]:
     classes = max(3, min(CLASSES, units.many))
     label = exchange(matrix, classes)
 
-    # each class's uses and kinds of words
-    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            kind = np.fromiter((label[units(bytes(w))] for w in df.word), np.int64, len(df))
-            yield pd.DataFrame({"k": np.arange(classes), "t": np.bincount(kind, df.c, classes).round().astype(np.int64), "v": np.bincount(kind, minlength=classes)})
-
-    got = counts.mapInPandas(sums, "k int, t long, v long").groupBy("k").agg(F.sum("t").alias("t"), F.sum("v").alias("v")).toArrow().to_pandas().set_index("k").reindex(range(classes), fill_value=0)
+    member = np.eye(classes)[label]
+    own = np.arange(units.many) <= len(words)  # the end and the words that are units stay in the classes they have
+    fixed = member.T @ matrix[:, own] @ member[own]
+    big = member.T @ matrix @ member
+    rest = contexts(docs, units, label, classes)
+    for _ in range(WHOLE):
+        moved = materialise(sweep(rest, big, classes), "moved")
+        now = fixed + class_bigrams(moved, classes)
+        if likelihood(now) <= likelihood(big):
+            break
+        rest, big = moved, now
+    if "c" not in rest.columns:  # no sweep was kept
+        rest = materialise(moved.drop("kind").join(rest.select("word", "kind"), "word"), "moved")
+    alone = spark.createDataFrame([(bytearray(w), int(label[u])) for w, u in units.of_word.items()], "word binary, kind int")
+    counts = materialise(rest.select("word", "c", "kind").unionByName(counts.join(F.broadcast(alone), "word")), "classes")
+    got = counts.groupBy("kind").agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("v")).toArrow().to_pandas().set_index("kind").reindex(range(classes), fill_value=0)
+    head = counts.where(F.col("word") != F.lit(END)).orderBy(*order).limit(HEAD).toArrow().to_pandas()
     discount = min(0.9, max(0.1, ones / (ones + 2 * twos) if ones else 0.1))
     known = [END, *(bytes(w) for w in head.word)]
     c = np.concatenate([[matrix[:, 0].sum()], head.c.to_numpy()]).astype(float)
-    kind = np.array([label[units(w)] for w in known])
-    return Model(units, label, transitions(matrix, label, classes), {w: i for i, w in enumerate(known)}, c, kind, got.t.to_numpy().astype(float), got.v.to_numpy().astype(float), discount, int(n), int(v)), counts
+    kind = np.concatenate([[0], head.kind.to_numpy()])
+    return Model(units, label, transitions(big), {w: i for i, w in enumerate(known)}, c, kind, got.t.to_numpy().astype(float), got.v.to_numpy().astype(float), discount, int(n), int(v)), counts
 
 
 def score(docs: DataFrame, model: Model | None, counts: DataFrame, held_out: Column) -> DataFrame:
@@ -260,8 +381,8 @@ def score(docs: DataFrame, model: Model | None, counts: DataFrame, held_out: Col
         look = _Lookup(m.code)
         for some, split in _blocks(frames):
             codes = np.fromiter(chain.from_iterable(chain(map(look.__getitem__, w), (0,)) for w in split), np.int64)
-            kind = np.where(codes >= 0, m.kind[np.maximum(codes, 0)], -1 - codes)
-            moves = m.moves[np.concatenate([[0], kind[:-1]]), kind]
+            seed = np.where(codes >= 0, m.seed[np.maximum(codes, 0)], -1 - codes)
+            before = np.concatenate([[0], seed[:-1]])
             starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in split])[:-1]])
             in_head = codes >= 0
             at = np.maximum(codes, 0)
@@ -269,20 +390,23 @@ def score(docs: DataFrame, model: Model | None, counts: DataFrame, held_out: Col
             rare = []
             for start, w in zip(starts.tolist(), split, strict=True):
                 places = np.flatnonzero(~in_head[start : start + len(w)])
-                rare.append([{"word": x, "tf": tf, "kind": -1 - look[x]} for x, tf in Counter(w[p] for p in places.tolist()).items()])
-            yield pd.DataFrame({"doc_id": some.doc_id.to_numpy(), "no_id": some.no_id.to_numpy(), "n_tokens": [len(w) + 1 for w in split], "known": add(in_head.astype(np.int64)), "base": add(np.where(in_head, m.base[at], 0.0)), "own": add(moves + np.where(in_head, m.emit[at], 0.0)), "rare": rare})
+                rare.append([{"word": x, "s": s, "tf": tf, "ending": -1 - look[x]} for (x, s), tf in Counter(zip((w[p] for p in places.tolist()), before[start + places].tolist())).items()])
+            yield pd.DataFrame({"doc_id": some.doc_id.to_numpy(), "no_id": some.no_id.to_numpy(), "n_tokens": [len(w) + 1 for w in split], "known": add(in_head.astype(np.int64)), "base": add(np.where(in_head, m.base[at], 0.0)), "own": add(np.where(in_head, m.moves[before, m.kind[at]] + m.emit[at], 0.0)), "rare": rare})
 
-    made = with_ids(docs, "text").mapInPandas(run, "doc_id long, no_id boolean, n_tokens long, known long, base double, own double, rare array<struct<word:binary,tf:long,kind:int>>")
+    made = with_ids(docs, "text").mapInPandas(run, "doc_id long, no_id boolean, n_tokens long, known long, base double, own double, rare array<struct<word:binary,s:int,tf:long,ending:int>>")
     made = materialise(real_ids(made).withColumn("row", F.monotonically_increasing_id()), "scored")
-    # the other words' counts; none of them is frequent, so no key is hot
-    uses = made.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf", "r.kind")
+    # the other words' counts and classes; none of them is frequent, so no key is hot. A word never seen is of its ending's class
+    uses = made.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.s", "r.tf", "r.ending")
+    many = len(model.moves)
+    moves = docs.sparkSession.createDataFrame([(s, k, float(model.moves[s, k])) for s in range(many) for k in range(many)], "s int, kind int, move double")
+    uses = uses.join(counts, "word", "left").withColumn("kind", F.coalesce("kind", "ending")).join(F.broadcast(moves), ["s", "kind"])
     table = lambda values: F.array(*(F.lit(float(x)) for x in values))
     total, types = F.get(table(model.totals), F.col("kind")), F.get(table(model.types), F.col("kind"))
     c = F.coalesce("c", F.lit(0))
     spare = F.greatest(F.lit(model.discount) * types, F.lit(0.5))
     emit = F.log10(F.when(c > 0, (c - F.lit(model.discount)) / total).otherwise(spare / F.greatest(total, F.lit(1.0))))
     base = F.log10((c + 0.5) / F.lit(model.n + 0.5 * (model.v + 1)))
-    sums = uses.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("tf") * base).alias("more_base"), F.sum(F.col("tf") * emit).alias("more"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more_known"))
+    sums = uses.groupBy("row").agg(F.sum(F.col("tf") * base).alias("more_base"), F.sum(F.col("tf") * (F.col("move") + emit)).alias("more"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more_known"))
     zero = lambda name: F.coalesce(name, F.lit(0))
     out = made.drop("rare").join(sums, "row", "left")
     return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", (F.col("known") + zero("more_known")).cast("long").alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") + zero("more_base")).alias("base_score"), (F.col("own") + zero("more")).alias("score"))

@@ -102,3 +102,41 @@ def test_without_training_documents(spark):
     got = b.evaluate(spark.createDataFrame([(i, " a  B\n")], "doc_id long, text string")).collect()
     assert [tuple(r) for r in got] == [(i, True, 3, 0, 0, 0.0, 0.0)]
     assert b.evaluate(spark.createDataFrame([], "doc_id long, text string")).where(F.lit(True)).count() == 0
+
+
+def test_every_word_is_exchanged_by_its_own_bigrams(spark, monkeypatch):
+    monkeypatch.setattr(b, "CLUSTERED", 8)
+    monkeypatch.setattr(b, "ENDINGS", 3)
+    monkeypatch.setattr(b, "WHOLE", 1)
+    rnd = random.Random(4)
+    docs = [(i, " ".join(x for _ in range(60) for x in rnd.choice([("the", f"n{rnd.randrange(60)}ing"), ("we", f"v{rnd.randrange(60)}ing")]))) for i in range(80)] + [(200, None)]
+    model, counts = b.train(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    got = {bytes(r.word): (r.c, r.kind) for r in counts.collect()}
+    words = [[w.encode() for w in (t or "").split()] for _, t in docs]
+    assert {w: c for w, (c, _) in got.items()} == Counter(x for w in words for x in [*w, b.END])
+    seed = lambda w: int(model.label[model.units(w)])
+    classes = len(model.moves)
+    big, after = np.zeros((classes, classes)), {}
+    for w in words:
+        for x, y in zip([b.END, *w], [*w, b.END]):
+            big[seed(x), seed(y)] += 1
+            after.setdefault(y, np.zeros(classes))[seed(x)] += 1
+    final = np.zeros((classes, classes))
+    h = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+    for w, n in after.items():
+        final[:, got[w][1]] += n
+        if w in model.units.of_word:
+            assert got[w][1] == seed(w)
+            continue
+        worth = []
+        for k in range(1, classes):  # plainly: the likelihood with the word in each class
+            other = big.copy()
+            other[:, seed(w)] -= n
+            other[:, k] += n
+            worth.append(h(other) - h(other.sum(0)))
+        assert worth[got[w][1] - 1] >= max(worth) - 1e-6
+    assert h(final) - h(final.sum(0)) > h(big) - h(big.sum(0))
+    assert np.allclose(model.moves, b.transitions(final))
+    # words of one ending, told apart by what they follow
+    nouns, verbs = ({k for w, (_, k) in got.items() if w.startswith(x) and w not in model.units.of_word} for x in (b"n", b"v"))
+    assert not nouns & verbs
