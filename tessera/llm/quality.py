@@ -21,6 +21,7 @@ than those named are passed by.
 from __future__ import annotations
 
 import operator
+import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -153,7 +154,15 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
                 a, b = _views(df)
                 yield pd.DataFrame({"doc_id": df.doc_id, "y": df.y.astype("float64"), "v": [x.tobytes() for x in np.hstack([a, b]).astype("<f4")]})
 
-    return fitted(rows.mapInPandas(run, "doc_id long, y double, v binary").toArrow(), width)
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("y", pa.float64()), ("v", pa.binary())])
+        model = fitted(pa.Table.from_batches([b.cast(schema) for b in batches], schema), width)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(model)]})
+
+    # one task fits: the bounded sample neither passes through the driver nor stays there, the model alone does
+    made = rows.mapInPandas(run, "doc_id long, y double, v binary").repartition(1).mapInArrow(fit, "model binary").first()
+    return pickle.loads(made.model) if made else 1.0  # a plan that is known to be empty has no task
 
 
 def fitted(got: pa.Table, width: tuple[int, int]) -> Model | float:

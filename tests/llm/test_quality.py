@@ -107,3 +107,15 @@ def test_the_fit_holds_its_sample_once():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < held  # beside the sample itself
+
+
+def test_the_sample_does_not_come_to_the_driver(spark, monkeypatch):
+    def here(*_):
+        raise AssertionError("the sample is on the driver")
+
+    docs = spark.createDataFrame([(i, f"{'good words in a line' if i % 2 else '### $$$ ###'} {i}", "web", "en", 20) for i in range(80)], "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    monkeypatch.setattr(type(docs), "toArrow", here)
+    assert isinstance(q.train(docs, labels), q.Model)
+    assert q.train(docs.limit(0), labels) == q.train(docs, labels.limit(0)) == 1.0
+    assert q.train(docs, labels.limit(3)) == 1 / 3
