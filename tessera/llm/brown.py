@@ -26,6 +26,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -212,7 +213,7 @@ def contexts(docs: DataFrame, units: Units, label: np.ndarray, classes: int) ->
     """(word, kind, ctx): how often each word that is no unit of its own comes after each context class; kind is the class of its ending."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, seeds, met = _Numbers({END: 0}), [0], []
+        number, seeds, met = _Numbers({END: 0}), np.array([-1]), []
 
         def held() -> pd.DataFrame:
             keys, n = (np.concatenate(x) for x in zip(*met)) if met else (np.zeros(0, np.int64),) * 2
@@ -227,15 +228,16 @@ def contexts(docs: DataFrame, units: Units, label: np.ndarray, classes: int) ->
         for _, split in _blocks(frames):
             ids = np.fromiter(chain.from_iterable(chain(map(number.__getitem__, w), (0,)) for w in split), np.int64)
             # a word that is a unit is marked by the complement of its class
-            seeds += [-1 - int(label[units(w)]) if w in units.of_word else int(label[units(w)]) for w in islice(number, len(seeds), None)]
-            seed = np.array(seeds)
-            seed[0] = -1
+            new = list(islice(number, len(seeds), None))
+            kinds = label[np.fromiter(map(units, new), np.int64, len(new))]
+            seeds = np.concatenate([seeds, np.where(np.fromiter(map(units.of_word.__contains__, new), bool, len(new)), -1 - kinds, kinds)])
+            seed = seeds
             apart, seed = seed >= 0, np.where(seed < 0, -1 - seed, seed)
             before = seed[np.concatenate([[0], ids[:-1]])]  # a document's end stands before the next one's first word
             met.append(np.unique((ids * classes + before)[apart[ids]], return_counts=True))
             if len(number) > KEPT:
                 yield held()
-                number, seeds, met = _Numbers({END: 0}), [0], []
+                number, seeds, met = _Numbers({END: 0}), np.array([-1]), []
         yield held()
 
     def together(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -271,13 +273,22 @@ def best(n: np.ndarray, kind: np.ndarray, big: np.ndarray) -> np.ndarray:
     return np.where(gain[at, new] > gain[at, kind] + 1e-9, new, kind)
 
 
+def chosen(df: pd.DataFrame, big: np.ndarray, classes: int) -> pd.DataFrame:
+    """``df`` (word, kind, ctx) with the uses and the best class of each word. Words of one class with the same uses, as most rare ones are, are worked out once."""
+    cases: dict[tuple[bytes, int], int] = {}
+    where = np.fromiter((cases.setdefault(x, len(cases)) for x in zip(map(bytes, df.ctx), df.kind.tolist(), strict=True)), np.int64, len(df))
+    once = pd.DataFrame(list(cases), columns=["ctx", "kind"])
+    got = [(best(n, some.kind.to_numpy(), big), n.sum(1).astype(np.int64)) for some, n in _tables(once, classes)]
+    kind, c = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*got)) if got else (np.zeros(0, np.int64),) * 2
+    return pd.DataFrame({"word": df.word, "c": c[where], "kind": kind[where], "ctx": df.ctx})
+
+
 def sweep(words: DataFrame, big: np.ndarray, classes: int) -> DataFrame:
     """``words`` (word, kind, ctx) with the best class of each; all move at once."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            for some, n in _tables(df, classes):
-                yield some.assign(kind=best(n, some.kind.to_numpy(), big), c=n.sum(1).astype(np.int64))[["word", "c", "kind", "ctx"]]
+            yield chosen(df, big, classes)
 
     return words.mapInPandas(run, "word binary, c long, kind int, ctx binary")
 
@@ -288,8 +299,10 @@ def class_bigrams(words: DataFrame, classes: int) -> np.ndarray:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((classes, classes), np.int64)  # class, context
         for df in frames:
-            for some, n in _tables(df, classes):
-                np.add.at(total, some.kind.to_numpy(), n.astype(np.int64))
+            if len(df):
+                after = np.frombuffer(b"".join(df.ctx), _AFTER)
+                kind = np.repeat(df.kind.to_numpy(), df.ctx.map(len).to_numpy() // _AFTER.itemsize)
+                total += np.bincount(kind * classes + after["s"], after["n"], classes**2).astype(np.int64).reshape(classes, classes)
         k, s = np.nonzero(total)
         yield pd.DataFrame({"s": s.astype(np.int32), "k": k.astype(np.int32), "n": total[k, s]})
 
@@ -376,10 +389,14 @@ def score(docs: DataFrame, model: Model | None, counts: DataFrame, held_out: Col
         return rows.select("doc_id", "held_out", (words + 1).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by HEAD
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # as Arrow has them: a dictionary for each use of a rare word would be most of the pass's work
+    use = pa.struct([("word", pa.binary()), ("s", pa.int32()), ("tf", pa.int64()), ("ending", pa.int32())])
+    uses_of = pa.list_(pa.field("element", use))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         look = _Lookup(m.code)
-        for some, split in _blocks(frames):
+        for some, split in _blocks(x.to_pandas() for x in batches):
             codes = np.fromiter(chain.from_iterable(chain(map(look.__getitem__, w), (0,)) for w in split), np.int64)
             seed = np.where(codes >= 0, m.seed[np.maximum(codes, 0)], -1 - codes)
             before = np.concatenate([[0], seed[:-1]])
@@ -387,13 +404,18 @@ def score(docs: DataFrame, model: Model | None, counts: DataFrame, held_out: Col
             in_head = codes >= 0
             at = np.maximum(codes, 0)
             add = lambda x: np.add.reduceat(x, starts)
-            rare = []
-            for start, w in zip(starts.tolist(), split, strict=True):
-                places = np.flatnonzero(~in_head[start : start + len(w)])
-                rare.append([{"word": x, "s": s, "tf": tf, "ending": -1 - look[x]} for (x, s), tf in Counter(zip((w[p] for p in places.tolist()), before[start + places].tolist())).items()])
-            yield pd.DataFrame({"doc_id": some.doc_id.to_numpy(), "no_id": some.no_id.to_numpy(), "n_tokens": [len(w) + 1 for w in split], "known": add(in_head.astype(np.int64)), "base": add(np.where(in_head, m.base[at], 0.0)), "own": add(np.where(in_head, m.moves[before, m.kind[at]] + m.emit[at], 0.0)), "rare": rare})
-
-    made = with_ids(docs, "text").mapInPandas(run, "doc_id long, no_id boolean, n_tokens long, known long, base double, own double, rare array<struct<word:binary,s:int,tf:long,ending:int>>")
+            places = np.flatnonzero(~in_head)
+            of = np.searchsorted(starts, places, "right") - 1
+            rare = Counter(zip(of.tolist(), (split[d][p] for d, p in zip(of.tolist(), (places - starts[of]).tolist())), before[places].tolist()))
+            rows, words, s = zip(*rare) if rare else ((), (), ())
+            fields = [pa.array(words, pa.binary()), pa.array(s, pa.int32()), pa.array(rare.values(), pa.int64()), pa.array([-1 - look[x] for x in words], pa.int32())]
+            edges = np.searchsorted(np.array(rows, np.int64), np.arange(len(split) + 1)).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays(fields, fields=list(use)), type=uses_of)
+            columns = {"doc_id": pa.array(some.doc_id, pa.int64()), "no_id": pa.array(some.no_id, pa.bool_()), "n_tokens": pa.array([len(w) + 1 for w in split], pa.int64())}
+            sums = {"known": add(in_head.astype(np.int64)), "base": add(np.where(in_head, m.base[at], 0.0)), "own": add(np.where(in_head, m.moves[before, m.kind[at]] + m.emit[at], 0.0))}
+            yield pa.RecordBatch.from_pydict(columns | {k: pa.array(v) for k, v in sums.items()} | {"rare": listed})
+
+    made = with_ids(docs, "text").mapInArrow(run, "doc_id long, no_id boolean, n_tokens long, known long, base double, own double, rare array<struct<word:binary,s:int,tf:long,ending:int>>")
     made = materialise(real_ids(made).withColumn("row", F.monotonically_increasing_id()), "scored")
     # the other words' counts and classes; none of them is frequent, so no key is hot. A word never seen is of its ending's class
     uses = made.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.s", "r.tf", "r.ending")

@@ -140,3 +140,19 @@ def test_every_word_is_exchanged_by_its_own_bigrams(spark, monkeypatch):
     # words of one ending, told apart by what they follow
     nouns, verbs = ({k for w, (_, k) in got.items() if w.startswith(x) and w not in model.units.of_word} for x in (b"n", b"v"))
     assert not nouns & verbs
+
+
+def test_words_with_the_same_uses_are_worked_out_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    ctx = lambda uses: np.array(uses, b._AFTER).tobytes()
+    cases = [ctx([(s, n)]) for s in range(5) for n in (1, 2)] + [ctx([(0, 3), (4, 1)]), ctx([(2, 1), (2, 1)])]
+    df = b.pd.DataFrame([(b"w%d" % i, int(rng.integers(1, 5)), cases[rng.integers(len(cases))]) for i in range(500)], columns=["word", "kind", "ctx"])
+    big = rng.integers(20, 90, (5, 5)).astype(float) + 500
+    (some, n), *none = b._tables(df, 5)
+    want, plain, rows = b.best(n, some.kind.to_numpy(), big), b.best, []
+    monkeypatch.setattr(b, "best", lambda n, *x: rows.append(len(n)) or plain(n, *x))
+    got = b.chosen(df, big, 5)
+    assert not none and list(got.word) == list(df.word) and list(got.ctx) == list(df.ctx)
+    assert (got.kind.to_numpy() == want).all() and (got.c.to_numpy() == n.sum(1)).all()
+    assert sum(rows) <= 4 * len(cases)
+    assert not len(b.chosen(df[:0], big, 5))
