@@ -210,7 +210,7 @@ class _Numbers(dict):
 
 
 def contexts(docs: DataFrame, units: Units, label: np.ndarray, classes: int) -> DataFrame:
-    """(word, kind, ctx): how often each word that is no unit of its own comes after each context class; kind is the class of its ending."""
+    """(word, ctx): how often each word that is no unit of its own comes after each context class, in pieces."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number, seeds, met = _Numbers({END: 0}), np.array([-1]), []
@@ -240,13 +240,12 @@ def contexts(docs: DataFrame, units: Units, label: np.ndarray, classes: int) ->
                 number, seeds, met = _Numbers({END: 0}), np.array([-1]), []
         yield held()
 
-    def together(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            kind = [int(label[units(bytes(w))]) for w in df.word]
-            yield pd.DataFrame({"word": df.word, "kind": kind, "ctx": [b"".join(map(bytes, x)) for x in df.ctx]})
+    return docs.mapInPandas(run, "word binary, ctx binary").groupBy("word").agg(F.collect_list("ctx").alias("ctx"))
+
 
-    met = docs.mapInPandas(run, "word binary, ctx binary").groupBy("word").agg(F.collect_list("ctx").alias("ctx"))
-    return met.mapInPandas(together, "word binary, kind int, ctx binary")
+def ending_classes(words: pd.Series, units: Units, label: np.ndarray) -> np.ndarray:
+    """The class of each word's ending, in which it stands before the first sweep."""
+    return label[np.fromiter(map(units, map(bytes, words)), np.int64, len(words))]
 
 
 def _tables(df: pd.DataFrame, classes: int) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
@@ -283,16 +282,29 @@ def chosen(df: pd.DataFrame, big: np.ndarray, classes: int) -> pd.DataFrame:
     return pd.DataFrame({"word": df.word, "c": c[where], "kind": kind[where], "ctx": df.ctx})
 
 
-def sweep(words: DataFrame, big: np.ndarray, classes: int) -> DataFrame:
-    """``words`` (word, kind, ctx) with the best class of each; all move at once."""
+def sweep(words: DataFrame, units: Units, label: np.ndarray, big: np.ndarray, classes: int) -> DataFrame:
+    """``words``, of ``contexts`` or of a sweep before, with the uses and the best class of each; all move at once."""
+    first = "kind" not in words.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
+            if first:  # not in a pass of its own: each task would keep two Python workers
+                df = pd.DataFrame({"word": df.word, "kind": ending_classes(df.word, units, label), "ctx": [b"".join(map(bytes, x)) for x in df.ctx]})
             yield chosen(df, big, classes)
 
     return words.mapInPandas(run, "word binary, c long, kind int, ctx binary")
 
 
+def unmoved(words: DataFrame, units: Units, label: np.ndarray) -> DataFrame:
+    """``words`` (word, c) of a sweep that is not kept, with the classes of their endings."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            yield df.assign(kind=ending_classes(df.word, units, label))
+
+    return words.select("word", "c").mapInPandas(run, "word binary, c long, kind int")
+
+
 def class_bigrams(words: DataFrame, classes: int) -> np.ndarray:
     """How often each class of ``words`` comes after each context class."""
 
@@ -363,14 +375,15 @@ def train(docs: DataFrame) -> tuple[Model | None, DataFrame]:
     big = member.T @ matrix @ member
     rest = contexts(docs, units, label, classes)
     for _ in range(WHOLE):
-        moved = materialise(sweep(rest, big, classes), "moved")
+        moved = materialise(sweep(rest, units, label, big, classes), "moved")
         now = fixed + class_bigrams(moved, classes)
         if likelihood(now) <= likelihood(big):
             break
         rest, big = moved, now
     if "c" not in rest.columns:  # no sweep was kept
-        rest = materialise(moved.drop("kind").join(rest.select("word", "kind"), "word"), "moved")
-    alone = spark.createDataFrame([(bytearray(w), int(label[u])) for w, u in units.of_word.items()], "word binary, kind int")
+        rest = unmoved(moved, units, label)
+    # as Arrow has them: rows given as Python objects would start Python workers beside those that are there
+    alone = spark.createDataFrame(pa.table({"word": pa.array(units.of_word, pa.binary()), "kind": pa.array(label[list(units.of_word.values())], pa.int32())}))
     counts = materialise(rest.select("word", "c", "kind").unionByName(counts.join(F.broadcast(alone), "word")), "classes")
     got = counts.groupBy("kind").agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("v")).toArrow().to_pandas().set_index("kind").reindex(range(classes), fill_value=0)
     head = counts.where(F.col("word") != F.lit(END)).orderBy(*order).limit(HEAD).toArrow().to_pandas()
@@ -420,7 +433,8 @@ def score(docs: DataFrame, model: Model | None, counts: DataFrame, held_out: Col
     # the other words' counts and classes; none of them is frequent, so no key is hot. A word never seen is of its ending's class
     uses = made.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.s", "r.tf", "r.ending")
     many = len(model.moves)
-    moves = docs.sparkSession.createDataFrame([(s, k, float(model.moves[s, k])) for s in range(many) for k in range(many)], "s int, kind int, move double")
+    s, kind = (x.ravel().astype(np.int32) for x in np.indices((many, many)))
+    moves = docs.sparkSession.createDataFrame(pa.table({"s": s, "kind": kind, "move": model.moves.ravel()}))
     uses = uses.join(counts, "word", "left").withColumn("kind", F.coalesce("kind", "ending")).join(F.broadcast(moves), ["s", "kind"])
     table = lambda values: F.array(*(F.lit(float(x)) for x in values))
     total, types = F.get(table(model.totals), F.col("kind")), F.get(table(model.types), F.col("kind"))

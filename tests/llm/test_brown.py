@@ -156,3 +156,42 @@ def test_words_with_the_same_uses_are_worked_out_once(monkeypatch):
     assert (got.kind.to_numpy() == want).all() and (got.c.to_numpy() == n.sum(1)).all()
     assert sum(rows) <= 4 * len(cases)
     assert not len(b.chosen(df[:0], big, 5))
+
+
+def test_no_task_needs_two_python_workers(spark, monkeypatch):
+    plans, write = [], b.materialise
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan()
+    monkeypatch.setattr(b, "materialise", lambda df, name: plans.append(plan_of(df)) or write(df, name))
+    monkeypatch.setattr(b, "CLUSTERED", 15)
+    monkeypatch.setattr(b, "HEAD", 20)
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string").repartition(3)
+    docs.write.parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/one-worker")
+    plans.append(plan_of(b.evaluate(spark.read.parquet(path))))
+    python = 0
+
+    def walk(node, above):
+        nonlocal python
+        node = node.initialPlan() if node.nodeName() == "AdaptiveSparkPlan" else node
+        name = node.nodeName()
+        assert "ExistingRDD" not in name  # made by Python workers of their own, which stay
+        above = 0 if "Exchange" in name else above + ("MapIn" in name)
+        assert above < 2, node.toString()
+        python += "MapIn" in name
+        for i in range(node.children().size()):
+            walk(node.children().apply(i), above)
+
+    for plan in plans:
+        walk(plan, 0)
+    assert python >= 4  # word counts, contexts, sweeps, scores
+
+
+def test_a_sweep_that_is_not_kept(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    monkeypatch.setattr(b, "CLUSTERED", 15)
+    monkeypatch.setattr(b, "likelihood", lambda big: 0.0)  # no sweep raises it
+    model, counts = b.train(docs)
+    want = Counter(t.encode() if t else b.END for _, text in corpus() for t in tokens(text))
+    got = {bytes(r.word): (r.c, r.kind) for r in counts.collect()}
+    assert {w: c for w, (c, _) in got.items()} == want
+    assert all(kind == model.label[model.units(w)] for w, (_, kind) in got.items())
+    assert np.allclose(model.totals, np.bincount([k for _, k in got.values()], [c for c, _ in got.values()], len(model.totals)))
